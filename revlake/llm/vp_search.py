@@ -158,12 +158,14 @@ def _answers(qid: np.ndarray, q: np.ndarray, blob: bytes, k: int, factor: float)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(q)):
         at = place[i][place[i] >= 0]
-        score = (x[at] * q[i]).sum(axis=1)
+        score = np.zeros(len(at))
+        for own, other in zip(x[at].T, q[i], strict=True):  # in order of the components, so equal vectors score equally
+            score += own * other
         n = edge[at + 1] - edge[at]
         near = np.concatenate([ids[edge[p] : edge[p + 1]] for p in at]) if len(at) else np.zeros(0, np.int64)
         s = np.repeat(score, n)
-        other = near != qid[i]
-        near, s = near[other], s[other]
+        apart = near != qid[i]
+        near, s = near[apart], s[apart]
         top = np.lexsort((near, -s))[:k]
         out.append((np.full(len(top), qid[i]), near[top], s[top]))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
