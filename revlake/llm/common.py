@@ -47,7 +47,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     _STAGED.append((spark, path))
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in dfs:
+        if path := getattr(df, "_staged", None):
+            _drop(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,8 +8,8 @@ similarity s shares a table with probability ``(1 - (1 - s**rows)**tables)**2``;
 
 Pairs of keys are formed only of short keys that at least two texts hold: a short key held once can join no
 table, so this loses nothing.  Every candidate is verified on the full shingle sets.  Groups never expand into all
-pairs: a table's members are tested against a few pivots, components merge, and only members that are still in
-different components are tested again, until no table holds two components with an untested pair.
+pairs: classes are first tested against one or two pivots of their tables and components merge; what is left in
+different components is compared pair by pair only where an exact bound on the sets' difference allows a link.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import map_arrow, stage, texts_of
+from revlake.llm.common import discard, map_arrow, stage, texts_of
 from revlake.llm.components import components
 from revlake.llm.hashing import U, mix, words
 
@@ -135,37 +135,77 @@ def _tables(classes: DataFrame, tables: int) -> DataFrame:
     every = stage(halves.where("size(a) > 0 and size(b) > 0").select("rep", F.explode(pairs).alias("t")), "tensored")
     kind = every.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 31) - 1)).alias("s"), F.min("rep").alias("h"), F.max("rep").alias("g")).where("n > 1")
     chosen = kind.groupBy("n", "s", "h", "g").agg(F.min("t").alias("t")).select("t")
-    return stage(every.join(chosen, "t"), "tables")
+    out = stage(every.join(chosen, "t"), "tables")
+    discard(every)
+    return out
 
 
 def _merge(base: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """``(node, comp)`` of every class that some verified link reaches."""
     texts = stage(base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "texts")
     links = labels = None
-    step = 0
-    while True:
-        if labels is None:
-            held = members.withColumn("comp", F.col("rep"))
-        else:
-            held = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        # the first two steps test each class against one pivot only; later ones take 1, 2, 4, ... pivots of a table
-        # and test them against all members of other components, after which these pivots are done with
-        count = 1 if step < 2 else min(1 << (step - 2), 64)
-        order = [F.struct((F.lit(0) if step == 0 else F.xxhash64("rep", F.lit(step * 100 + i))).alias("o"), "rep", "comp") for i in range(count)]
-        table = held.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*[F.min(o) for o in order])).alias("pivots"))
-        table = table.where("lo < hi").select("t", "pivots")
-        open_ = stage(held.join(table, "t"), "open")
-        pairs = open_.select("rep", "comp", F.explode("pivots").alias("p")).where("p.comp <> comp")
-        pairs = pairs.select(F.col("rep").alias("u"), F.col("p.rep").alias("v"))
+    for step in range(3):
+        held = members.withColumn("comp", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        # at first each class is tested against one pivot of its tables only; that merges most of a group
+        pivot = F.min(F.struct((F.lit(0) if step == 0 else F.xxhash64("rep")).alias("o"), "rep", "comp"))
+        table = held.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("head"), pivot.alias("p")).where("lo < hi").select("t", "head", "p")
         if step < 2:
-            pairs = pairs.groupBy("u").agg(F.min("v").alias("v"))
-        pairs = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+            open_ = stage(held.join(table, "t"), "open")
+            pairs = open_.where("p.comp <> comp").select(F.col("rep").alias("u"), F.col("p.rep").alias("v")).groupBy("u").agg(F.min("v").alias("v"))
+            pairs = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+            discard(members)
+            members = open_.select("t", "rep")
+            members._staged = open_._staged
+        else:
+            open_ = stage(held.join(table, "t").select("rep", "comp", "head").distinct(), "open")
+            pairs = _remaining(open_, texts, size, percent)
         if pairs.isEmpty():
             break
         found = stage(_verified(pairs, texts, size, percent), "links")
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             labels = stage(components(links), "labels")
-        members = open_.select("t", "rep") if step < 2 else stage(open_.where(~F.exists("pivots", lambda p: p.rep == F.col("rep"))).select("t", "rep"), "tables")
-        step += 1
     return labels if labels is not None else members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).limit(0)
+
+
+def _remaining(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``(u, v)`` of different components that may still be linked, of ``(rep, comp, head)`` of open tables.
+
+    Classes that tables connect form a family with a pivot p.  Let d(x) be the size of the symmetric difference of x
+    and p, and u(x) the number of shingles that x alone holds.  These all count towards d(x), so
+    ``|x ^ y| >= u(x) + u(y) + |(d(x) - u(x)) - (d(y) - u(y))|``, and a pair whose bound exceeds what the similarity
+    allows for its sizes is no link.  The bound needs one comparison per class and drops nearly every pair of
+    copies that were changed too much, so a large group does not expand into all its pairs.
+    """
+    family = components(open_.select(F.col("rep").alias("u"), F.col("head").alias("v"))).select(F.col("node").alias("rep"), F.col("comp").alias("family"))
+    classes = open_.select("rep", "comp").distinct().join(family, "rep")
+
+    def facts(batch):
+        own, pivot = texts_of(batch, "tx"), texts_of(batch, "tp")
+        need = list({*own, *pivot})
+        sets = dict(zip(need, shingle_sets(need, size), strict=True))
+        n = [len(sets[t]) for t in own]
+        d = [len(np.setxor1d(sets[x], sets[p], assume_unique=True)) for x, p in zip(own, pivot, strict=True)]
+        flat = np.concatenate([sets[t] for t in own])
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+        return {"rep": batch.column(0), "comp": batch.column(1), "family": batch.column(2), "n": n, "d": d, "shingles": held}
+
+    joined = classes.join(texts.select("rep", F.col("text").alias("tx")), "rep").join(texts.select(F.col("rep").alias("family"), F.col("text").alias("tp")), "family")
+    known = stage(map_arrow(joined.select("rep", "comp", "family", "tx", "tp"), facts, "rep long, comp long, family long, n int, d int, shingles array<long>"), "facts")
+    alone = known.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("rep").alias("rep")).where("holders = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    # sizes of linked sets differ by less than a factor, so they lie in the same or neighbouring bands
+    band = F.floor(F.log(F.col("n")) / float(1.001 * np.log(100 / percent))).cast("int")
+    sized = stage(known.drop("shingles").join(alone, "rep", "left").select("rep", "comp", "family", "n", (F.col("d") - F.coalesce("alone", F.lit(0))).alias("e"), F.coalesce("alone", F.lit(0)).alias("alone"), band.alias("band")), "sized")
+    discard(known)
+    largest = sized.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+    sized = sized.join(largest, "family")
+    x = sized.where("comp <> largest").select(*[F.col(c).alias("x_" + c) for c in ("rep", "comp", "family", "n", "e", "alone")], F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("x_band"))
+    least = F.col("alone") + F.col("x_alone") + F.abs(F.col("e") - F.col("x_e"))
+    may = (
+        (F.col("comp") != F.col("x_comp"))
+        & ((F.col("comp") == F.col("largest")) | (F.col("rep") < F.col("x_rep")))
+        & (least * (100 + percent) <= (F.col("n") + F.col("x_n")) * (100 - percent))
+        & (F.least("n", "x_n") * 100 >= F.greatest("n", "x_n") * percent)
+    )
+    pairs = x.join(sized, (F.col("family") == F.col("x_family")) & (F.col("band") == F.col("x_band")) & may)
+    return stage(pairs.select(F.greatest("rep", "x_rep").alias("u"), F.least("rep", "x_rep").alias("v")).distinct(), "pairs")
