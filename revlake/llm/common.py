@@ -113,17 +113,19 @@ def residue(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, label, fold, limit: int) -> list[tuple[int, bytes, object]]:
-    """At most ``limit`` training rows ``(id, text, label)``, the same ones at every run.
+def labelled_sample(docs: DataFrame, labels: DataFrame, fold, limit: int) -> Iterator[tuple[int, bytes, object]]:
+    """At most ``limit`` training rows ``(id, text, label)``, the same ones at every run, in order of nothing.
 
-    The bound is the documented sample parameter of the classifiers; ordering by a hash of the id makes
-    the sample uniform and independent of partitioning.  It is top-k in Spark, so the driver receives only
-    ``limit`` rows however large the table is.
+    ``labels`` is ``doc_id, label``.  The bound is the documented sample parameter of the classifiers; ordering by a hash of
+    the id makes the sample uniform and independent of partitioning.  The ids are found by a top-k without the texts;
+    as there are at most ``limit`` of them they are broadcast, so no text is shuffled.  The sample is staged and
+    read a partition at a time: the driver never holds all its texts.
     """
-    picked = (
-        docs.where(fold & label.isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", label.alias("label"), F.xxhash64("doc_id").alias("_h"), "text")
-    )
-    ids = picked.select("doc_id", "_h").orderBy("_h", "doc_id").limit(limit)
-    rows = picked.join(F.broadcast(ids.select("doc_id")), "doc_id").select("doc_id", "text", "label").collect()
-    return sorted(((r[0], r[1].encode(), r[2]) for r in rows), key=lambda r: r[0])
+    there = docs.where(F.col("text").isNotNull()).select("doc_id")
+    usable = labels.where(F.col("label").isNotNull()).join(there, "doc_id", "left_semi").where(fold)
+    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    sample = stage(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "label")), "doc_id"), "sample")
+    parts = max(1, limit // 1000)
+    for r in sample.repartition(parts).toLocalIterator():
+        yield r["doc_id"], r["text"].encode(), r["label"]
+    discard(sample)

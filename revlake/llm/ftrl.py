@@ -12,7 +12,9 @@ non-zero weights, at most ``2**bits`` of them whatever the corpus holds.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -109,22 +111,25 @@ class Model:
         return w
 
 
-def train(rows: list[tuple[int, bytes, object]], spec: Features, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, epochs: int = 4) -> Model:
+def train(rows: Iterable[tuple[int, bytes, object]], spec: Features, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, epochs: int = 4) -> Model:
     """FTRL-proximal with per-coordinate rates: a coordinate with large past gradients moves less, and L1 keeps it at
-    exactly zero until its evidence exceeds ``l1``."""
+    exactly zero until its evidence exceeds ``l1``.  Rows are taken in order of their ids, shuffled alike at every run;
+    of a row only its feature numbers are kept."""
     size = 1 << spec.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     data = []
-    for lo in range(0, len(rows), 256):  # kept small: 32-bit numbers and values
-        data += [(i.astype(np.int32), x.astype(np.float32) if spec.unit else None) for i, x in features([t for _, t, _ in rows[lo : lo + 256]], spec)]
-    labels = [int(y) for _, _, y in rows]
+    for part in batched(rows, 256):
+        for (doc, _, label), (i, x) in zip(part, features([t for _, t, _ in part], spec), strict=True):
+            data.append((doc, int(label), i.astype(np.int32), x.astype(np.float32) if spec.unit else None))
+    data.sort(key=lambda r: r[:2])
+    labels = [r[1] for r in data]
     rng = np.random.default_rng(0)
     # the bias starts at the log-odds of the labels
     share = (sum(labels) + 1) / (len(labels) + 2)
     start = math.log(share / (1 - share))
     for _ in range(epochs):
         for k in rng.permutation(len(data)):
-            i, x = data[k]
+            _, _, i, x = data[k]
             i, x = np.append(i, size), np.append(x if x is not None else np.ones(len(i)), 0.3)
             zi, ni = z[i], n[i]
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
@@ -148,9 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold, spec: Features, li
     Several labels of one id are averaged; ids without text or label are left out.  With no usable row the model is
     constant (0.5).
     """
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
-    rows = labelled_sample(docs.select("doc_id", "text").join(known, "doc_id"), F.col("_label"), fold, limit)
-    return train(rows, spec, **more)
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
+    return train(labelled_sample(docs, known, fold, limit), spec, **more)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,11 +81,12 @@ class Centroids:
 
 def fit(docs: DataFrame, fold, limit: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
     """Centroids of the ``lang`` values of at most ``limit`` rows with text for which ``fold`` holds."""
-    rows = labelled_sample(docs, F.col("lang"), fold, limit)
-    tf = np.log1p(np.vstack([counts([t for _, t, _ in rows[i : i + 128]]) for i in range(0, len(rows), 128)])) if rows else np.zeros((0, DIMS), np.float32)
-    idf = np.log((1 + len(rows)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
+    rows = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("label")), fold, limit)
+    seen = sorted(((doc, str(name), np.log1p(v)) for part in batched(rows, 128) for (doc, _, name), v in zip(part, counts([t for _, t, _ in part]), strict=True)), key=lambda r: r[:2])
+    tf = np.vstack([v for _, _, v in seen]) if seen else np.zeros((0, DIMS), np.float32)
+    lang = np.array([name for _, name, _ in seen])
+    idf = np.log((1 + len(seen)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
     x = _unit(tf * idf)
-    lang = np.array([y for _, _, y in rows])
     matrix, names = [], []
     rng = np.random.default_rng(0)
     for name in sorted(set(lang)):
