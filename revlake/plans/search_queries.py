@@ -133,7 +133,7 @@ def w1(spark, sf):
     return hits.select("blob_key", "line", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after")).distinct()
 
 
-@query("k6_rendered", "with h as (select path, line, text, unnest(range(1, len(string_split(text, 'eauq')))) as k, string_split(text, 'eauq') as p from lines where contains(text, 'eauq')) select path || ':' || line || ':' || (strlen(array_to_string(p[1:k], 'quill')) + 1) || ':' || text as row from h order by path, line, k limit 1000")
+@query("k6_rendered", "with h as (select path, line, text, unnest(range(1, len(string_split(text, 'eauq')))) as k, string_split(text, 'eauq') as p from lines where contains(text, 'eauq')) select path || ':' || line || ':' || (strlen(array_to_string(p[1:k], 'eauq')) + 1) || ':' || text as row from h order by path, line, k limit 1000")
 def k6(spark, sf):
     page, _ = S.search(manifest(spark, sf), blobs(spark, sf), None, S.Query("eauq"))
     return S.rendered(page)
