@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.llm import ftrl, near_dedup, packing, quality, suffix_dedup, toxicity
-from revlake.llm.common import residue, shared_folder, table
+from revlake.llm.common import fresh, residue, shared_folder, table
 from revlake.llm.queries import tokenizer_file
 
 
 def _judged(docs: DataFrame, model: ftrl.Model, keep) -> DataFrame:
     """Documents whose score satisfies ``keep``; scored in place, so nothing is joined or shuffled."""
-    score = ftrl.score_column(docs, model)
-    return score.where(keep(F.col("_score"))).drop("_score")
+    name = fresh(docs, "_score")
+    return ftrl.score_column(docs, model, name=name).where(keep(F.col(name))).drop(name)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate component: five-word shingles, similarity 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

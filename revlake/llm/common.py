@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -46,7 +47,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/revlake-{uuid.uuid4().hex}-{label}"
     _STAGED.append((spark, path))
     schema = df.schema
-    df.write.parquet(path)
+    # what the written table was made from is not run again, so its shuffle files can go with the execution
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(schema).parquet(path)
     out._staged = path
     return out
@@ -59,6 +66,14 @@ def discard(*dfs: DataFrame) -> None:
             _drop(df.sparkSession, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlake.llm.common import map_arrow, stage, texts_of
+from revlake.llm.common import fresh, map_arrow, stage, texts_of
 from revlake.llm.hashing import U, mix, prefix_sums, span_hashes
 
 #: Bytes of the q-gram that names the initial bucket.
@@ -263,9 +263,10 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` (all columns) with ``repeated_spans``; the spans are null where a document has none."""
-    spans = repeated_spans(docs, length, id_col=id_col, text_col=text_col, **more)
-    return docs.join(spans.select(F.col("doc_id").alias("_doc"), F.col("spans").alias("repeated_spans")), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    """``docs`` (all columns) with a last column of the spans, null where a document has none."""
+    spans, key = repeated_spans(docs, length, id_col=id_col, text_col=text_col, **more), fresh(docs, "_doc")
+    found = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(fresh(docs, "repeated_spans")))
+    return docs.join(found, F.col(id_col) == F.col(key), "left").drop(key)
 
 
 def removed_report(docs: DataFrame, length: int = 400, **more) -> DataFrame:
