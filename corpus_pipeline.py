@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.llm import ftrl, near_dedup, packing, quality, suffix_dedup, toxicity
-from revlake.llm.common import fresh, residue, shared_folder, table
+from revlake.llm.common import few, fresh, residue, shared_folder, stage, table
 from revlake.llm.queries import tokenizer_file
 
 
@@ -36,8 +36,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate component: five-word shingles, similarity 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stage(near_dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id"), "gone")
+    return docs.join(few(gone), "doc_id", "left_anti")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the whole table; results between stages go to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
+    for i, (_, apply) in enumerate(STAGES):
+        apply(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
         docs = spark.read.parquet(f"{root}/{i}")
     return docs

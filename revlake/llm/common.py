@@ -66,6 +66,15 @@ def discard(*dfs: DataFrame) -> None:
             _drop(df.sparkSession, path)
 
 
+#: Rows of a few numbers each that may be broadcast: some MB.
+FEW = 1 << 19
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcasting if it has at most ``rows``; beyond, joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` has it."""
     held = {c.lower() for c in df.columns}

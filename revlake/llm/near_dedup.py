@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import discard, map_arrow, stage, texts_of
+from revlake.llm.common import discard, few, map_arrow, stage, texts_of
 from revlake.llm.components import components
 from revlake.llm.hashing import U, mix, words
 
@@ -142,7 +142,9 @@ def _tables(classes: DataFrame, tables: int) -> DataFrame:
 
 def _merge(base: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """``(node, comp)`` of every class that some verified link reaches."""
-    texts = stage(base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "texts")
+    # only texts that meet others in a table are moved; where their ids are few, the others stay in place
+    wanted = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    texts = stage(base.join(few(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "texts")
     links = labels = None
     for step in range(3):
         held = members.withColumn("comp", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
