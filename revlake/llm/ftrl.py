@@ -119,8 +119,12 @@ def train(rows: Iterable[tuple[int, bytes, object]], spec: Features, alpha: floa
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     data = []
     for part in batched(rows, 256):
-        for (doc, _, label), (i, x) in zip(part, features([t for _, t, _ in part], spec), strict=True):
-            data.append((doc, int(label), i.astype(np.int32), x.astype(np.float32) if spec.unit else None))
+        # one array for many rows: what is freed later goes back to the system
+        found = features([t for _, t, _ in part], spec)
+        index = np.concatenate([i for i, _ in found]).astype(np.int32)
+        value = np.concatenate([x for _, x in found]).astype(np.float32) if spec.unit else None
+        edge = np.cumsum([0, *(len(i) for i, _ in found)])
+        data += [(doc, int(label), index, value, lo, hi) for (doc, _, label), lo, hi in zip(part, edge[:-1], edge[1:], strict=True)]
     data.sort(key=lambda r: r[:2])
     labels = [r[1] for r in data]
     rng = np.random.default_rng(0)
@@ -129,8 +133,8 @@ def train(rows: Iterable[tuple[int, bytes, object]], spec: Features, alpha: floa
     start = math.log(share / (1 - share))
     for _ in range(epochs):
         for k in rng.permutation(len(data)):
-            _, _, i, x = data[k]
-            i, x = np.append(i, size), np.append(x if x is not None else np.ones(len(i)), 0.3)
+            _, _, index, value, lo, hi = data[k]
+            i, x = np.append(index[lo:hi], size), np.append(value[lo:hi] if spec.unit else np.ones(hi - lo), 0.3)
             zi, ni = z[i], n[i]
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + math.exp(-max(-35.0, min(35.0, start + float(w @ x)))))
