@@ -65,3 +65,34 @@ def candidates(postings_: DataFrame, literals: list[str] | None, members: DataFr
     hits = postings_.where(F.col("trigram").isin(sorted({w[1] for w in wanted}))).join(F.broadcast(asked), "trigram")
     full = hits.groupBy("alternative", "n", "blob_key").agg(F.count_distinct("need").alias("found")).where("found = n")
     return full.select("blob_key").distinct().join(members.select("blob_key"), "blob_key", "left_semi")
+
+
+def write_index(folder: str, postings_: DataFrame, blobs: DataFrame, manifest: DataFrame, commit: str) -> DataFrame:
+    """Write an index so that a reader never sees a blob as indexed before its postings are there: postings first, then
+    blobs, then the snapshot's manifest, and last the row that makes it READY.  Returns the snapshot table."""
+    spark = postings_.sparkSession
+    postings_.repartitionByRange("trigram").sortWithinPartitions("trigram").write.mode("append").parquet(f"{folder}/postings")
+    blobs.drop("content").write.mode("append").parquet(f"{folder}/blobs")
+    manifest.withColumn("commit", F.lit(commit)).repartitionByRange("path").sortWithinPartitions("path").write.mode("append").partitionBy("commit").parquet(f"{folder}/manifest")
+    facts = manifest.agg(F.count("*").alias("path_count"), F.sum(F.xxhash64("path", "blob_key").cast("decimal(38,0)")).cast("string").alias("checksum"))
+    facts.select(F.lit(commit).alias("commit"), F.lit("READY").alias("state"), F.lit(1).alias("format_version"), "path_count", "checksum").write.mode("append").parquet(f"{folder}/snapshots")
+    return spark.read.parquet(f"{folder}/snapshots")
+
+
+def incremental(manifest: DataFrame, known: DataFrame, changes: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(manifest, new blobs)`` of a snapshot from its parent's: only blobs that no snapshot had before are classified.
+
+    ``manifest`` is ``path, oid, mode``, ``changes`` a delta, ``known`` the registry's ``oid``, ``contents`` is ``oid, content, size``.
+    """
+    from revlake.operators.tree import apply_delta
+
+    new = changes.where("action = 'upserted'").select("oid").distinct().join(known.select("oid"), "oid", "left_anti")
+    return apply_delta(manifest, changes), registry(contents.dropDuplicates(["oid"]).join(new, "oid", "left_semi"))
+
+
+def generation(batches: DataFrame) -> DataFrame:
+    """``batch, generation``: the counter moves only with batches that added postings (``batch, added``)."""
+    from pyspark.sql import Window
+
+    moved = F.sum((F.col("added") > 0).cast("long")).over(Window.orderBy("batch"))  # a row per batch
+    return batches.select("batch", moved.alias("generation"))

@@ -207,3 +207,29 @@ def find(paths: DataFrame, start: str = "", name: str | None = None, iname: str
         if test is not None and not isinstance(test, str):
             keep = keep & test
     return every.where(keep).orderBy(F.split("path", "/"))
+
+
+def search_local(files: DataFrame, query: Query, rules: list[tuple[str, str, bool]] = (), tracked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(matches, outcome)`` over files that no index covers (``path, content, size``).
+
+    Ignore rules leave out paths that the base does not track; what they leave out is no gap in the coverage.  The outcome
+    counts eligible, ignored and excluded files.
+    """
+    from revlake.operators.rules import ignored
+
+    query = query.clamped()
+    f = files.where(P.within_scope("path", query.scope) & G.selected("path", query.include, query.exclude))
+    known = f.join(tracked.select("path", F.lit(True).alias("tracked")).distinct(), "path", "left") if tracked is not None else f.withColumn("tracked", F.lit(False))
+    skip = ~F.coalesce("tracked", F.lit(False)) & ignored("path", list(rules))
+    judged = known.withColumn("verdict", F.when(skip, "ignored").otherwise(F.coalesce(query.policy.reason(K.classify("content"), K.classify_path("path"), F.lit(True)), F.lit("eligible"))))
+    own = judged.where("verdict = 'eligible'").withColumn("blob_key", F.xxhash64("path"))
+    hits = occurrences(line_rows(own), query).join(own.select("path", "blob_key"), "blob_key")
+    return hits.drop("blob_key"), judged.groupBy("verdict").agg(F.count("*").alias("files"))
+
+
+def merged_search(base: DataFrame, local: DataFrame, rows: DataFrame) -> DataFrame:
+    """Base matches where the overlay leaves them, and local ones, each with its ``source``; exact, not over-fetched."""
+    from revlake.operators.overlay import place
+
+    columns = ["path", "line", "column", "matched"]
+    return place(base.select(*columns), rows).select(*columns, F.lit("base").alias("source")).unionByName(local.select(*columns, F.lit("local").alias("source")))

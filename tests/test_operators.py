@@ -366,3 +366,59 @@ def test_empty_inputs(spark):
     assert O.status(none).count() == O.merged(none, none).count() == O.resolve(none, none).count() == 0
     page, done = S.search(none.select("path", "blob_key"), X.registry(none.select("blob_key", "content", "size", "oid")), None, S.Query("x"))
     assert page.count() == 0 and done.first()["eligible_paths"] == 0 and done.first()["execution_status"] == "COMPLETE"
+
+
+def test_command_lines():
+    from revlake.plans.commands import Refused, diff_arguments, find_options, search_query
+
+    q = search_query(["-F", "-i", "-C", "200", "-g", "*.rs", "-g", "!target/", "a+b", "./src/"])
+    assert (q.pattern, q.literal, q.fold, q.scope, q.include, q.exclude, q.context) == ("a+b", True, True, "src", ("*.rs",), ("target/",), (64, 64))
+    for bad in (["--unknown", "x"], [], ["a", "b", "c"]):
+        with pytest.raises(Refused):
+            search_query(bad)
+    assert find_options([".", "-type", "d", "-maxdepth", "2", "-print"]) == {"start": "", "kind": "d", "maxdepth": 2}
+    for bad in (["-newer", "x"], ["-type", "l"], ["-name"]):
+        with pytest.raises(Refused):
+            find_options(bad)
+    assert diff_arguments([]) == (None, None) and diff_arguments(["a"]) == ("a", None) and diff_arguments(["a..b"]) == diff_arguments(["a", "b"]) == ("a", "b")
+    for bad in (["a...b"], ["a", "b", "c"], ["a..", "b"]):
+        with pytest.raises(Refused):
+            diff_arguments(bad)
+
+
+def test_written_index_and_bundle(spark, sf_dir, tmp_path):
+    from revlake.operators import export as B
+
+    f = V.files(spark, sf_dir)
+    b = X.registry(f.select(F.col("doc_id").alias("blob_key"), "oid", "size", "content"))
+    X.write_index(str(tmp_path / "i"), X.postings(b), b, T.build_manifest(V.manifest(spark, sf_dir, 1)), "rev-1")
+    state = X.write_index(str(tmp_path / "i"), X.postings(b), b, T.build_manifest(V.manifest(spark, sf_dir, 2)), "rev-2")
+    assert {(r["commit"], r["state"]) for r in state.collect()} == {("rev-1", "READY"), ("rev-2", "READY")}
+    m = spark.read.parquet(str(tmp_path / "i" / "manifest")).where("commit = 'rev-1'")
+    page, _ = S.search(m, b, spark.read.parquet(str(tmp_path / "i" / "postings")), S.Query("tion", results=5))
+    assert page.count() == 5
+    from revlake.operators import overlay as O
+
+    changes = O.status(V.overlay(spark, sf_dir))
+    patches = changes.select("path", F.lit("p").alias("patch"))
+    B.write_bundle(str(tmp_path / "b"), changes, patches)
+    assert spark.read.parquet(str(tmp_path / "b" / "manifest")).count() == changes.count() == spark.read.text(str(tmp_path / "b" / "changes")).count()
+
+
+def test_blame_lines_and_caps_of_queries(spark, sf_dir):
+    from revlake.plans import more_queries as M
+
+    hunks = Q.h9(spark, sf_dir).collect()
+    want = sorted((r["path"], k, r["version"], r["orig_start"] + k - r["start"]) for r in hunks for k in range(r["start"], r["start"] + r["lines"]) if k <= 5)
+    assert sorted(tuple(r) for r in M.w13(spark, sf_dir).collect()) == want
+    total = defaultdict(int)
+    for r in hunks:
+        total[r["path"]] += r["lines"]
+    assert {r["path"]: (r["width"], r["lines"]) for r in M.a16(spark, sf_dir).collect()} == {p: (1, n) for p, n in total.items()}
+    sections = sorted((r["path"], r["patch"]) for r in Q.h8(spark, sf_dir).collect())
+    kept, held = [], 0
+    for path, patch in sections:
+        held += len(patch.encode())
+        if held <= 20_000:
+            kept.append((path, patch))
+    assert [tuple(r) for r in M.l11(spark, sf_dir).collect()] == kept
