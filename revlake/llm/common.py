@@ -87,6 +87,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; the C library else keeps the pages of past training data."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut batches so that what a task holds of decoded text stays small."""
     for batch in batches:
@@ -97,6 +117,7 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[p
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with ``f(batch) -> dict of columns``; empty batches pass without a call."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlake.llm.common import chunks, labelled_sample, map_arrow, texts_of
+from revlake.llm.common import chunks, give_back, labelled_sample, map_arrow, texts_of
 from revlake.llm.hashing import LOWER, U, joined, mix, prefix_sums, span_hashes
 
 _KIND = np.full(256, 3, np.uint8)
@@ -158,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold, spec: Features, li
     constant (0.5).
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
-    return train(labelled_sample(docs, known, fold, limit), spec, **more)
+    model = train(labelled_sample(docs, known, fold, limit), spec, **more)
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import chunks, labelled_sample, map_arrow, texts_of
+from revlake.llm.common import chunks, give_back, labelled_sample, map_arrow, texts_of
 from revlake.llm.hashing import LOWER, joined
 
 DIMS = 4096
@@ -97,6 +97,7 @@ def fit(docs: DataFrame, fold, limit: int = SAMPLE, centroids: int = CENTROIDS)
             centre = _unit(np.vstack([own[place == k].mean(axis=0) if (place == k).any() else centre[k] for k in range(len(centre))]))
         matrix.append(centre)
         names += [str(name)] * len(centre)
+    give_back()
     return Centroids(idf, np.vstack(matrix).astype(np.float32) if matrix else np.zeros((0, DIMS), np.float32), names)
 
 

@@ -8,7 +8,7 @@ from revlake.llm.ftrl import Features, Model, fit
 
 SPEC = Features(order=2, skip=1, unit=False)
 #: Rates of the FTRL updates; an n-gram needs about this much evidence (l1) to get a weight at all.
-RATES = {"alpha": 1.5, "l1": 2.0, "l2": 0.003, "epochs": 8}
+RATES = {"alpha": 3.0, "l1": 2.5, "l2": 0.001, "epochs": 16}
 #: Labelled rows the model is fitted on, at most.
 SAMPLE = 12000
 #: Documents at or above are toxic.
