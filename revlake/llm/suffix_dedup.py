@@ -152,7 +152,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, gather: int = 16384, id_c
 
     rows = stage(map_arrow(base, anchors, "doc long, start int, count int, anchor int, bucket long, c1 long, c2 long"), "anchors")
     repeats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c1").alias("c_lo"), F.max("c1").alias("c_hi"), F.min("c2").alias("d_lo"), F.max("c2").alias("d_hi")).where("n > 1")
-    repeats = repeats.select("bucket", ((F.col("c_lo") != F.col("c_hi")) | (F.col("d_lo") != F.col("d_hi"))).alias("mixed"))
+    # a table of its own, so that the join below can split a bucket that holds very many rows
+    repeats = stage(repeats.select("bucket", ((F.col("c_lo") != F.col("c_hi")) | (F.col("d_lo") != F.col("d_hi"))).alias("mixed")), "buckets")
     live = stage(rows.join(repeats, "bucket"), "repeated")
     whole = live.where("not mixed").select("doc", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + length).alias("b"))
 
@@ -164,6 +165,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gather: int = 16384, id_c
     again = live.where("mixed").join(kinds.where("n > 1").select("bucket", "c1", "c2"), ["bucket", "c1", "c2"])
     again = again.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + length).alias("b"))
     width = kinds.groupBy("bucket").agg(F.count("*").alias("width"), F.sum((F.col("n") == 1).cast("long")).alias("open")).where("open > 0")
+    width = stage(width, "widths")
     wanted = kinds.join(width.select("bucket", (F.col("width") > gather).alias("wide")), "bucket").select("bucket", "n", "wide", "r.*")
     held = stage(_contexts(base, wanted, length), "bytes")
     tight = _refined(held.where("not wide"), length)
@@ -235,7 +237,7 @@ def _hashed(held: DataFrame, length: int) -> DataFrame:
         return {k: np.concatenate(v) for k, v in out.items()}
 
     strings = map_arrow(held.select("doc", "start", "count", "anchor", "data"), windows, "doc long, at int, h1 long, h2 long")
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    twice = stage(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "strings")
     return strings.join(twice, ["h1", "h2"]).select("doc", F.col("at").alias("a"), (F.col("at") + length).cast("int").alias("b"))
 
 
