@@ -155,8 +155,12 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
     if query.after:
         path, line, column = query.after
         found = found.where((F.col("path") > path) | ((F.col("path") == path) & ((F.col("line") > line) | ((F.col("line") == line) & (F.col("column") > column)))))
-    page = found.orderBy("path", "line", "column").limit(query.results + 1)
-    over = page.count() > query.results
+    columns = ["path", "line", "column", "matched", "line_text", "before", "after", "line_truncated"]
+    page = found.select(*columns).orderBy("path", "line", "column").limit(query.results + 1)
+    # a page is bounded in rows and in bytes of a line; held as rows, neither it nor its scan runs again
+    shown = page.collect()
+    over = len(shown) > query.results
+    matches = manifest.sparkSession.createDataFrame(shown[: query.results], page.schema)
     reason = "no_required_literal" if literals is None and postings is not None else stop or ("result_limit" if over else None)
     seen = coverage(judged)
     done = seen.select(
@@ -169,8 +173,7 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
         F.lit(totals["n"]).cast("long").alias("candidates_considered"),
         F.lit(totals["bytes"]).cast("long").alias("bytes_read"),
     )
-    columns = ["path", "line", "column", "matched", "line_text", "before", "after", "line_truncated"]
-    return page.orderBy("path", "line", "column").limit(query.results).select(*columns), done
+    return matches, done
 
 
 def within_display(hits: DataFrame, budget: int = DISPLAY_BYTES) -> DataFrame:
