@@ -116,7 +116,7 @@ def e27(spark, sf):
     return V.table(spark, sf, "events").select("event_id", P.valid_identifier(made).alias("valid"))
 
 
-@query("f10_touches")
+@query("f10_touches", "select c.\"commit\" from commits c left join edges e on e.\"commit\" = c.\"commit\" left join commits p on p.\"commit\" = e.parent group by c.\"commit\" having bool_and(e.parent is null or p.role is distinct from c.role)")
 def f10(spark, sf):
     c = V.commits(spark, sf)
     # the one file holds the turn's role: a commit touches it where the role changes
@@ -450,7 +450,10 @@ def t8(spark, sf):
     return S.fold(e, "user_id", ["seq"], S.Verdicts, "user_id long, seq long, outcome string, visible boolean")
 
 
-@query("w9_read_sessions")
+@query(
+    "w9_read_sessions",
+    "with g as (select user_id, ts, event_id, case when ts - lag(ts) over w >= interval '6 hours' or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id) as k from g) select user_id as dir, min(ts) as start, count(distinct event_id % 5) as files from s group by user_id, k having files >= 3",
+)
 def w9(spark, sf):
     e = V.table(spark, sf, "events").select(F.col("user_id").alias("dir"), (F.col("event_id") % 5).alias("name"), "ts")
     return E.read_sessions(e, "6 hours", 3)
