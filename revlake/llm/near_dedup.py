@@ -174,10 +174,10 @@ def _remaining(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     """The pairs ``(u, v)`` of different components that may still be linked, of ``(rep, comp, head)`` of open tables.
 
     Classes that tables connect form a family with a pivot p.  Let d(x) be the size of the symmetric difference of x
-    and p, and u(x) the number of shingles that x alone holds.  These all count towards d(x), so
-    ``|x ^ y| >= u(x) + u(y) + |(d(x) - u(x)) - (d(y) - u(y))|``, and a pair whose bound exceeds what the similarity
-    allows for its sizes is no link.  The bound needs one comparison per class and drops nearly every pair of
-    copies that were changed too much, so a large group does not expand into all its pairs.
+    and p, and u(x) the number of shingles that x alone holds, 0 for p itself.  These all count towards d(x), so
+    ``|x ^ y| >= u(x) + u(y) + |(d(x) - u(x)) - (d(y) - u(y))|``, which is d(y) if x is p, and a pair whose bound
+    exceeds what the similarity allows for its sizes is no link.  The bound needs one comparison per class and drops
+    nearly every pair of copies that were changed too much, so a large group does not expand into all its pairs.
     """
     family = components(open_.select(F.col("rep").alias("u"), F.col("head").alias("v"))).select(F.col("node").alias("rep"), F.col("comp").alias("family"))
     classes = open_.select("rep", "comp").distinct().join(family, "rep")
@@ -197,7 +197,9 @@ def _remaining(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     alone = known.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("rep").alias("rep")).where("holders = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     # sizes of linked sets differ by less than a factor, so they lie in the same or neighbouring bands
     band = F.floor(F.log(F.col("n")) / float(1.001 * np.log(100 / percent))).cast("int")
-    sized = stage(known.drop("shingles").join(alone, "rep", "left").select("rep", "comp", "family", "n", (F.col("d") - F.coalesce("alone", F.lit(0))).alias("e"), F.coalesce("alone", F.lit(0)).alias("alone"), band.alias("band")), "sized")
+    # what the pivot alone holds does not count towards d(pivot) = 0
+    own = F.when(F.col("rep") == F.col("family"), 0).otherwise(F.coalesce("alone", F.lit(0)))
+    sized = stage(known.drop("shingles").join(alone, "rep", "left").select("rep", "comp", "family", "n", (F.col("d") - own).alias("e"), own.alias("alone"), band.alias("band")), "sized")
     discard(known)
     largest = sized.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
     sized = sized.join(largest, "family")

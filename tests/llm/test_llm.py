@@ -113,6 +113,21 @@ def test_near_duplicates_edge_cases(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_remaining_pairs_with_a_pivot_that_has_own_shingles(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base, *[f"own{i}x{k}" for k in range(7)]]) for i in range(2)]  # 100 / 114 alike, 14 apart
+    for i in range(2, 40):
+        texts.append(" ".join([*rng.sample(base, rng.randint(88, 100)), *[f"own{i}x{k}" for k in range(rng.randint(0, 14))]]))
+    sets = [set(t.split()) for t in texts]
+    held = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    open_ = held.select("rep", F.col("rep").alias("comp"), F.lit(0).cast("long").alias("head"))
+    got = {(r["u"], r["v"]) for r in near_dedup._remaining(open_, held, 1, 85).collect()}
+    links = {(u, v) for u in range(40) for v in range(u) if 100 * len(sets[u] & sets[v]) >= 85 * len(sets[u] | sets[v])}
+    assert (1, 0) in links and links <= got
+    assert {p for p in got if p[1] == 0} == {p for p in links if p[1] == 0}  # the bound is exact for the pivot
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
