@@ -1,7 +1,7 @@
 """Best-fit sequence packing by a grouping genetic algorithm, run as islands with elite migration.
 
 Documents are tokenised once into pieces of at most ``capacity`` tokens; only the pieces' lengths take part in the
-packing.  Full pieces fill a sequence each.  The others are dealt by a hash of (id, piece) into lots of about
+packing.  Full pieces fill a sequence each.  The others are dealt by a hash of their row key into lots of about
 ``lot`` pieces; a lot's packing is independent of the others, so the lots spread over the cluster and each wastes less
 than one sequence.  On every lot ``islands`` populations evolve apart, each in its own task.  A child takes whole
 well-filled bins of one parent into the other, bins that then hold a document twice are dissolved, and the displaced
@@ -303,20 +303,20 @@ def _bin_of(p: Packing, n: int) -> list[int]:
 
 
 def pack(lengths: DataFrame, capacity: int = 2048, lot: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 8) -> DataFrame:
-    """``doc_id, piece, length`` to ``doc_id, piece, sequence_id, offset``; every length is 1 to ``capacity``.
+    """``key, length`` to ``key, sequence_id, offset``; keys are unique and not null, every length is 1 to ``capacity``.
 
     Equal rows, ties and any skew of the content are harmless: a lot is dealt by hash and holds lengths only.
     """
-    rows = lengths.select("doc_id", "piece", F.col("length").cast("int").alias("length"), F.xxhash64("doc_id", "piece").alias("h"))
-    full = rows.where(F.col("length") == capacity).select("doc_id", "piece", F.monotonically_increasing_id().alias("key"))
+    rows = lengths.select("key", F.col("length").cast("int").alias("length"))
+    full = rows.where(F.col("length") == capacity)
     part = rows.where(F.col("length") < capacity)
     count = part.count()
     lots = max(1, -(-count // lot))
-    dealt = part.select("doc_id", "piece", "length", F.pmod("h", F.lit(lots)).alias("lot"))
+    dealt = part.select("key", "length", F.pmod(F.xxhash64("key"), F.lit(lots)).alias("lot"))
     # about `lot` rows each, sorted so that every island sees the same item numbers
-    held = dealt.groupBy("lot").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "length"))).alias("items"))
+    held = dealt.groupBy("lot").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("items"))
     state = held.select("lot", "items", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.array().cast("array<array<int>>").alias("elites"))
-    schema = "lot long, items array<struct<doc_id:long,piece:int,length:int>>, island int, elites array<array<int>>"
+    schema = "lot long, items array<struct<key:long,length:int>>, island int, elites array<array<int>>"
     for epoch in range(epochs):
 
         def grow(batches, epoch=epoch):
@@ -336,13 +336,13 @@ def pack(lengths: DataFrame, capacity: int = 2048, lot: int = 4096, islands: int
     bins = F.element_at("elites", 1)
     best = grown.groupBy("lot").agg(F.min_by(F.struct("items", bins.alias("bins")), F.struct(F.array_max(bins), "island")).alias("b"))
     flat = best.select("lot", F.explode(F.arrays_zip(F.col("b.items").alias("items"), F.col("b.bins").alias("bins"))).alias("x"))
-    flat = flat.select(F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.piece").alias("piece"), F.col("x.items.length").alias("length"), "lot", F.col("x.bins").alias("bin"))
+    flat = flat.select(F.col("x.items.key").alias("key"), F.col("x.items.length").alias("length"), "lot", F.col("x.bins").alias("bin"))
     from pyspark.sql import Window
 
-    before = Window.partitionBy("lot", "bin").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = flat.select("doc_id", "piece", (F.col("lot") * (1 << 24) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    before = Window.partitionBy("lot", "bin").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = flat.select("key", (F.col("lot") * (1 << 24) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
     # full pieces are numbered below zero, apart from the lots
-    alone = full.select("doc_id", "piece", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = full.select("key", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.union(alone)
 
 
@@ -350,7 +350,9 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, **more) -> Dat
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are the end id alone; longer documents than ``capacity`` are cut, the last piece may be
-    shorter; an empty table gives no rows; other columns are ignored.  Ids are taken to be unique and not null.
+    shorter; an empty table gives no rows; other columns are ignored.  Ids may be null or repeated: every input row is
+    packed on its own.
     """
-    cut = stage(pieces(docs, tokenizer, capacity).drop("ids"), "pieces")
-    return cut.join(pack(cut, capacity, **more), ["doc_id", "piece"])
+    # the key is written with the pieces, so all that read them see the same
+    cut = stage(pieces(docs, tokenizer, capacity).drop("ids").withColumn("key", F.monotonically_increasing_id()), "pieces")
+    return cut.join(pack(cut.select("key", "length"), capacity, **more), "key").drop("key")

@@ -284,6 +284,27 @@ def test_op8_tokens_and_bins(spark, odd, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_packing_of_null_ids_and_repeated_rows(spark, odd):
+    rng = random.Random(9)
+    long = words(rng, 6000)  # several pieces, full ones among them
+    more = [(i, t) for i in (None, 7, 7) for t in (None, "one two", "one two", long)]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(3)
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    rows = packing.packed(docs, path).collect()
+    want = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pieces(docs, path).collect()]
+    assert {w[0] for w in want} >= {None, 7} and any(w[3] == 2048 for w in want)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == Counter(want)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 @pytest.mark.parametrize("text", ["it's they'll, don't. 'tis", "a|b | c||", "x≠ y≠", "É́, é. ça!? «quoted», »,", "$5,000.00!! 50%%% &&&", "ΑΣ. İ.", "<|endoftext|> a", "日本語。テスト,", " nbsp em \x1cfs", "naïve×, ÷.", "(a), b);", "\0nul.\0,", "averyveryverylongword, averyveryverylongword"])
 def test_word_ids_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
