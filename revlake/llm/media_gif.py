@@ -3,8 +3,9 @@
 ``decode`` reads any GIF87a/89a stream: LZW code streams of any code size, global and local palettes, interlacing,
 disposal, transparency and delays; every frame comes with its palette numbers and with the canvas it leaves on screen.
 ``encode_bytes`` stores arbitrary bytes losslessly as 8-bit samples of a grey palette, as timed frames of at most
-``FRAME_ROWS`` rows of 64 samples.  Code streams are packed and unpacked by numpy; only the LZW dictionary itself
-is walked in Python.
+``FRAME_ROWS`` rows of 64 samples.  Only the encoder walks an LZW dictionary: what a code stands for is a stretch of what
+was decoded before, one sample longer than the code that made the entry, so numpy expands the code streams of many
+images together.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import map_arrow, texts_of
+from revlake.llm.common import chunks, map_arrow, texts_of
 
 WIDTH = 64
 FRAME_ROWS = 4096
@@ -41,115 +44,147 @@ class Frame:
     canvas: np.ndarray
 
 
-def _widths(n: int, size: int) -> np.ndarray:
+#: Codes read at a time after a clear code; a table is full after fewer.
+_PLAN = 5200
+
+
+@cache
+def _widths(size: int, n: int = _PLAN) -> np.ndarray:
     """Bits of each of the first ``n`` codes after a clear code: the width follows from the entries known by then."""
-    known = (1 << size) + 2 + np.maximum(np.arange(n) - 1, 0)
     # the reader adds an entry with each code but the first
+    known = (1 << size) + 2 + np.maximum(np.arange(n) - 1, 0)
     return np.minimum(12, np.floor(np.log2(known + 0.5)).astype(np.int64) + 1)
 
 
 def lzw_encode(data: bytes, size: int = 8) -> bytes:
     """A GIF code stream (no sub-blocks) of samples below ``1 << size``."""
     clear, stop = 1 << size, (1 << size) + 1
-    runs: list[list[int]] = []
-    at, n = 0, len(data)
-    while at < n:
+    codes, widths = [np.array([clear])], [np.array([size + 1])]
+    samples = iter(data)
+    prefix = next(samples, None)
+    if prefix is None:
+        codes.append(np.array([stop]))
+        widths.append(np.array([size + 1]))
+    else:
+        prefix <<= 8  # codes are held shifted, so that a key is one "or"
+    while prefix is not None:
         table: dict[int, int] = {}
         get = table.get
-        codes: list[int] = []
-        put = codes.append
-        free, prefix = stop + 1, data[at]
-        at += 1
-        end = n
-        for k in range(at, n):
-            c = data[k]
-            key = prefix << 8 | c
-            nxt = get(key)
-            if nxt is not None:
-                prefix = nxt
-                continue
-            put(prefix)
-            prefix = c
-            if free == 4095:  # full: start over with this sample
-                end = k
-                break
-            table[key] = free
-            free += 1
-        if end == n:
-            put(prefix)
-            at = n
+        listed: list[int] = []
+        put = listed.append
+        free, full = stop + 1 << 8, 4095 << 8
+        for c in samples:
+            key = prefix | c
+            longer = get(key)
+            if longer is None:
+                put(prefix)
+                prefix = c << 8
+                if free == full:  # start over with this sample
+                    break
+                table[key] = free
+                free += 256
+            else:
+                prefix = longer
         else:
-            at = end
-        runs.append(codes)
-    codes, widths = [[clear]], [np.array([size + 1])]
-    for r in runs:
-        codes.append([*r, clear])
-        widths.append(_widths(len(r) + 1, size))
-    codes[-1][-1] = stop
-    if not runs:
-        codes.append([stop])
-        widths.append(np.array([size + 1]))
-    return _pack(np.concatenate([np.array(c, np.int64) for c in codes]), np.concatenate(widths))
+            put(prefix)
+            prefix = None
+        codes.append(np.array(listed, np.int64) >> 8)
+        codes.append(np.array([clear if prefix is not None else stop]))
+        widths.append(_widths(size)[: len(listed) + 1])
+    return _pack(np.concatenate(codes), np.concatenate(widths))
 
 
 def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
-    bit = np.arange(12)
-    return np.packbits(((codes[:, None] >> bit) & 1).astype(np.uint8)[bit < widths[:, None]], bitorder="little").tobytes()
+    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
-def lzw_decode(stream: bytes, size: int, want: int) -> bytes:
-    """The samples of a GIF code stream; a stream that ends early is filled up with 0."""
-    bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
+def _code_runs(stream: bytes, size: int) -> list[np.ndarray]:
+    """The codes of a stream, a run for each clear code; the stop code and what follows it are left out."""
+    raw = np.frombuffer(stream + bytes(4), np.uint8).astype(np.int32)
+    windows = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     clear, stop = 1 << size, (1 << size) + 1
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    out: list[bytes] = []
-    at = got = 0
-    plans: dict[int, np.ndarray] = {}
-    ended = False
-    while not ended and at + size + 1 <= len(bits) and got < want:
-        # codes up to the next clear code: their widths are known beforehand
-        n = 5200
-        while True:
-            if n not in plans:
-                plans[n] = np.concatenate([[0], np.cumsum(_widths(n, size))])
-            edge = plans[n]
-            usable = int(np.searchsorted(edge, len(bits) - at, side="right")) - 1
-            first, width = at + edge[:usable], np.diff(edge)[:usable]
-            offset = np.arange(12)
-            take = np.minimum(first[:, None] + offset, len(bits) - 1)
-            codes = ((bits[take].astype(np.int64) * (offset < width[:, None])) << offset).sum(axis=1)
-            marks = np.flatnonzero((codes == clear) | (codes == stop))
-            if len(marks) or usable < n:
+    edge = np.concatenate([[0], np.cumsum(_widths(size))])
+    runs, at, total = [], 0, 8 * len(stream)
+    while at + size + 1 <= total:
+        parts, marks = [], np.zeros(0, np.int64)
+        first, count = 0, 0  # of the run's codes
+        while not len(marks):
+            steps = edge if not first else 12 * np.arange(_PLAN + 1)  # a full table: 12 bits each
+            usable = int(np.searchsorted(steps, total - at, side="right")) - 1
+            if usable <= 0:
+                at = total
                 break
-            n *= 4
-        ended = not len(marks) or codes[marks[0]] == stop
-        count = int(marks[0]) if len(marks) else usable
-        at += int(edge[count + 1]) if len(marks) else int(edge[usable])
-        if not count:
-            continue
-        listed = codes[:count].tolist()
-        table = roots.copy()
-        grow, put = table.append, out.append
-        if listed[0] >= clear:
-            raise ValueError("a GIF code stream begins with an unknown code")
-        last = table[listed[0]]
-        put(last)
-        got += len(last)
-        for code in listed[1:]:
-            known = len(table)
-            if code < known:
-                entry = table[code]
-                if known < 4096:
-                    grow(last + entry[:1])
-            elif code == known and known < 4096:
-                entry = last + last[:1]
-                grow(entry)
-            else:
+            begin = at + steps[:usable]
+            got = windows[begin >> 3] >> (begin & 7) & (1 << np.diff(steps[: usable + 1])) - 1
+            marks = np.flatnonzero((got == clear) | (got == stop))
+            count = int(marks[0]) if len(marks) else usable
+            parts.append(got[:count])
+            at += int(steps[count + 1] if len(marks) else steps[usable])
+            first += count
+        if first:
+            runs.append(np.concatenate(parts))
+        if len(marks) and got[marks[0]] == stop:
+            break
+    return runs
+
+
+def lzw_decode(stream: bytes, size: int, want: int) -> bytes:
+    """The samples of a GIF code stream; a stream that ends early is filled up with 0."""
+    return _expand([(stream, size, want)])[0]
+
+
+def _expand(images: list[tuple[bytes, int, int]]) -> list[bytes]:
+    """The samples of ``(stream, code size, samples wanted)`` images, all at once.
+
+    Within a run, code ``k`` is a sample or names the entry that code ``j < k`` made: the samples of ``j`` and one more,
+    which follow each other in the output from where ``j`` begins.  Lengths and sources are then found by doubling.
+    """
+    runs: list[np.ndarray] = []
+    parents, counts = [], []
+    base = 0
+    for stream, size, _ in images:
+        mine = _code_runs(stream, size)
+        counts.append(sum(map(len, mine)))
+        for r in mine:
+            own = np.arange(len(r))
+            maker = r - (1 << size) - 2
+            if maker[0] >= 0 or (maker >= own).any():
                 raise ValueError("a GIF code stream holds an unknown code")
-            put(entry)
-            last = entry
-    data = b"".join(out)[:want]
-    return data.ljust(want, b"\0")
+            parents.append(np.where(r < 1 << size, own, maker) + base)
+            base += len(r)
+        runs += mine
+    if not base:
+        return [bytes(want) for _, _, want in images]
+    code, parent = np.concatenate(runs), np.concatenate(parents).astype(np.int32)
+    hop, more = parent, (parent != np.arange(base, dtype=np.int32)).astype(np.int32)
+    literal = more == 0
+    while True:
+        more += more[hop]
+        further = hop[hop]
+        if (further == hop).all():
+            break
+        hop = further
+    length = more + 1
+    start = np.cumsum(length, dtype=np.int64)
+    end_of, start = start, start - length
+    # a sample that is no code of its own is the one so much further back
+    back = np.repeat(np.where(literal, 0, start - start[parent]), length)
+    source = np.arange(len(back)) - back
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    value = np.zeros(len(back), np.uint8)
+    value[start[literal]] = code[literal]
+    out, ends, at = value[source].tobytes(), np.concatenate([[0], end_of]), 0
+    got = []
+    for (_, _, want), n in zip(images, counts, strict=True):
+        a, b = int(ends[at]), int(ends[at + n])
+        got.append(out[a : min(b, a + want)].ljust(want, b"\0"))
+        at += n
+    return got
 
 
 def _blocks(data: bytes) -> bytes:
@@ -176,15 +211,41 @@ def encode_bytes(data: bytes, delay_ms: int = 100) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
-def decode(gif: bytes, canvas: bool = True) -> list[Frame]:
-    """The frames of a GIF; without ``canvas`` the screen is not composed.  Malformed streams are a ``ValueError``."""
+@dataclass
+class _Image:
+    """A frame as it is written: where it goes, how it is shown, and its code stream."""
+
+    box: tuple[int, int, int, int]
+    interlaced: bool
+    colours: np.ndarray | None
+    control: tuple[int, int, int | None]
+    size: int
+    stream: bytes
+
+
+def decode(gif: bytes) -> list[Frame]:
+    """The frames of a GIF.  Malformed streams are a ``ValueError``."""
+    screen, images = _parsed(gif)
+    return list(_shown(screen, images, _expand([(x.stream, x.size, x.box[2] * x.box[3]) for x in images])))
+
+
+def decode_all(gifs: list[bytes]) -> Iterable[list[Frame]]:
+    """The frames of many GIFs, whose code streams are expanded together, about 256 KB of them at a time."""
+    for a, b in chunks(gifs, 1 << 18):
+        parsed = [_parsed(g) for g in gifs[a:b]]
+        samples = iter(_expand([(x.stream, x.size, x.box[2] * x.box[3]) for _, images in parsed for x in images]))
+        for screen, images in parsed:
+            yield list(_shown(screen, images, [next(samples) for _ in images]))
+
+
+def _parsed(gif: bytes) -> tuple[tuple[int, int], list[_Image]]:
     try:
-        return _decode(gif, canvas)
+        return _parse(gif)
     except (IndexError, struct.error) as e:
         raise ValueError("a GIF stream ends early") from e
 
 
-def _decode(gif: bytes, compose: bool) -> list[Frame]:
+def _parse(gif: bytes) -> tuple[tuple[int, int], list[_Image]]:
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF stream")
     wide, high, flags = struct.unpack_from("<HHB", gif, 6)
@@ -193,8 +254,7 @@ def _decode(gif: bytes, compose: bool) -> list[Frame]:
         n = 3 * (2 << (flags & 7))
         palette = np.frombuffer(gif[at : at + n], np.uint8).reshape(-1, 3)
         at += n
-    screen = np.zeros((high, wide, 4), np.uint8)
-    frames: list[Frame] = []
+    images: list[_Image] = []
     disposal, delay, clear_colour = 0, 0, None
     while gif[at] != 0x3B:
         if gif[at] == 0x21:
@@ -214,39 +274,58 @@ def _decode(gif: bytes, compose: bool) -> list[Frame]:
             colours = np.frombuffer(gif[at : at + n], np.uint8).reshape(-1, 3)
             at += n
         size = gif[at]
-        if not 1 <= size <= 11:
+        if not 1 <= size <= 8:
             raise ValueError("a GIF code size out of range")
         body, at = _sub_blocks(gif, at + 1)
-        index = np.frombuffer(lzw_decode(body, size, w * h), np.uint8).reshape(h, w)
-        if flags & 0x40:
+        images.append(_Image((left, top, w, h), bool(flags & 0x40), colours, (disposal, delay, clear_colour), size, body))
+        disposal, delay, clear_colour = 0, 0, None
+    return (wide, high), images
+
+
+def _shown(size: tuple[int, int], images: list[_Image], samples: list[bytes]) -> Iterable[Frame]:
+    """The frames in turn: palette applied, transparent samples left out, and the screen disposed of as asked."""
+    wide, high = size
+    screen = np.zeros((high, wide, 4), np.uint8)
+    for image, data in zip(images, samples, strict=True):
+        left, top, w, h = image.box
+        disposal, delay, clear_colour = image.control
+        index = np.frombuffer(data, np.uint8).reshape(h, w)
+        if image.interlaced:
             order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
             index = index[np.argsort(order)]
-        shown = screen
-        if compose:
-            before = screen.copy() if disposal == 3 else None
-            ys, xs = max(0, min(h, high - top)), max(0, min(w, wide - left))
-            part = index[:ys, :xs]
-            table = np.zeros((256, 4), np.uint8)
-            if colours is not None:
-                table[: len(colours), :3] = colours
-            table[:, 3] = 255
-            ink = np.ones(part.shape, bool) if clear_colour is None else part != clear_colour
-            area = screen[top : top + ys, left : left + xs]
-            area[ink] = table[part][ink]
-            shown = screen.copy()
-            if disposal == 2:
-                area[:] = 0
-            elif disposal == 3:
-                screen = before
-        frames.append(Frame(left, top, w, h, delay * 10, disposal, clear_colour, index, shown))
-        disposal, delay, clear_colour = 0, 0, None
-    return frames
+        before = screen.copy() if disposal == 3 else None
+        ys, xs = max(0, min(h, high - top)), max(0, min(w, wide - left))
+        part = index[:ys, :xs]
+        table = np.zeros((256, 4), np.uint8)
+        if image.colours is not None:
+            table[: len(image.colours), :3] = image.colours
+        table[:, 3] = 255
+        area = screen[top : top + ys, left : left + xs]
+        colours = table.view("<u4").ravel()[part].view(np.uint8).reshape(*part.shape, 4)
+        if clear_colour is None:
+            area[:] = colours
+        else:
+            ink = part != clear_colour
+            area[ink] = colours[ink]
+        shown = screen.copy()
+        if disposal == 2:
+            area[:] = 0
+        elif disposal == 3:
+            screen = before
+        yield Frame(left, top, w, h, delay * 10, disposal, clear_colour, index, shown)
+
+
+@cache
+def _boxes(bins: int) -> np.ndarray:
+    return (np.arange(256) * bins >> 8).astype(np.int32)
 
 
 def histogram(canvas: np.ndarray, bins: int = 4) -> np.ndarray:
     """Counts of a canvas' colours in ``bins**3`` boxes, transparent pixels left out."""
-    rgb = canvas[canvas[..., 3] > 0][:, :3].astype(np.int64) * bins >> 8
-    return np.bincount((rgb[:, 0] * bins + rgb[:, 1]) * bins + rgb[:, 2], minlength=bins**3)
+    flat, box = canvas.reshape(-1, 4), _boxes(bins)
+    if not (flat[:, 3] == 255).all():
+        flat = flat[flat[:, 3] > 0]
+    return np.bincount((box[flat[:, 0]] * bins + box[flat[:, 1]]) * bins + box[flat[:, 2]], minlength=bins**3)
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bins: int = 4) -> DataFrame:
@@ -291,21 +370,22 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def described(media: DataFrame) -> DataFrame:
     """``doc_id, media, n_bytes`` to the digests of what the stored bytes hold.
 
-    ``feature`` lists the frames, the play time and a 16-step grey histogram of the payload shown.
+    ``feature`` is taken from the frames as they are shown, after palette, transparency and disposal: how many, the play
+    time, and the boxes ``red.green.blue=pixels`` of a colour histogram of four steps a channel, summed over the frames.
     """
 
     def f(batch):
         out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for gif in batch.column(1).to_pylist():
-            shown = decode(gif, canvas=False)
+        gifs = batch.column(1).to_pylist()
+        for gif, shown in zip(gifs, decode_all(gifs), strict=True):
             payload = b"".join(x.index.tobytes() for x in shown)
-            grey = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
+            colours = sum(histogram(x.canvas) for x in shown)
             out["payload_bytes"].append(len(payload))
             out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
             out["tail_crc32"].append(zlib.crc32(payload[-64:]))
             out["media_bytes"].append(len(gif))
             out["media_sha256"].append(hashlib.sha256(gif).hexdigest())
-            out["feature"].append(f"{len(shown)}:{sum(x.delay_ms for x in shown)}:" + ",".join(map(str, grey.tolist())))
+            out["feature"].append(f"{len(shown)}:{sum(x.delay_ms for x in shown)}:" + ",".join(f"{i >> 4}.{i >> 2 & 3}.{i & 3}={colours[i]}" for i in np.flatnonzero(colours).tolist()))
         return {"doc_id": batch.column(0), "n_bytes": batch.column(2), **out}
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
