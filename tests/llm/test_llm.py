@@ -151,33 +151,51 @@ def test_components(spark):
 # repeated passages
 
 
-def removed(docs, length):
+def repeats(docs, length):
+    """Each text's longest runs of bytes that repeated strings cover."""
     seen = Counter(t[i : i + length] for _, t in docs for i in range(len(t) - length + 1))
-    out = {}
-    for i, t in docs:
-        spans = suffix_dedup.merged([(k, k + length) for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1])
-        out[i] = (len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(suffix_dedup.kept_bytes(t, spans)).hexdigest())
+    return [suffix_dedup.merged([(k, k + length) for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1]) for _, t in docs]
+
+
+def removed(docs, length):
+    out = Counter()
+    for (i, t), spans in zip(docs, repeats(docs, length), strict=True):
+        out[i, len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(suffix_dedup.kept_bytes(t, spans)).hexdigest()] += 1
     return out
 
 
 def test_op10_against_all_substrings(spark):
-    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op10_suffix_dedup(spark, SMALL).collect()}
+    got = Counter(map(tuple, queries.op10_suffix_dedup(spark, SMALL).collect()))
     assert got == removed(texts_of(table(spark, SMALL, "documents")), 400)
 
 
 @pytest.mark.parametrize("gather", [16384, 2])
-def test_repeats_edge_cases(odd, gather):
-    docs = odd.dropDuplicates(["doc_id"])
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removed_report(docs, 60, gather=gather).collect()}
+def test_repeats_edge_cases(spark, odd, gather):
+    # a repeated row, rows without an id, and different texts under one id
+    rng = random.Random(8)
+    more = [(i, words(rng, 30) + odd.where("doc_id = 6").first()["text"][40:400] + words(rng, 30)) for i in (None, None, 3, 3)]
+    more += [(None, words(rng, 40))] * 2 + [(12, "ab" * 700 + words(rng, 30) + "ab" * 90)]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(3)
+    got = Counter(map(tuple, suffix_dedup.removed_report(docs, 60, gather=gather).collect()))
     assert got == removed(texts_of(docs), 60)
 
 
 def test_texts_without_repeats(odd, empty):
-    docs = odd.dropDuplicates(["doc_id"])
-    out = suffix_dedup.without_repeats(docs, 60)
-    assert out.columns == docs.columns and suffix_dedup.without_repeats(empty).count() == 0
+    out = suffix_dedup.without_repeats(odd, 60)
+    assert out.columns == odd.columns and suffix_dedup.without_repeats(empty).count() == 0 and out.count() == odd.count()
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert rows[0]["text"] is None and rows[9]["text"] == docs.where("doc_id = 9").first()["text"] and rows[6]["text"] == "" and rows[6]["n_chars"] == 0
+    assert rows[0]["text"] is None and rows[9]["text"] == odd.where("doc_id = 9").first()["text"] and rows[6]["text"] == "" and rows[6]["n_chars"] == 0
+
+
+def test_passages_of_so_many_words(spark):
+    rng = random.Random(3)
+    passage = {n: " ".join(words(rng, 1) for _ in range(n)) for n in (50, 51, 52)}
+    texts = [words(rng, 20) + " " + passage[n] + " " + words(rng, 20) for n in passage for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in suffix_dedup.without_repeats(docs, 100, words=51).collect():
+        n = (50, 51, 52)[r["doc_id"] // 2]
+        assert (passage[n] in r["text"]) == (n == 50)
+    assert suffix_dedup.whole_words(b"one two three", 1, 13) == 2 and suffix_dedup.whole_words(b"one two three", 0, 10) == 2 and suffix_dedup.whole_words(b"a b", 1, 2) == 0
 
 
 def test_refinement_alone():
@@ -411,17 +429,80 @@ def test_counts_in_pieces(monkeypatch):
 # media
 
 
+def plain_gif_samples(gif):
+    """A second reader of GIF files without interlacing, code by code and bit by bit: the samples and delays of its images."""
+    at, samples, delays = 13 + (3 * (2 << (gif[10] & 7)) if gif[10] & 0x80 else 0), b"", []
+    while gif[at] != 0x3B:
+        image = gif[at] == 0x2C
+        if not image:
+            if gif[at + 1] == 0xF9:
+                delays.append(10 * int.from_bytes(gif[at + 4 : at + 6], "little"))
+            at += 2
+        else:
+            want = int.from_bytes(gif[at + 5 : at + 7], "little") * int.from_bytes(gif[at + 7 : at + 9], "little")
+            size, at = gif[at + 10], at + 11
+        body = b""
+        while gif[at]:
+            body += gif[at + 1 : at + 1 + gif[at]]
+            at += 1 + gif[at]
+        at += 1
+        if image:
+            bits, pos, out = int.from_bytes(body, "little"), 0, []
+            known, width, last = {}, size + 1, None
+            while True:
+                code = bits >> pos & (1 << width) - 1
+                pos += width
+                if code == 1 << size:
+                    known, width, last = {i: bytes([i]) for i in range(1 << size)}, size + 1, None
+                    continue
+                if code == (1 << size) + 1:
+                    break
+                entry = known[code] if code in known else last + last[:1]
+                if last is not None and len(known) + 2 < 4096:
+                    known[len(known) + 2] = last + entry[:1]
+                    if len(known) + 2 == 1 << width and width < 12:
+                        width += 1
+                last = entry
+                out.append(entry)
+            assert len(b"".join(out)) == want
+            samples += b"".join(out)
+    return samples, delays
+
+
 def test_op3_round_trip(spark, odd, empty):
     for docs, rows in ((table(spark, SMALL, "documents"), queries.op3_media_gif(spark, SMALL)), (odd, media_gif.described(media_gif.stored(odd)))):
         got = {r["doc_id"]: r for r in rows.collect()}
+        stored = {r["doc_id"]: bytes(r["media"]) for r in media_gif.stored(docs).collect()}
         for i, t in texts_of(docs):
             p = t + bytes(-len(t) % 64 if t else 64)
-            r, gif = got[i], media_gif.encode_bytes(t)
+            r, gif = got[i], stored[i]
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
             assert (r["media_bytes"], r["media_sha256"]) == (len(gif), hashlib.sha256(gif).hexdigest())
+            grey = Counter(b >> 6 for b in p)
+            assert r["feature"] == "1:100:" + ",".join(f"{g}.{g}.{g}={grey[g]}" for g in sorted(grey))
+            if len(t) < 20_000:
+                assert plain_gif_samples(gif) == (p, [100])
     assert media_gif.described(media_gif.stored(empty)).count() == 0
 
 
+def test_more_frames_than_one():
+    data = bytes(i * i % 251 for i in range(64 * 4096 + 777))
+    gif = media_gif.encode_bytes(data)
+    shown = media_gif.decode(gif)
+    assert [x.height for x in shown] == [4096, 13] and b"".join(x.index.tobytes() for x in shown) == data + bytes(-len(data) % 64)
+    # the second image covers the top of the screen only
+    assert shown[1].canvas[13:, :, 0].tobytes() == data[13 * 64 : 64 * 4096]
+    assert list(media_gif.decode_all([gif, gif]))[1][1].canvas.tobytes() == shown[1].canvas.tobytes()
+
+
+@pytest.mark.parametrize("stream", [b"", b"\xff\xff", bytes(range(40))])
+def test_malformed_code_streams(stream):
+    try:
+        assert len(media_gif.lzw_decode(stream, 8, 10)) == 10
+    except ValueError:
+        pass
+
+
 @pytest.mark.parametrize("size", [2, 5, 8])
 def test_lzw_round_trip(size):
     rng = random.Random(size)
@@ -515,11 +596,12 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert ids[0] == {i for i in start if scored[i] == 1}
     comps = linked_components([(r["doc_id"], r["text"].encode()) for r in clean], 5, 80)
     assert ids[1] <= ids[0] and ids[2] == {i for i, c in comps.items() if c[2]}
-    left = removed([(r["doc_id"], r["text"].encode()) for r in single], 400)
-    was = {r["doc_id"]: r["text"] for r in single}
-    for r in cut:
-        lost = len(was[r["doc_id"]].encode()) - len(r["text"].encode())
-        assert left[r["doc_id"]][1] - 8 * left[r["doc_id"]][2] <= lost <= left[r["doc_id"]][1] and r["n_chars"] == len(r["text"])
+    before = [(r["doc_id"], r["text"].encode()) for r in single]
+    left = {r["doc_id"]: r for r in cut}
+    for (i, t), spans in zip(before, repeats(before, corpus_pipeline.PASSAGE_BYTES), strict=True):
+        gone = [(a, b) for a, b in spans if suffix_dedup.whole_words(t, a, b) >= corpus_pipeline.PASSAGE_WORDS]
+        lost, most = len(t) - len(left[i]["text"].encode()), sum(b - a for a, b in gone)
+        assert most - 8 * len(gone) <= lost <= most and left[i]["n_chars"] == len(left[i]["text"])
     assert ids[3] == ids[2] == ids[4]
     assert_packed([(r["doc_id"], r["text"].encode()) for r in cut], packed)
 
