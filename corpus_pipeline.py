@@ -15,6 +15,10 @@ from revlake.llm import ftrl, near_dedup, packing, quality, suffix_dedup, toxici
 from revlake.llm.common import few, fresh, residue, shared_folder, stage, table
 from revlake.llm.queries import tokenizer_file
 
+#: Repeated passages: bytes that repeated strings of so many bytes cover, cut where they hold so many whole words.  In prose
+#: 51 words take more than 200 bytes; words of under 3 letters on average would escape.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
+
 
 def _judged(docs: DataFrame, model: ftrl.Model, keep) -> DataFrame:
     """Documents whose score satisfies ``keep``; scored in place, so nothing is joined or shuffled."""
@@ -41,8 +45,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes or more that also start elsewhere."""
-    return suffix_dedup.without_repeats(docs)
+    """Cut passages of more than 50 words that also stand elsewhere, all copies of them."""
+    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES, words=PASSAGE_WORDS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
