@@ -2,11 +2,14 @@
 
 Documents are tokenised once into pieces of at most ``capacity`` tokens; only the pieces' lengths take part in the
 packing.  Full pieces fill a sequence each.  The others are dealt by a hash of their row key into lots of about
-``lot`` pieces; a lot's packing is independent of the others, so the lots spread over the cluster and each wastes less
-than one sequence.  On every lot ``islands`` populations evolve apart, each in its own task.  A child takes whole
-well-filled bins of one parent into the other, bins that then hold a document twice are dissolved, and the displaced
-documents are placed again by best fit, longest first.  Between epochs each island sends its best packing to the next
-one of the ring; after the last epoch the lot keeps the best of all islands.
+``lot`` pieces, which spread over the cluster.  On every lot ``islands`` populations evolve apart, each in its own task.
+A child takes whole well-filled bins of one parent into the other, bins that then hold a document twice are dissolved,
+and the displaced documents are placed again by best fit, longest first.  Between epochs each island sends its best
+packing to the next one of the ring; after the last epoch the lot keeps the best of all islands.
+
+A lot's free room is lost only where it is spread over bins, so among packings of equally many bins those are fitter
+that gather it in one.  This emptiest bin of each lot is opened again, and the pieces of all of them are packed by the same
+algorithm, level by level, until one lot is left: what no lot could fill alone is filled together.
 """
 
 from __future__ import annotations
@@ -197,22 +200,23 @@ def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     return [ids for x, y in chunks(texts) for ids in _CACHES[path].ids(texts[x:y])]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, ids``: each document's ids and the end id, cut only above ``capacity``."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32``, and ``ids`` if wanted: each document's ids and the end id, cut only above ``capacity``."""
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids)
 
     def cut(batch):
-        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+        out = {k: [] for k in names}
         tail, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for doc, ids in zip(batch.column(0).to_pylist(), token_ids(texts_of(batch), tokenizer), strict=True):
-            ids += tail
-            for k, at in enumerate(range(0, len(ids), step)):
-                part = ids[at : at + step]
-                for name, x in (("doc_id", doc), ("piece", k), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part)), ("ids", part)):
+        for doc, held in zip(batch.column(0).to_pylist(), token_ids(texts_of(batch), tokenizer), strict=True):
+            held += tail
+            for k, at in enumerate(range(0, len(held), step)):
+                part = held[at : at + step]
+                for name, x in zip(names, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
                     out[name].append(x)
         return out
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(base, cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return map_arrow(base, cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
 class Packing:
@@ -223,9 +227,13 @@ class Packing:
     def __init__(self, bins: list[list[int]], room: list[int]):
         self.bins, self.room = bins, room
 
-    def cost(self, capacity: int) -> tuple[int, float]:
-        # fewer bins first, then fuller bins: a few nearly empty bins are easier to dissolve than many half-full ones
-        return len(self.bins), -sum(((capacity - r) / capacity) ** 2 for r in self.room)
+    def cost(self, capacity: int) -> float:
+        """Fewer bins first; among as many, those whose free room lies in few bins."""
+        return len(self.bins) + 1 - sum(((capacity - r) / capacity) ** 2 for r in self.room) / max(1, len(self.bins))
+
+    def ideal(self) -> bool:
+        """All free room is in one bin."""
+        return sum(self.room) == max(self.room, default=0)
 
 
 def best_fit(bins: list[list[int]], room: list[int], items: list[int], sizes: list[int], capacity: int) -> Packing:
@@ -248,6 +256,10 @@ def best_fit(bins: list[list[int]], room: list[int], items: list[int], sizes: li
     return Packing(bins, room)
 
 
+#: Share of the bins with room that a crossover dissolves besides those it must, and how far it departs from longest-first.
+OPENED, SHAKEN = 0.5, 0.05
+
+
 def _cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng) -> Packing:
     """Inject well-filled bins of ``b`` into ``a``, dissolve bins they collide with, best-fit the displaced items."""
     order = np.argsort(b.room, kind="stable")
@@ -256,21 +268,21 @@ def _cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng) -> Pack
     taken = full[lo : lo + max(1, int(rng.integers(1, max(2, len(full) // 4))))]
     inside = {i for k in taken for i in b.bins[k]}
     bins, room, loose = [b.bins[k] for k in taken], [b.room[k] for k in taken], []
-    worst = max(a.room)
-    for items, r in zip(a.bins, a.room, strict=True):
-        if inside.isdisjoint(items) and not (r and r >= worst * 0.5 and rng.random() < 0.5):  # the emptiest bins dissolve too
+    opened = rng.random(len(a.room)) < OPENED  # of the bins with room
+    for items, r, o in zip(a.bins, a.room, opened, strict=True):
+        if inside.isdisjoint(items) and not (r and o):
             bins.append(items)
             room.append(r)
         else:
             loose += [i for i in items if i not in inside]
-    loose.sort(key=lambda i: -sizes[i])
-    return best_fit(bins, room, loose, sizes, capacity)
+    shaken = 1 + SHAKEN * rng.random(len(loose))
+    order = sorted(zip((-sizes[i] * x for i, x in zip(loose, shaken, strict=True)), loose, strict=True))
+    return best_fit(bins, room, [i for _, i in order], sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]], population: int, generations: int) -> Packing:
     """One island's epoch; ``elites`` are packings (a bin number for each item) that it starts from."""
     rng = np.random.default_rng(seed)
-    floor = -(-sum(sizes) // capacity)
     pop = []
     for bin_of in elites:
         bins: dict[int, list[int]] = {}
@@ -279,12 +291,12 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]],
         pop.append(Packing(list(bins.values()), [capacity - sum(sizes[i] for i in x) for x in bins.values()]))
     if not pop:
         pop.append(best_fit([], [], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity))
-    while len(pop) < population and min(len(p.bins) for p in pop) > floor:
+    while len(pop) < population and not any(p.ideal() for p in pop):
         noise = rng.random(len(sizes)) * 0.15 + 1
         pop.append(best_fit([], [], sorted(range(len(sizes)), key=lambda i: -sizes[i] * noise[i]), sizes, capacity))
     pop.sort(key=lambda p: p.cost(capacity))
     for _ in range(generations):
-        if len(pop[0].bins) <= floor or len(pop) < 2:
+        if pop[0].ideal() or len(pop) < 2:
             break
         i, j = rng.choice(len(pop), 2, replace=False)
         child = _cross(pop[min(i, j)], pop[max(i, j)], sizes, capacity, rng)
@@ -295,55 +307,68 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]],
 
 
 def _bin_of(p: Packing, n: int) -> list[int]:
+    """A bin number for each item; bin 0 is the emptiest."""
     out = [0] * n
-    for k, items in enumerate(p.bins):
-        for i in items:
+    for k, b in enumerate(sorted(range(len(p.bins)), key=lambda b: -p.room[b])):
+        for i in p.bins[b]:
             out[i] = k
     return out
 
 
-def pack(lengths: DataFrame, capacity: int = 2048, lot: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 8) -> DataFrame:
-    """``key, length`` to ``key, sequence_id, offset``; keys are unique and not null, every length is 1 to ``capacity``.
-
-    Equal rows, ties and any skew of the content are harmless: a lot is dealt by hash and holds lengths only.
-    """
-    rows = lengths.select("key", F.col("length").cast("int").alias("length"))
-    full = rows.where(F.col("length") == capacity)
-    part = rows.where(F.col("length") < capacity)
-    count = part.count()
-    lots = max(1, -(-count // lot))
-    dealt = part.select("key", "length", F.pmod(F.xxhash64("key"), F.lit(lots)).alias("lot"))
+def _evolved(rows: DataFrame, lots: int, capacity: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """``key, length, lot, bin`` of ``key, length``: the best packing of each lot after all epochs."""
+    dealt = rows.select("key", "length", F.pmod(F.xxhash64("key"), F.lit(lots)).alias("lot"))
     # about `lot` rows each, sorted so that every island sees the same item numbers
     held = dealt.groupBy("lot").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("items"))
     state = held.select("lot", "items", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.array().cast("array<array<int>>").alias("elites"))
-    schema = "lot long, items array<struct<key:long,length:int>>, island int, elites array<array<int>>"
+    schema = "lot long, items array<struct<key:long,length:int>>, island int, elites array<array<int>>, cost double"
     for epoch in range(epochs):
 
         def grow(batches, epoch=epoch):
             for batch in batches:
-                best, ids = [], batch.column(2).to_pylist()
+                best, cost, ids = [], [], batch.column(2).to_pylist()
                 for n, (items, elites) in enumerate(zip(batch.column(1), batch.column(3).to_pylist(), strict=True)):
                     sizes = items.values.field("length").to_pylist()
                     seed = (batch.column(0)[n].as_py() * islands + ids[n]) * epochs + epoch
-                    best.append([_bin_of(evolve(sizes, capacity, seed, elites or [], population, generations), len(sizes))])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(best, pa.list_(pa.list_(pa.int32())))], names=["lot", "items", "island", "elites"])
+                    found = evolve(sizes, capacity, seed, elites or [], population, generations)
+                    best.append([_bin_of(found, len(sizes))])
+                    cost.append(found.cost(capacity))
+                cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(best, pa.list_(pa.list_(pa.int32()))), pa.array(cost)]
+                yield pa.RecordBatch.from_arrays(cols, names=["lot", "items", "island", "elites", "cost"])
 
         grown = stage(state.repartition(max(1, min(lots * islands, 4096)), "lot", "island").mapInArrow(grow, schema), "epoch")
         if epoch + 1 < epochs:
             sent = grown.select("lot", F.explode(F.array("island", ((F.col("island") + 1) % islands).cast("int"))).alias("island"), F.explode("elites").alias("e"))
             sent = sent.groupBy("lot", "island").agg(F.collect_list("e").alias("elites"))  # its own and one migrant
             state = grown.select("lot", "items", "island").join(sent, ["lot", "island"]).select("lot", "items", "island", "elites")
-    bins = F.element_at("elites", 1)
-    best = grown.groupBy("lot").agg(F.min_by(F.struct("items", bins.alias("bins")), F.struct(F.array_max(bins), "island")).alias("b"))
+    best = grown.groupBy("lot").agg(F.min_by(F.struct("items", F.element_at("elites", 1).alias("bins")), F.struct("cost", "island")).alias("b"))
     flat = best.select("lot", F.explode(F.arrays_zip(F.col("b.items").alias("items"), F.col("b.bins").alias("bins"))).alias("x"))
-    flat = flat.select(F.col("x.items.key").alias("key"), F.col("x.items.length").alias("length"), "lot", F.col("x.bins").alias("bin"))
+    return flat.select(F.col("x.items.key").alias("key"), F.col("x.items.length").alias("length"), "lot", F.col("x.bins").alias("bin"))
+
+
+def pack(lengths: DataFrame, capacity: int = 2048, lot: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 24) -> DataFrame:
+    """``key, length`` to ``key, sequence_id, offset``; keys are unique and not null, every length is 1 to ``capacity``.
+
+    Equal rows, ties and any skew of the content are harmless: a lot is dealt by hash and holds lengths only.
+    """
     from pyspark.sql import Window
 
+    rows = lengths.select("key", F.col("length").cast("int").alias("length"))
+    full = rows.where(F.col("length") == capacity)
+    todo = rows.where(F.col("length") < capacity)
     before = Window.partitionBy("lot", "bin").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = flat.select("key", (F.col("lot") * (1 << 24) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
     # full pieces are numbered below zero, apart from the lots
-    alone = full.select("key", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.union(alone)
+    out = full.select("key", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    level = 0
+    while True:
+        lots = max(1, -(-todo.count() // lot))
+        flat = stage(_evolved(todo, lots, capacity, islands, epochs, population, generations), "packed")
+        kept = flat if lots == 1 else flat.where("bin > 0")
+        number = F.lit(level << 56) + F.col("lot") * (1 << 24) + F.col("bin")
+        out = out.union(kept.select("key", number.alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset")))
+        if lots == 1:
+            return out
+        todo, level = flat.where("bin = 0").select("key", "length"), level + 1
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, **more) -> DataFrame:
@@ -354,5 +379,5 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, **more) -> Dat
     packed on its own.
     """
     # the key is written with the pieces, so all that read them see the same
-    cut = stage(pieces(docs, tokenizer, capacity).drop("ids").withColumn("key", F.monotonically_increasing_id()), "pieces")
+    cut = stage(pieces(docs, tokenizer, capacity, ids=False).withColumn("key", F.monotonically_increasing_id()), "pieces")
     return cut.join(pack(cut.select("key", "length"), capacity, **more), "key").drop("key")

@@ -344,15 +344,46 @@ def test_word_tables_when_full(monkeypatch):
         assert packing.token_ids([b"one two three, four five. six " * 3, b"seven two"], path) == want
 
 
-def test_genetic_packing_beats_nothing_worse_than_best_fit():
-    rng = random.Random(8)
-    sizes = [rng.randint(200, 900) for _ in range(300)]
-    plain = packing.best_fit([], [], sorted(range(300), key=lambda i: -sizes[i]), sizes, 2048)
-    found = packing.evolve(sizes, 2048, 1, [], 6, 60)
-    assert sorted(i for b in found.bins for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) + r == 2048 and r >= 0 for b, r in zip(found.bins, found.room, strict=True))
-    assert len(found.bins) <= len(plain.bins)
-    again = packing.evolve(sizes, 2048, 2, [packing._bin_of(found, 300)], 6, 10)
-    assert len(again.bins) <= len(found.bins)
+def piece_lengths(spark, low, high):
+    rows = packing.pieces(table(spark, LARGER, "documents"), queries.tokenizer_file("word_bpe_49k.json"), ids=False).select("doc_id", "length").collect()
+    return [r["length"] for r in sorted(rows) if low <= r["length"] < high]
+
+
+def longest_first(sizes):
+    return packing.best_fit([], [], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 2048)
+
+
+def test_crossovers_lower_the_count_on_real_lengths(spark, monkeypatch):
+    crossed, cross = [], packing._cross
+    monkeypatch.setattr(packing, "_cross", lambda *a: crossed.append(cross(*a)) or crossed[-1])
+    sizes = piece_lengths(spark, 500, 1100)
+    plain, found = longest_first(sizes), packing.evolve(sizes, 2048, 1, [], 4, 24)
+    assert len(sizes) > 3000 and crossed and len(found.bins) < len(plain.bins)
+    assert sorted(i for b in found.bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) + r == 2048 and r >= 0 for b, r in zip(found.bins, found.room, strict=True))
+    # an elite is where the next epoch starts
+    bin_of = packing._bin_of(found, len(sizes))
+    assert packing.evolve(sizes, 2048, 2, [bin_of], 4, 4).cost(2048) <= found.cost(2048)
+    left = Counter()
+    for i, k in enumerate(bin_of):
+        left[k] += sizes[i]
+    assert left[0] == min(left.values())
+
+
+def test_lots_share_what_they_leave(spark):
+    sizes = piece_lengths(spark, 1, 2049)[:4000] + [2048, 2048]
+    lengths = spark.createDataFrame(list(enumerate(sizes)), "key long, length long").repartition(4)
+    rows = packing.pack(lengths, lot=100).collect()
+    assert sorted(r["key"] for r in rows) == list(range(len(sizes)))
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], sizes[r["key"]]))
+    for parts in bins.values():
+        assert [a for a, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    part = lengths.where("length < 2048")
+    lots = -(-part.count() // 100)
+    apart = packing._evolved(part.withColumn("length", F.col("length").cast("int")), lots, 2048, 2, 2, 4, 24).groupBy("lot").agg(F.max("bin").alias("last"))
+    full = sum(n == 2048 for n in sizes)
+    assert lots > 30 and len(bins) < sum(r["last"] + 1 for r in apart.collect()) + full - lots // 4
 
 
 # classifiers
