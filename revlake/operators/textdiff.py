@@ -24,6 +24,12 @@ def split_lines(text: str) -> tuple[list[str], bool]:
     return (parts[:-1], True) if parts[-1] == "" else (parts, False)
 
 
+def _ended_lines(text: str) -> list[str]:
+    """Lines with their line feeds, so that an unended last line differs from the ended one."""
+    parts = text.split("\n")
+    return [x + "\n" for x in parts[:-1]] + parts[-1:] * bool(parts[-1])
+
+
 def edit_script(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
     """A shortest edit script by the greedy O(ND) search: ``(' ', i, j)``, ``('-', i, j)``, ``('+', i, j)``.
 
@@ -79,8 +85,7 @@ def _greedy(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
 
 def unified(old: str, new: str, context: int = CONTEXT) -> str:
     """Hunks of a unified diff, without the header of the files."""
-    a, a_done = split_lines(old)
-    b, b_done = split_lines(new)
+    a, b = _ended_lines(old), _ended_lines(new)
     script = edit_script(a, b)
     changed = [k for k, (op, _, _) in enumerate(script) if op != " "]
     groups: list[list[int]] = []
@@ -97,11 +102,9 @@ def unified(old: str, new: str, context: int = CONTEXT) -> str:
         count_a, count_b = sum(op != "+" for op, _, _ in part), sum(op != "-" for op, _, _ in part)
         out.append(f"@@ -{first_a + (count_a > 0)},{count_a} +{first_b + (count_b > 0)},{count_b} @@")
         for op, i, j in part:
-            out.append(op + (b[j] if op == "+" else a[i]))
-            last = (op != "+" and i == len(a) - 1 and not a_done) or (op != "-" and j == len(b) - 1 and not b_done)
-            if op == " ":
-                last = i == len(a) - 1 and j == len(b) - 1 and not (a_done and b_done)
-            if last:
+            line = b[j] if op == "+" else a[i]
+            out.append(op + line.removesuffix("\n"))
+            if not line.endswith("\n"):
                 out.append("\\ No newline at end of file")
     return "".join(x + "\n" for x in out)
 
@@ -123,9 +126,7 @@ def stats(changed: DataFrame) -> DataFrame:
         for batch in batches:
             adds, dels = [], []
             for old, new, binary in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                # an unended last line differs from the ended one
-                side = lambda t: (t or "").split("\n")[:-1] + ([(t or "").split("\n")[-1] + "\0"] if t and not t.endswith("\n") else [])
-                script = [] if binary else edit_script(side(old), side(new))
+                script = [] if binary else edit_script(_ended_lines(old or ""), _ended_lines(new or ""))
                 adds.append(sum(op == "+" for op, _, _ in script))
                 dels.append(sum(op == "-" for op, _, _ in script))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(adds, pa.int64()), pa.array(dels, pa.int64()), batch.column(3)], names=["path", "additions", "deletions", "binary"])

@@ -32,9 +32,9 @@ def s10(spark, sf):
     return V.commits(spark, sf).where("conv_id = 7").select("commit", "tree", "message", "author_name", "author_secs")
 
 
-@query("s13_catalog_refs", "select ref_name, target from refs order by ref_name limit 100")
+@query("s13_catalog_refs", "select ref_name, target from refs order by ref_name")
 def s13(spark, sf):
-    return V.refs(spark, sf).select("ref_name", "target").orderBy("ref_name").limit(100)
+    return V.refs(spark, sf).select("ref_name", "target").orderBy("ref_name")
 
 
 @query("s14_journal", "select path, present, kind, opaque, oid, mode, renamed_from from ov")
@@ -287,13 +287,13 @@ def o6(spark, sf):
 
 @query(
     "j13_reconcile_refs",
-    "with k as (select ref_name, arg_max(new_oid, seq) filter (where new_oid is not null) as oid from obs where seq < 3000 group by 1 having oid is not null), a as (select ref_name, arg_max(new_oid, seq) filter (where new_oid is not null) as oid from obs where seq < 6000 and seq % 7 <> 0 group by 1 having oid is not null) "
+    "with k as (select ref_name, arg_max(coalesce(new_oid, ''), seq) as oid from obs where seq <= (select max(seq) // 2 from obs) group by 1 having oid <> ''), a as (select ref_name, arg_max(coalesce(new_oid, ''), seq) as oid from obs group by 1 having oid <> '') "
     "select coalesce(k.ref_name, a.ref_name) as ref_name, case when k.oid is null then 'Created' when a.oid is null then 'Deleted' else 'Updated' end as change, k.oid as old_oid, a.oid as new_oid from k full outer join a on k.ref_name = a.ref_name where k.oid is distinct from a.oid",
 )
 def j13(spark, sf):
-    o = V.ref_observations(spark, sf).where("new_oid is not null")
-    last = lambda d: d.groupBy("ref_name").agg(F.max_by("new_oid", "seq").alias("oid"))
-    return C.reconcile(last(o.where("seq < 3000")), last(o.where("seq < 6000 and seq % 7 <> 0")))
+    o = V.ref_observations(spark, sf)
+    last = o.agg(F.max("seq")).first()[0] or 0
+    return C.reconcile(C.refs_as_of(o, last // 2), C.refs_as_of(o, last))
 
 
 @query(
@@ -469,14 +469,20 @@ def a8(spark, sf):
     return D.stats(D.pairs(V.snapshot(spark, sf, 0), V.snapshot(spark, sf, 1)))
 
 
+_LINES = "case when {c} = '' then 0 else strlen({c}) - strlen(replace({c}, chr(10), '')) + case when ends_with({c}, chr(10)) then 0 else 1 end end"
+_OPEN = "case when {c} = '' or ends_with({c}, chr(10)) then 0 else 1 end"
+
+
 @query(
     "a8_diffstat_appended",
-    "select a.path, (case when a.doc_id % 11 = 1 then 1 else 0 end + case when ends_with(a.content, chr(10)) or a.content = '' then 0 else 1 end)::bigint as additions, (case when ends_with(a.content, chr(10)) or a.content = '' then 0 else 1 end)::bigint as deletions, false as \"binary\" from snap2 a join snap1 b using (path) where a.doc_id % 11 = 1 and a.doc_id % 11 <> 2",
+    "select coalesce(a.path, b.path) as path, "
+    f"(case when a.path is null then {_LINES.format(c='b.content')} when b.path is null or a.content = b.content then 0 when a.doc_id % 11 = 1 then 2 else {_OPEN.format(c='b.content')} end)::bigint as additions, "
+    f"(case when b.path is null then {_LINES.format(c='a.content')} when a.path is null or a.content = b.content then 0 when a.doc_id % 11 = 1 then {_OPEN.format(c='a.content')} else 2 end)::bigint as deletions, "
+    'contains(substring(coalesce(a.content, \'\'), 1, 8000) || substring(coalesce(b.content, \'\'), 1, 8000), chr(0)) as "binary" '
+    "from snap2 a full outer join snap1 b on a.path = b.path where a.oid is distinct from b.oid or a.mode is distinct from b.mode",
 )
 def a8_appended(spark, sf):
-    old, new = V.snapshot(spark, sf, 2).where("doc_id % 11 = 1"), V.snapshot(spark, sf, 1)
-    both = D.pairs(old, new.join(old.select("path"), "path", "left_semi"))
-    return D.stats(both.where("new_content is not null"))
+    return D.stats(D.pairs(V.snapshot(spark, sf, 2), V.snapshot(spark, sf, 1)))
 
 
 @query("h8_patches")

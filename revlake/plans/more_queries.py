@@ -61,13 +61,16 @@ def x10(spark, sf):
 @query(
     "x11_merged_search",
     "with b as (select path, line, unnest(range(1, len(string_split(text, 'tiont')))) as k, string_split(text, 'tiont') as p from (select path, unnest(l) as text, unnest(range(1, len(l) + 1)) as line from (select path, case when ends_with(content, chr(10)) then string_split(content, chr(10))[:-2] else string_split(content, chr(10)) end as l from snap3 where content <> '')) where contains(text, 'tiont')) "
-    "select path, line, (strlen(array_to_string(p[1:k], 'tiont')) + 1)::bigint as \"column\", 'tiont' as matched, 'base' as source from b where not exists (select 1 from ov o where o.path = b.path) and not exists (select 1 from ov o where (not o.present or o.kind <> 'directory' or o.opaque) and starts_with(b.path, o.path || '/'))",
+    "select path, line, (strlen(array_to_string(p[1:k], 'tiont')) + 1)::bigint as \"column\", 'tiont' as matched, 'base' as source from b where not exists (select 1 from ov o where o.path = b.path) and not exists (select 1 from ov o where (not o.present or o.kind <> 'directory' or o.opaque) and starts_with(b.path, o.path || '/')) "
+    "union all select 'new/doc-' || blob_key || '.txt', line, (strlen(array_to_string(p[1:k], 'tiont')) + 1)::bigint, 'tiont', 'local' from (select blob_key, line, unnest(range(1, len(string_split(text, 'tiont')))) as k, string_split(text, 'tiont') as p from lines where blob_key % 29 = 0 and contains(text, 'tiont'))",
 )
 def x11(spark, sf):
     s = V.snapshot(spark, sf, 3)
     lines = S.line_rows(s.withColumnRenamed("path", "p").withColumn("blob_key", F.col("doc_id")))
     hits = S.occurrences(lines, S.Query("tiont")).join(s.select("path", F.col("doc_id").alias("blob_key")), "blob_key")
-    return S.merged_search(hits, hits.limit(0), V.overlay(spark, sf).withColumn("base_bytes", F.lit(False)))
+    rows = V.overlay(spark, sf)
+    new = V.overlay_content(spark, sf).join(rows.where("present and path like 'new/%'").select("path"), "path", "left_semi")
+    return S.merged_search(hits, S.search_local(new, S.Query("tiont"))[0], rows.withColumn("base_bytes", F.lit(False)))
 
 
 @query("x13_incremental", "select path, oid, mode from snap2")
@@ -144,9 +147,9 @@ def w11(spark, sf):
     return C.evict(e, int(e.count() * 0.9))
 
 
-@query("l6_status_order", "select path, kind from changes order by path limit 100")
+@query("l6_status_order", "select path, kind from changes order by path")
 def l6(spark, sf):
-    return O.status(V.overlay(spark, sf)).select("path", "kind").orderBy("path").limit(100)
+    return O.status(V.overlay(spark, sf)).select("path", "kind").orderBy("path")
 
 
 @query("l8_pending_events", "select seq, ref_name from obs where new_oid is not null order by seq limit 25")
@@ -199,11 +202,15 @@ def k3(spark, sf):
     return T.written_tree(base, O.commit_plan(O.status(rows), O.directory_deletions(rows), base))
 
 
-@query("k4_bundle_records", "select path, sha256('') as patch_sha256 from changes")
+@query("k4_bundle_records")
 def k4(spark, sf):
     rows = O.status(V.overlay(spark, sf))
-    none = rows.select("path", F.lit(None).cast("string").alias("patch")).limit(0)
-    return B.records(rows, none).select("path", "patch_sha256")
+    base = V.snapshot(spark, sf, 3).select(F.col("path").alias("at"), F.col("content").alias("old_content"))
+    new = V.overlay_content(spark, sf).withColumnRenamed("content", "new_content")
+    both = rows.withColumn("at", F.coalesce("from", "path")).join(base, "at", "left").join(new, "path", "left")
+    old, come = F.when(F.col("kind") != "Added", F.col("old_content")), F.when(F.col("kind") != "Deleted", F.col("new_content"))
+    patches = D.patches(both.select("path", old.alias("old_content"), come.alias("new_content"), "old_mode", "new_mode", "kind", "from"))
+    return B.records(rows, patches).select("path", "patch_sha256")
 
 
 @query("j20_verdict_age", "select event_id, floor(epoch(ts))::bigint - lag(floor(epoch(ts))::bigint) over (partition by user_id, event_type order by event_id) < case when event_type = 'error' then 20000 else 100000 end as reused from events")

@@ -26,11 +26,12 @@ def manifest(spark, sf):
 
 @query(
     "e18_trigrams",
-    "select doc_id, count(distinct b[i:i+5]) as n from (select doc_id, hex(encode(content)) as b, strlen(content) as n from files where size between 3 and 3000) x, lateral (select unnest(range(1, 2 * n - 4, 2)) as i) group by 1",
+    "select doc_id, count(distinct b[i:i+5]) as n from (select doc_id, hex(encode(content)) as b, strlen(content) as n from files where size >= 3) x, lateral (select unnest(range(1, 2 * n - 4, 2)) as i) group by 1 union all select doc_id, 0 from files where size < 3",
 )
 def e18(spark, sf):
-    f = V.files(spark, sf).where(F.col("size").between(3, 3000))
-    return f.select("doc_id", F.size(R.trigram_column("content")).cast("long").alias("n"))
+    f = V.files(spark, sf)
+    held = R.trigram_rows(f, "doc_id").groupBy(F.col("blob_key").alias("doc_id")).agg(F.count("*").alias("n"))
+    return f.select("doc_id").join(held, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(
@@ -158,7 +159,7 @@ def u3(spark, sf):
     return placed.select("path", F.lit("base").alias("source")).unionByName(local.select("path", F.lit("local").alias("source")))
 
 
-@query("w4_byte_budget", "with r as (select path, size, sum(size) over (order by path) - size as before from files where contains(content, 'eau')) select path, size from r where before <= 100000")
+@query("w4_byte_budget", "with r as (select path, size, sum(size) over (order by path) - size as before, row_number() over (order by path) as place from files where contains(content, 'eau')) select path, size from r where before <= 100000 and place <= 200000")
 def w4(spark, sf):
     f = V.files(spark, sf).where(F.col("content").contains("eau")).select("path", "size")
     head = f.orderBy("path").limit(S.MOST_CANDIDATES)

@@ -178,11 +178,10 @@ def e16(spark, sf):
 
 @query(
     "e17_utf8_cut",
-    "select doc_id, case when strlen(content) <= 101 then content else (select max(substring(content, 1, n)) from unnest(range(90, 102)) t(n) where strlen(substring(content, 1, n)) <= 101) end as cut from files where length(content) > 0 and strlen(substring(content, 1, 90)) <= 101",
+    "select doc_id, case when strlen(content) <= 101 then content else (select max(substring(content, 1, n)) from unnest(range(0, 102)) t(n) where strlen(substring(content, 1, n)) <= 101) end as cut from files",
 )
 def e17(spark, sf):
-    f = V.files(spark, sf).where((F.length("content") > 0) & (F.octet_length(F.substring("content", 1, 90)) <= 101))
-    return f.select("doc_id", K.utf8_cut("content", 101).alias("cut"))
+    return V.files(spark, sf).select("doc_id", K.utf8_cut("content", 101).alias("cut"))
 
 
 @query(
@@ -198,10 +197,9 @@ def e29(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", F.replace(P.percent_encode("url"), F.lit("/"), F.lit("%2F")).alias("encoded"), P.xml_escape("url").alias("xml"))
 
 
-@query("e30_quoted", "select doc_id, case when text ~ '^[ -!#-\\[\\]-~]*$' then 'a/' || text else '\"a/' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"' end as quoted from (select doc_id, substring(text, 1, 60) as text from documents) where text ~ '^[ -~\\n]*$'")
+@query("e30_quoted")
 def e30(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("text")).where(F.col("text").rlike(r"\A[ -~\n]*\z"))
-    return d.select("doc_id", P.quoted("a/", "text").alias("quoted"))
+    return V.files(spark, sf).select("doc_id", P.quoted("a/", "content").alias("quoted"))
 
 
 @query("e31_resolved", "select event_id, case when event_type in ('error', 'view') then null when event_type = 'click' then 'u/' || user_id else 'x/' || user_id end as path from events")
@@ -319,10 +317,10 @@ def a17(spark, sf):
     return C.extension_profile(V.files(spark, sf))
 
 
-@query("l9_depth_first", "select path from (select path from files union select dir from anc) order by string_split(path, '/') limit 500")
+@query("l9_depth_first", "select path from (select path from files union select dir from anc) order by string_split(path, '/')")
 def l9(spark, sf):
     f = V.files(spark, sf)
-    return f.select("path").union(V.directories(f)).distinct().orderBy(F.split("path", "/")).limit(500)
+    return f.select("path").union(V.directories(f)).distinct().orderBy(F.split("path", "/"))
 
 
 @query("w15_front_coding")

@@ -65,11 +65,9 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
     one = last.select((F.col("conv_id") + 1).alias("conv_id"), F.concat_ws("-", F.lit("c"), "conv_id", "last").alias("p1"))
     two = last.select((F.col("conv_id") + 2).alias("conv_id"), F.concat_ws("-", F.lit("c"), "conv_id", "last").alias("p2"))
-    before = c.select("conv_id", F.col("turn").alias("t0")).withColumnRenamed("conv_id", "cv")
     j = c.join(one, "conv_id", "left").join(two, "conv_id", "left")
     first = c.groupBy("conv_id").agg(F.min("turn").alias("first"))
     j = j.join(first, "conv_id")
-    del before
     merge = F.when(F.col("conv_id") % 5 == 0, F.col("p2"))
     parents = F.when(F.col("turn") > F.col("first"), F.array(F.concat_ws("-", F.lit("c"), "conv_id", F.col("turn") - 1))).otherwise(F.array_compact(F.array("p1", merge)))
     secs = F.lit(1_600_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60
@@ -123,6 +121,17 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(gone).unionByName(new).unionByName(dirs)
 
 
+def overlay_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content`` of the files that are present in ``overlay``."""
+    base, k = snapshot(spark, sf_dir, 3), F.col("doc_id") % 13
+    held = base.where(k.isin(2, 3, 4)).select(
+        F.when(k == 3, F.concat(F.lit("moved/doc-"), F.col("doc_id"), F.lit(".txt"))).otherwise(F.col("path")).alias("path"),
+        F.when(k == 2, F.concat("content", F.lit("\nlocal"))).otherwise(F.col("content")).alias("content"),
+    )
+    new = table(spark, sf_dir, "documents").where("doc_id % 29 = 0")
+    return held.union(new.select(F.concat(F.lit("new/doc-"), F.col("doc_id"), F.lit(".txt")), F.coalesce("text", F.lit(""))))
+
+
 def _none(*fields: str):
     return [F.lit(None).cast(kind).alias(name) for name, kind in (f.split() for f in fields)]
 

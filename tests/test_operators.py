@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -17,11 +18,14 @@ from revlake.functions import patterns as R
 from revlake.functions import paths as P
 from revlake.operators import history as L
 from revlake.operators import index as X
+from revlake.operators import overlay as O
 from revlake.operators import rules
 from revlake.operators import search as S
 from revlake.operators import textdiff as D
 from revlake.operators import tree as T
 from revlake.plans import graph_queries as Q
+from revlake.plans import more_queries as M
+from revlake.plans import tree_queries as W
 from revlake.sources import views as V
 from revlake.streaming import detectors as Z
 
@@ -31,16 +35,24 @@ RESERVED = "refs/internal/"
 @pytest.mark.parametrize(
     "glob, path, hit",
     [
-        ("*.min.js", "a/b/jquery.min.js", True),
-        ("src/*.rs", "src/a/main.rs", False),
-        ("src/*.rs", "other/src/main.rs", False),
-        ("src/**/*.rs", "src/main.rs", True),
-        ("src/**/*.rs", "src/a/b/main.rs", True),
-        ("node_modules/", "web/node_modules/react/index.js", True),
-        ("node_modules/", "node_modules", False),
-        ("[abc", "[abc", True),
-        (r"a\*b", "a*b", True),
-        (r"a\*b", "axb", False),
+        # a pattern without a slash matches a name at any depth
+        ("*.log", "var/2024/boot.log", True),
+        ("*.log", "var/boot.log.1", False),
+        # one with a slash is anchored at the root, and a star stays within a component
+        ("docs/*.md", "docs/intro.md", True),
+        ("docs/*.md", "docs/guide/intro.md", False),
+        ("docs/*.md", "old/docs/intro.md", False),
+        # two stars take any number of components, none included
+        ("lib/**/test", "lib/test", True),
+        ("lib/**/test", "lib/x/y/test", True),
+        ("lib/**/test", "lib/x/testing", False),
+        # a trailing slash takes what lies below a directory, not a file of its name
+        ("cache/", "app/cache/page/1.bin", True),
+        ("cache/", "app/cache", False),
+        # a bracket without its end and an escaped sign are ordinary
+        ("q[uv", "q[uv", True),
+        (r"what\?", "what?", True),
+        (r"what\?", "whats", False),
         ("a/**/b", "a/xb", True),
         ("/top.txt", "a/top.txt", False),
         ("a?c", "a/c", False),
@@ -56,21 +68,21 @@ def test_globs(spark, glob, path, hit):
 @pytest.mark.parametrize(
     "pattern, literal, fold, want",
     [
-        ("authorize", False, False, ["authorize"]),
-        ("foo|barbaz", False, False, ["foo", "barbaz"]),
-        ("foo|ba", False, False, None),
-        ("colors?", False, False, ["color"]),
-        (r"fn\s+authorize_", False, False, ["authorize_"]),
-        ("a.b", False, False, None),
-        (r"\w+", False, False, None),
-        ("^$", False, False, None),
-        ("(", False, False, None),
-        ("(?:abc)+", False, False, ["abc"]),
-        ("(?:abc)*", False, False, None),
+        ("needle", False, False, ["needle"]),
+        ("north|southern", False, False, ["north", "southern"]),
+        ("north|so", False, False, None),
+        ("batch(es)?", False, False, ["batch"]),
+        (r"def\s+reduce_", False, False, ["reduce_"]),
+        ("x.y", False, False, None),
+        (r"\d*", False, False, None),
+        ("$", False, False, None),
+        ("[", False, False, None),
+        ("(?:tick)+", False, False, ["tick"]),
+        ("(?:tick)*", False, False, None),
         ("a.b", True, False, ["a.b"]),
         ("café", True, False, ["café"]),
         ("café", True, True, None),
-        ("(?i)authorize", False, False, None),
+        ("(?i)needle", False, False, None),
     ],
 )
 def test_required_literals(pattern, literal, fold, want):
@@ -242,6 +254,77 @@ def test_patches_stats_and_cap(spark):
     assert more and [r["path"] for r in page.collect()] == ["b"]
 
 
+def c_quoted(text):
+    named = {7: "\\a", 8: "\\b", 9: "\\t", 10: "\\n", 11: "\\v", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+    raw = ("a/" + text).encode()
+    shown = "".join(named.get(b) or (chr(b) if 32 <= b < 127 else f"\\{b:03o}") for b in raw)
+    return shown if shown == raw.decode(errors="replace") else f'"{shown}"'
+
+
+def test_quoted_texts_against_python(spark, sf_dir):
+    want = {r["doc_id"]: c_quoted(r["content"]) for r in V.files(spark, sf_dir).collect()}
+    assert {r["doc_id"]: r["quoted"] for r in W.e30(spark, sf_dir).collect()} == want
+
+
+def ended(text):
+    return [x + "\n" for x in text.split("\n")[:-1]] + [text.split("\n")[-1]] * bool(text and not text.endswith("\n"))
+
+
+def applied(old, hunks):
+    """What a patch makes of a text."""
+    lines, out, at = ended(old), [], 0
+    body = hunks.split("\n")[:-1]
+    for k, x in enumerate(body):
+        if x.startswith("@@"):
+            first, count = map(int, x.split()[1][1:].split(","))
+            start = first - (count > 0)
+            out += lines[at:start]
+            at = start
+        elif x[0] in " +-":
+            text = x[1:] + ("" if body[k + 1 : k + 2] == ["\\ No newline at end of file"] else "\n")
+            if x[0] != "+":
+                assert lines[at] == text
+                at += 1
+            if x[0] != "-":
+                out.append(text)
+    return "".join(out + lines[at:])
+
+
+@pytest.mark.parametrize("old, new", [("a\nb", "a\nb\nc"), ("a\nb\n", "a\nb"), ("", "x"), ("x", ""), ("a\nb", "z\nb"), ("a\n" * 20, "a\n" * 9 + "q\n" + "a\n" * 11 + "t")])
+def test_patches_with_unended_lines(old, new):
+    assert applied(old, D.unified(old, new)) == new
+
+
+def test_bundle_checksums_against_difflib(spark, sf_dir):
+    """Patches whose hunks difflib agrees with: applied to the old text they give the new one."""
+    base = {r["path"]: r for r in V.snapshot(spark, sf_dir, 3).collect()}
+    new = {r["path"]: r["content"] for r in V.overlay_content(spark, sf_dir).collect()}
+    rows = {r["path"]: r for r in O.status(V.overlay(spark, sf_dir)).collect()}
+    got = {r["path"]: r["patch_sha256"] for r in M.k4(spark, sf_dir).collect()}
+    assert set(got) == set(rows) and len(set(got.values())) == len(got)
+    for path, r in rows.items():
+        was, name = r["from"] or path, {k: c_quoted(k) for k in (path, r["from"] or path)}
+        a, b = name[was], c_quoted(path).replace("a/", "b/", 1)
+        old, come = "" if r["kind"] == "Added" else base[was]["content"], "" if r["kind"] == "Deleted" else new[path]
+        head = f"diff --git {a} {b}\n"
+        if r["kind"] == "Added":
+            head += f"new file mode {r['new_mode']:06o}\n"
+        elif r["kind"] == "Deleted":
+            head += f"deleted file mode {r['old_mode']:06o}\n"
+        elif r["kind"] == "Renamed":
+            head += f"rename from {was}\nrename to {path}\n"
+        elif r["old_mode"] != r["new_mode"]:
+            head += f"old mode {r['old_mode']:06o}\nnew mode {r['new_mode']:06o}\n"
+        if old != come:
+            assert applied(old, D.unified(old, come)) == come
+            head += f"--- {'/dev/null' if r['kind'] == 'Added' else a}\n+++ {'/dev/null' if r['kind'] == 'Deleted' else b}\n"
+            head += D.unified(old, come)
+        assert got[path] == hashlib.sha256(head.encode()).hexdigest()
+        if r["kind"] in ("Modified", "Added", "Deleted"):
+            plus = sum(x[:1] == "+" for x in D.unified(old, come).split("\n"))
+            assert plus == sum(j2 - j1 for op, _, _, j1, j2 in difflib.SequenceMatcher(None, ended(old), ended(come), False).get_opcodes() if op != "equal")
+
+
 def test_blame(spark):
     d = spark.createDataFrame([("f", 0, "a\nb\nc\n"), ("f", 1, "a\nB\nc\n"), ("f", 2, "z\na\nB\nc\n"), ("g", 0, "")], "path string, version int, content string")
     got = sorted(tuple(r) for r in D.blame(d).collect())
