@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlake.operators.staging import cut
+
 #: Fixed limits: steps of an ancestry, hex digits of a short id, commits of a log asked for as 0 and at most.
 MOST_STEPS, SHORTEST_ID, LOG, MOST_LOG = 4096, 7, 50, 1000
 
@@ -91,29 +93,23 @@ def walk_ancestry(start: DataFrame, edges: DataFrame, steps) -> DataFrame:
     return now
 
 
-def reachable(tips: DataFrame, edges: DataFrame, first_parent: bool = False, checkpoint=None) -> DataFrame:
+def reachable(tips: DataFrame, edges: DataFrame, first_parent: bool = False) -> DataFrame:
     """``commit``: everything an edge path leads to from the tips, the tips included.
 
-    Each round doubles how far the hops of the reached set go: ``hops`` holds pairs 1, 2, 4, ... steps apart only along
-    first parents, where a commit has one successor, so it never grows; other parents are taken one step at a time.
+    Along first parents, where a commit has one successor, all that was reached hops 1, 2, 4, ... steps on, so a history of n
+    commits takes about log2(n) rounds and ``hop`` never grows.  Other parents are followed from what the last round added.
     """
-    spark = edges.sparkSession
-    cut = checkpoint or (lambda df: df.checkpoint())
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse") + "/_checkpoints")
-    along = edges.where("pos = 0").select("commit", F.col("parent").alias("to"))
-    every = along if first_parent else edges.select("commit", F.col("parent").alias("to"))
-    seen = cut(tips.select("commit").where("commit is not null").distinct())
-    count, hop, step = seen.count(), along, 0
-    while True:
-        more = seen.join(every, "commit").select(F.col("to").alias("commit")).union(seen.join(hop, "commit").select(F.col("to").alias("commit")))
-        seen = cut(seen.union(more).distinct())
-        now = seen.count()
-        if now == count:
-            return seen
-        count, step = now, step + 1
-        nxt = hop.join(hop.select(F.col("commit").alias("to"), F.col("to").alias("far")), "to").select("commit", F.col("far").alias("to"))
-        hop = cut(nxt)
+    hop = edges.where("pos = 0").select("commit", F.col("parent").alias("to"))
+    others = None if first_parent else edges.select("commit", F.col("parent").alias("to"))
+    seen = added = cut(tips.select("commit").where("commit is not null").distinct())
+    while not added.isEmpty():
+        more = seen.join(hop, "commit").select(F.col("to").alias("commit"))
+        if others is not None:
+            more = more.union(added.join(others, "commit").select(F.col("to").alias("commit")))
+        added = cut(more.distinct().join(seen, "commit", "left_anti"))
+        seen = seen.union(added)
+        hop = cut(hop.join(hop.select(F.col("commit").alias("to"), F.col("to").alias("far")), "to").select("commit", F.col("far").alias("to")))
+    return seen
 
 
 def log(start: DataFrame, commits: DataFrame, edges: DataFrame, skip: int = 0, limit: int = 0, first_parent: bool = False, touching: DataFrame | None = None) -> tuple[DataFrame, bool]:
@@ -134,13 +130,14 @@ def touches(entries: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFra
     ``entries`` is ``commit, path, oid, mode`` of the paths asked about.
     """
     e = entries.select("commit", "path", F.concat_ws(" ", "oid", F.col("mode").cast("string")).alias("state"))
-    pairs = commits.select("commit").join(edges, "commit", "left")
-    names = entries.select("path").distinct()
-    asked = pairs.join(names, F.lit(True))  # the paths asked about are a few
-    own = e.withColumnRenamed("state", "own")
-    j = asked.join(own, ["commit", "path"], "left").join(e.select(F.col("commit").alias("parent"), "path", F.col("state").alias("was")), ["parent", "path"], "left")
-    differs = j.groupBy("commit", "path").agg(F.bool_and(F.when(F.col("parent").isNull(), F.col("own").isNotNull()).otherwise(~F.col("own").eqNullSafe(F.col("was")))).alias("d"))
-    return differs.where("d").select("commit").distinct()
+    pairs = commits.select("commit").join(edges.select("commit", "parent"), "commit", "left")
+    own = pairs.join(e, "commit").select("commit", "parent", "path", F.col("state").alias("own"), F.lit(None).cast("string").alias("was"))
+    was = pairs.join(e.withColumnRenamed("commit", "parent"), "parent").select("commit", "parent", "path", F.lit(None).cast("string").alias("own"), F.col("state").alias("was"))
+    sides = own.union(was).groupBy("commit", "parent", "path").agg(F.max("own").alias("own"), F.max("was").alias("was"))
+    differs = sides.groupBy("commit", "path").agg(F.count("*").alias("n"), F.bool_and(~F.col("own").eqNullSafe(F.col("was"))).alias("d")).where("d")
+    # a parent that has as little of the path as the commit itself gives no row, and is no difference
+    parents = pairs.groupBy("commit").agg(F.count("*").alias("parents"))
+    return differs.join(parents, "commit").where("n = parents").select("commit").distinct()
 
 
 def visible_refs(refs: DataFrame, reserved: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlake.functions import content as K
 from revlake.functions import patterns as R
+from revlake.operators.staging import cut
 
 
 def intern(known: DataFrame, facts: DataFrame) -> DataFrame:
@@ -17,7 +18,8 @@ def intern(known: DataFrame, facts: DataFrame) -> DataFrame:
     """
     new = facts.groupBy("oid").agg(F.min("pos").alias("pos")).join(known.select("oid"), "oid", "left_anti")
     start = known.agg(F.coalesce(F.max("blob_key"), F.lit(-1)).alias("top"))
-    parts = new.repartitionByRange("pos", "oid").sortWithinPartitions("pos", "oid").withColumn("part", F.spark_partition_id())
+    # numbered once: the ranges and their numbers must be the same wherever the table is read
+    parts = cut(new.repartitionByRange("pos", "oid").withColumn("part", F.spark_partition_id()))
     own = Window.partitionBy("part").orderBy("pos", "oid")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
@@ -68,15 +70,33 @@ def candidates(postings_: DataFrame, literals: list[str] | None, members: DataFr
 
 
 def write_index(folder: str, postings_: DataFrame, blobs: DataFrame, manifest: DataFrame, commit: str) -> DataFrame:
-    """Write an index so that a reader never sees a blob as indexed before its postings are there: postings first, then
-    blobs, then the snapshot's manifest, and last the row that makes it READY.  Returns the snapshot table."""
+    """Write a build of an index so that a reader never sees a blob as indexed before its postings are there: postings
+    first, then blobs, then the snapshot's manifest, and last the row that makes it READY.  A build has folders of its
+    own, so one that is written again replaces itself.  Returns the snapshot table."""
     spark = postings_.sparkSession
-    postings_.repartitionByRange("trigram").sortWithinPartitions("trigram").write.mode("append").parquet(f"{folder}/postings")
-    blobs.drop("content").write.mode("append").parquet(f"{folder}/blobs")
-    manifest.withColumn("commit", F.lit(commit)).repartitionByRange("path").sortWithinPartitions("path").write.mode("append").partitionBy("commit").parquet(f"{folder}/manifest")
+
+    def put(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/build={commit}")
+
+    put(postings_.repartitionByRange("trigram").sortWithinPartitions("trigram"), "postings")
+    put(blobs.drop("content"), "blobs")
+    put(manifest.repartitionByRange("path").sortWithinPartitions("path"), "manifest")
     facts = manifest.agg(F.count("*").alias("path_count"), F.sum(F.xxhash64("path", "blob_key").cast("decimal(38,0)")).cast("string").alias("checksum"))
-    facts.select(F.lit(commit).alias("commit"), F.lit("READY").alias("state"), F.lit(1).alias("format_version"), "path_count", "checksum").write.mode("append").parquet(f"{folder}/snapshots")
-    return spark.read.parquet(f"{folder}/snapshots")
+    put(facts.select(F.lit(commit).alias("commit"), F.lit("READY").alias("state"), F.lit(1).alias("format_version"), "path_count", "checksum"), "snapshots")
+    return spark.read.parquet(f"{folder}/snapshots").drop("build")
+
+
+def read_index(spark: SparkSession, folder: str, commit: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(manifest, blobs, postings)`` of a READY snapshot; blobs and postings are those of all READY builds.
+
+    Postings are sorted by trigram within their files, so the trigrams of a query prune the scan.
+    """
+    ready = [r["commit"] for r in spark.read.parquet(f"{folder}/snapshots").where("state = 'READY'").select("commit").collect()]  # a row per build
+    if commit not in ready:
+        raise ValueError(f"snapshot {commit} is not READY")
+    built = F.col("build").cast("string").isin(ready)
+    blobs = spark.read.parquet(f"{folder}/blobs").where(built).drop("build").dropDuplicates(["blob_key"]) if len(ready) > 1 else spark.read.parquet(f"{folder}/blobs/build={commit}")
+    return spark.read.parquet(f"{folder}/manifest/build={commit}"), blobs, spark.read.parquet(f"{folder}/postings").where(built).drop("build")
 
 
 def incremental(manifest: DataFrame, known: DataFrame, changes: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:

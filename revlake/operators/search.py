@@ -13,6 +13,7 @@ from revlake.functions import globs as G
 from revlake.functions import paths as P
 from revlake.functions import patterns as R
 from revlake.operators import index as X
+from revlake.operators.staging import cut
 
 #: Fixed limits: results asked for as 0 and at most, context lines, bytes of a shown line and of all shown lines.
 RESULTS, MOST_RESULTS, MOST_CONTEXT, LINE_BYTES, DISPLAY_BYTES, READ_BYTES, MOST_CANDIDATES = 1000, 10_000, 64, 8192, 64 << 20, 512 << 20, 200_000
@@ -108,14 +109,14 @@ def _cut(text: str, limit: int) -> str:
     return text if len(b) <= limit else b[:limit].decode(errors="ignore")
 
 
-def with_context(hits: DataFrame, lines: DataFrame, before: int, after: int) -> DataFrame:
-    """Hits with the lines around them, cut off at the file's edges."""
+def with_context(hits: DataFrame, lines: DataFrame, before: int, after: int, line_bytes: int = LINE_BYTES) -> DataFrame:
+    """Hits with the lines around them, cut off at the file's edges and each at ``line_bytes``."""
+    none = F.array().cast("array<string>")
     if before <= 0 and after <= 0:
-        none = F.array().cast("array<string>")
         return hits.withColumn("before", none).withColumn("after", none)
     w = Window.partitionBy("blob_key").orderBy("line")
-    none = F.array().cast("array<string>")
-    around = lines.select(
+    short = lines.select("blob_key", "line", F.when(F.octet_length("text") <= line_bytes, F.col("text")).otherwise(K.utf8_cut("text", line_bytes)).alias("text"))
+    around = short.select(
         "blob_key",
         "line",
         (F.collect_list("text").over(w.rowsBetween(-before, -1)) if before > 0 else none).alias("before"),
@@ -124,13 +125,15 @@ def with_context(hits: DataFrame, lines: DataFrame, before: int, after: int) ->
     return hits.join(around, ["blob_key", "line"])
 
 
-def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, query: Query) -> tuple[DataFrame, DataFrame]:
+def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, query: Query, contents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(matches, completion)`` of a search over one manifest.
 
     ``matches`` is the page: ``path, line, column, matched, line_text, before, after, line_truncated``, ordered and at most
     ``results`` rows, resumed strictly after a position.  ``completion`` is one row: status, truncation, coverage,
     candidates and bytes.  With postings, only blobs that hold the pattern's literals are read; each is read once however many
-    paths carry it.  Candidate and byte budgets take blobs in order of their first path.
+    paths carry it.  Candidate and byte budgets take blobs in order of their first path.  ``contents`` (``blob_key,
+    content``) is where contents are read if ``blobs`` is of a kept index and has none.  Context lines are looked up for the
+    page's blobs only.
     """
     query = query.clamped()
     judged = verdicts(manifest, blobs, query)
@@ -148,19 +151,22 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
         stop = "candidate_budget" if totals["n"] > query.candidates else "bytes_budget"
         chosen = head.withColumn("read", F.coalesce(F.sum("size").over(running), F.lit(0))).where(F.col("read") <= query.read_bytes).select("blob_key", "first_path", "size")
         totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    content = blobs.join(chosen.select("blob_key"), "blob_key", "left_semi")
-    lines = line_rows(content)
-    hits = with_context(occurrences(lines, query), lines, *query.context)
-    found = hits.join(eligible.select("path", "blob_key"), "blob_key")
+    content = (blobs if contents is None else contents).join(chosen.select("blob_key"), "blob_key", "left_semi")
+    found = occurrences(line_rows(content), query).join(eligible.select("path", "blob_key"), "blob_key")
     if query.after:
         path, line, column = query.after
         found = found.where((F.col("path") > path) | ((F.col("path") == path) & ((F.col("line") > line) | ((F.col("line") == line) & (F.col("column") > column)))))
-    columns = ["path", "line", "column", "matched", "line_text", "before", "after", "line_truncated"]
-    page = found.select(*columns).orderBy("path", "line", "column").limit(query.results + 1)
-    # a page is bounded in rows and in bytes of a line; held as rows, neither it nor its scan runs again
-    shown = page.collect()
-    over = len(shown) > query.results
-    matches = manifest.sparkSession.createDataFrame(shown[: query.results], page.schema)
+    order = ["path", "line", "column"]
+    # written once, so neither the page nor its scan runs again
+    page = cut(found.select("blob_key", *order, "matched", "line_text", "line_truncated").orderBy(*order).limit(query.results + 1))
+    over = page.count() > query.results
+    matches = page.orderBy(*order).limit(query.results)
+    if max(query.context) > 0:
+        lines = line_rows(content.join(matches.select("blob_key").distinct(), "blob_key", "left_semi"))
+        matches = with_context(matches, lines, *query.context, query.line_bytes).orderBy(*order)
+    else:
+        matches = with_context(matches, matches, 0, 0)
+    matches = matches.select(*order, "matched", "line_text", "before", "after", "line_truncated")
     reason = "no_required_literal" if literals is None and postings is not None else stop or ("result_limit" if over else None)
     seen = coverage(judged)
     done = seen.select(

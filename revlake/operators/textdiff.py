@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions import content as K
 from revlake.functions import paths as P
+from revlake.operators.staging import cut
 
 #: Fixed limits: bytes of a rendered diff by default and at most, lines of context.
 PATCH_BYTES, MOST_PATCH_BYTES, CONTEXT = 4 << 20, 64 << 20, 3
@@ -182,12 +183,12 @@ def capped(rows: DataFrame, limit: int = PATCH_BYTES) -> tuple[DataFrame, bool]:
     from pyspark.sql import Window
 
     limit = min(limit, MOST_PATCH_BYTES)
-    sized = rows.withColumn("n", F.octet_length("patch").cast("long")).repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    sized = cut(rows.withColumn("n", F.octet_length("patch").cast("long")).repartitionByRange("path").withColumn("part", F.spark_partition_id()))
     parts = sized.groupBy("part").agg(F.sum("n").alias("all"))
     before = parts.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row per partition
     up_to = F.sum("n").over(Window.partitionBy("part").orderBy("path")) + F.col("before")
     kept = sized.join(F.broadcast(before), "part").withColumn("up_to", up_to).where(F.col("up_to") <= limit)
-    total = rows.agg(F.sum(F.octet_length("patch"))).first()[0] or 0
+    total = parts.agg(F.sum("all")).first()[0] or 0
     return kept.select("path", "patch").orderBy("path"), total > limit
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from revlake.operators import catalog as C
 from revlake.operators import index as X
 from revlake.operators import overlay as O
 from revlake.operators import search as S
+from revlake.operators.staging import shared_folder
 from revlake.plans.registry import query
 from revlake.sources import views as V
 
@@ -113,6 +116,28 @@ def x8_scan(spark, sf):
     return page.select("path", "line", "column", "line_text")
 
 
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def kept_index(spark, sf):
+    """``(manifest, blobs, postings)`` of an index that the session's first caller writes and later ones only read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        b = blobs(spark, sf)
+        folder = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        X.write_index(folder, X.postings(b), b, manifest(spark, sf), "files")
+        _KEPT[key] = folder
+    return X.read_index(spark, _KEPT[key], "files")
+
+
+@query("x8_warm_search", _PAGE)
+def x8_warm(spark, sf):
+    m, b, p = kept_index(spark, sf)
+    contents = V.table(spark, sf, "documents").select(F.col("doc_id").alias("blob_key"), F.coalesce("text", F.lit("")).alias("content"))
+    page, _ = S.search(m, b, p, S.Query("tionth", include=("src1?/**",), results=200), contents)
+    return page.select("path", "line", "column", "line_text")
+
+
 @query("x8_completion", "with m as (select doc_id, size from files where starts_with(path, 'src3/') and contains(content, 'qui') and contains(content, 'uil') and contains(content, 'ill')) select case when (select count(*) from lines where starts_with(path, 'src3/') and contains(text, 'quill')) > 1000 then 'TRUNCATED' else 'COMPLETE' end as execution_status, (select count(*) from files where starts_with(path, 'src3/')) as eligible_paths, (select count(*) from m) as candidates_considered, (select coalesce(sum(size), 0)::bigint from m) as bytes_read")
 def x8_done(spark, sf):
     b = blobs(spark, sf)

@@ -469,18 +469,45 @@ def test_command_lines():
             diff_arguments(bad)
 
 
-def test_written_index_and_bundle(spark, sf_dir, tmp_path):
-    from revlake.operators import export as B
-
+def test_written_index(spark, sf_dir, tmp_path):
     f = V.files(spark, sf_dir)
     b = X.registry(f.select(F.col("doc_id").alias("blob_key"), "oid", "size", "content"))
     X.write_index(str(tmp_path / "i"), X.postings(b), b, T.build_manifest(V.manifest(spark, sf_dir, 1)), "rev-1")
     state = X.write_index(str(tmp_path / "i"), X.postings(b), b, T.build_manifest(V.manifest(spark, sf_dir, 2)), "rev-2")
     assert {(r["commit"], r["state"]) for r in state.collect()} == {("rev-1", "READY"), ("rev-2", "READY")}
-    m = spark.read.parquet(str(tmp_path / "i" / "manifest")).where("commit = 'rev-1'")
-    page, _ = S.search(m, b, spark.read.parquet(str(tmp_path / "i" / "postings")), S.Query("tion", results=5))
-    assert page.count() == 5
-    from revlake.operators import overlay as O
+    m, kept, p = X.read_index(spark, str(tmp_path / "i"), "rev-1")
+    assert kept.count() == b.count() and "content" not in kept.columns
+    want = S.search(V.manifest(spark, sf_dir, 1), b, None, S.Query("tion", results=500, context=(1, 1), line_bytes=20))[0].collect()
+    for _ in range(2):  # a build that is written again replaces itself
+        page, _ = S.search(m, kept, p, S.Query("tion", results=500, context=(1, 1), line_bytes=20), b.select("blob_key", "content"))
+        assert page.collect() == want and len(want) == 500 and max(len(x.encode()) for r in want for x in (*r["before"], *r["after"])) <= 20
+        n = p.count()
+        X.write_index(str(tmp_path / "i"), X.postings(b), b, T.build_manifest(V.manifest(spark, sf_dir, 1)), "rev-1")
+        m, kept, p = X.read_index(spark, str(tmp_path / "i"), "rev-1")
+        assert p.count() == n
+    with pytest.raises(ValueError):
+        X.read_index(spark, str(tmp_path / "i"), "rev-9")
+
+
+def test_numbers_are_stable_when_partitions_are_coalesced(spark):
+    rows = [(f"o{i % 700}", i) for i in range(2000)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = {r["oid"]: r["blob_key"] for r in X.intern(spark.createDataFrame([("o5", 3)], "oid string, blob_key long"), spark.createDataFrame(rows, "oid string, pos long")).collect()}
+        fresh = [o for o, _ in rows[:700] if o != "o5"]
+        assert got == {"o5": 3} | {o: 4 + k for k, o in enumerate(fresh)}
+        patches = spark.createDataFrame([(f"p{i:04}", "x" * 10) for i in range(1000)], "path string, patch string")
+        page, more = D.capped(patches, 5000)
+        assert more and [r["path"] for r in page.collect()] == [f"p{i:04}" for i in range(500)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_bundle_files(spark, sf_dir, tmp_path):
+    from revlake.operators import export as B
 
     changes = O.status(V.overlay(spark, sf_dir))
     patches = changes.select("path", F.lit("p").alias("patch"))
