@@ -182,7 +182,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataF
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, unless ``ids`` is off, ``ids array<int>``.
 
     Every row is encoded whole and its ids are decoded again.  Null and empty texts have no ids (the digests are
-    those of nothing); other columns are ignored.
+    those of nothing); equal texts and repeated rows give equal rows; a match too long for the padded matrices is merged
+    by a heap in the same order of ranks, ties leftmost first; an empty table gives no rows; other columns are ignored.
     """
 
     def f(batch):

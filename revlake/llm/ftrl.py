@@ -164,7 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold, spec: Features, li
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every row; null and empty texts get the bias alone."""
+    """``doc_id, score`` of every row; null and empty texts get the bias alone.
+
+    A text's score depends on nothing but the text, so equal texts and repeated rows tie; a very long text is one block
+    of its own; an empty table gives no rows; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.spec, model.index, model.weight, model.bias))
     kept: dict = {}
 

@@ -105,7 +105,9 @@ def predicted(docs: DataFrame, model: Centroids, reject: float = REJECT) -> Data
     """``doc_id, lang_pred, score, rejected``: the score is the best cosine, from 0 to 1.
 
     Null, empty and letterless texts are ``und`` with score 0 and rejected; so is every text when no training row
-    exists.  Ties go to the centroid listed first (languages in order of name).  Other columns are ignored.
+    exists: with nothing learned there is no language to name.  Ties go to the centroid listed first (languages in order
+    of name).  Very long texts are counted in pieces, repeated rows are predicted alike, an empty table gives no rows, and
+    other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.matrix, model.langs))
 

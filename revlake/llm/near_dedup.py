@@ -133,8 +133,8 @@ def _tables(classes: DataFrame, tables: int) -> DataFrame:
     halves = halves.select("rep", F.filter("k", lambda x: x.bitwiseAND(1) == 0).alias("a"), F.filter("k", lambda x: x.bitwiseAND(1) == 1).alias("b"))
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
     every = stage(halves.where("size(a) > 0 and size(b) > 0").select("rep", F.explode(pairs).alias("t")), "tensored")
-    kind = every.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 31) - 1)).alias("s"), F.min("rep").alias("h"), F.max("rep").alias("g")).where("n > 1")
-    chosen = kind.groupBy("n", "s", "h", "g").agg(F.min("t").alias("t")).select("t")
+    kind = every.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 31) - 1)).alias("s"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND((1 << 31) - 1)).alias("s2"), F.min("rep").alias("h"), F.max("rep").alias("g")).where("n > 1")
+    chosen = kind.groupBy("n", "s", "s2", "h", "g").agg(F.min("t").alias("t")).select("t")
     out = stage(every.join(chosen, "t"), "tables")
     discard(every)
     return out

@@ -99,7 +99,9 @@ class Unigram:
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every row, without a shuffle.
 
-    Null, empty and blank texts count 0; equal texts count alike; other columns are ignored.
+    Null, empty and blank texts count 0; equal texts and repeated rows count alike; a very long text is split like any
+    other, and a word above ``LONGEST`` characters is counted by the same steps without entering the trie; an empty table
+    gives no rows; other columns are ignored.
     """
 
     def f(batch):
