@@ -1,7 +1,12 @@
 """Training-text pipeline over ``documents``: quality, toxicity, near-duplicates, repeated passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``.  All but the last return the columns of their input.
+stage's ``docs``.  All but the last return the columns of their input, whatever they are called.
+
+Null and empty texts are scored by the classifiers' biases, stay alone in the near-duplicate stage, have no passages and are
+packed as the end id.  Repeated rows (same id and text) fare alike: they are kept or dropped together, except that passages of
+a repeated row are passages that stand elsewhere.  An id is taken to name one text in the near-duplicate stage.  Very long
+texts go through whole; an empty table stays empty.
 """
 
 from __future__ import annotations
