@@ -438,13 +438,30 @@ def t6(spark, sf):
     return S.fold(e, "user_id", ["at", "event_id"], S.ReadDetector, "user_id long, at double, dir string")
 
 
-@query("t7_budget")
+@query(
+    "t7_budget",
+    "with recursive e as (select user_id, event_id as seq, event_id % 20 as oid, floor(value)::bigint as size, row_number() over (partition by user_id order by event_id) as k from events), "
+    "s as (select user_id, 0::bigint as k, null::bigint as seq, '' as outcome, 0::bigint as charged, [-1::bigint] as seen from (select distinct user_id from e) "
+    "union all select e.user_id, e.k, e.seq, case when list_contains(s.seen, e.oid) then 'refetch' when s.charged + e.size > 500 then 'refused' else 'admitted' end, "
+    "case when not list_contains(s.seen, e.oid) and s.charged + e.size <= 500 then s.charged + e.size else s.charged end, "
+    "case when not list_contains(s.seen, e.oid) and s.charged + e.size <= 500 then list_append(s.seen, e.oid) else s.seen end from s join e on e.user_id = s.user_id and e.k = s.k + 1) "
+    "select user_id, seq, outcome, charged from s where k > 0",
+)
 def t7(spark, sf):
     e = V.table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 20).alias("oid"), F.floor("value").alias("size"))
     return S.fold(e, "user_id", ["seq"], lambda: S.Budget(500), "user_id long, seq long, outcome string, charged long")
 
 
-@query("t8_verdicts")
+@query(
+    "t8_verdicts",
+    "with recursive e as (select user_id, event_type, event_id as seq, floor(epoch(ts)) / 20000.0 as secs, event_id // 1000 as generation, row_number() over (partition by user_id, event_type order by event_id) as k from events), "
+    "s as (select user_id, event_type, k, seq, 'computed' as outcome, secs as since, generation from e where k = 1 "
+    "union all select e.user_id, e.event_type, e.k, e.seq, case when s.generation = e.generation and e.secs - s.since < case when e.event_type = 'error' then 2 else 10 end then 'cached' else 'computed' end, "
+    "case when s.generation = e.generation and e.secs - s.since < case when e.event_type = 'error' then 2 else 10 end then s.since else e.secs end, "
+    "case when s.generation = e.generation and e.secs - s.since < case when e.event_type = 'error' then 2 else 10 end then s.generation else e.generation end "
+    "from s join e on e.user_id = s.user_id and e.event_type = s.event_type and e.k = s.k + 1) "
+    "select user_id, seq, outcome, event_type <> 'error' as visible from s",
+)
 def t8(spark, sf):
     e = V.table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), (F.unix_timestamp("ts") / 20000.0).alias("at"), F.col("event_type").alias("commit"), (F.col("event_type") != "error").alias("visible"), F.floor(F.col("event_id") / 1000).alias("generation"))
     return S.fold(e, "user_id", ["seq"], S.Verdicts, "user_id long, seq long, outcome string, visible boolean")

@@ -34,7 +34,13 @@ def s3_root(spark, sf):
     return T.list_directory(V.files(spark, sf), "")
 
 
-@query("s4_list_tree")
+@query(
+    "s4_list_tree",
+    "with recursive every as (select path, array_to_string(string_split(path, '/')[:-2], '/') as directory from (select path from files union select dir from anc)), "
+    "c as (select directory, n, row_number() over (order by string_split(directory, '/')) as k from (select directory, count(*) as n from every group by 1)), "
+    "r as (select directory, k, 0::bigint as page, n as held from c where k = 1 union all select c.directory, c.k, case when r.held >= 100 then r.page + 1 else r.page end, case when r.held >= 100 then c.n else r.held + c.n end from r join c on c.k = r.k + 1) "
+    "select path, every.directory, page from every join r on every.directory = r.directory",
+)
 def s4(spark, sf):
     return T.list_tree(V.files(spark, sf), 100)
 
@@ -323,7 +329,11 @@ def l9(spark, sf):
     return f.select("path").union(V.directories(f)).distinct().orderBy(F.split("path", "/"))
 
 
-@query("w15_front_coding")
+@query(
+    "w15_front_coding",
+    "with b as (select path, coalesce(lag(path) over (partition by string_split(path, '/')[1] order by path), '') as before from files), n as (select path, (select max(i) from unnest(range(0, least(length(path), length(before)) + 1)) t(i) where substring(path, 1, i) = substring(before, 1, i))::int as shared from b) "
+    "select path, shared, substring(path, shared + 1) as suffix from n",
+)
 def w15(spark, sf):
     return T.front_coded(V.files(spark, sf))
 
