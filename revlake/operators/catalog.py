@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlake.operators.staging import with_sum_before
+
 #: Fixed lease times in seconds: time to live, grace after it, delay before an anchor is pruned, greatest age.
 TTL, GRACE, PRUNE, MOST_AGE = 1800, 900, 86_400, 86_400
 #: Fixed snapshot rules: a build is stale after, attempts, time to live.
@@ -144,15 +146,11 @@ def may_read(requests: DataFrame, capabilities: DataFrame, allowed: DataFrame, r
 def evict(entries: DataFrame, quota: int) -> DataFrame:
     """``key`` of the least recently used entries that go until the rest fits; pinned entries count but stay.
 
-    What must go is a prefix of the entries by last use, so the running sum is taken over the last uses' totals.
+    What must go is a prefix of the entries by last use and key; null sizes count as 0.
     """
     total = F.broadcast(entries.agg((F.sum("size") - quota).alias("over")))  # one row
-    free = entries.where("not pinned")
-    per_use = free.groupBy("last_used").agg(F.sum("size").alias("n"))
-    before = per_use.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("last_used").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("last_used").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    j = free.join(before.select("last_used", "before"), "last_used").withColumn("gone", F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)))
-    return j.join(total, F.lit(True)).where(F.col("gone") < F.col("over")).select("key", "size")
+    free = with_sum_before(entries.where("not pinned").select("key", "last_used", "size"), ["last_used", "key"], "size", "gone")
+    return free.join(total, F.lit(True)).where(F.col("gone") < F.col("over")).select("key", "size")
 
 
 def nearest_rank(values: DataFrame, groups: list[str], value: str, percent: int) -> DataFrame:

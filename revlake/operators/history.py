@@ -59,13 +59,22 @@ def parse(text: str, reserved: str) -> Revision:
     return Revision("ref" if name.startswith("refs/") else "name", name, steps)
 
 
-def resolve(revision: Revision, refs: DataFrame, commits: DataFrame, edges: DataFrame, head: str = "refs/heads/main") -> DataFrame:
-    """``commit``: the revision's commit, no row where there is none, an error where a short id is ambiguous."""
+def resolve(revision: Revision, refs: DataFrame, commits: DataFrame, edges: DataFrame, head: str = "refs/heads/main", tags: DataFrame | None = None) -> DataFrame:
+    """``commit``: the revision's commit, no row where there is none, an error where a short id is ambiguous.
+
+    With ``tags`` (``tag, target``) a ref may name a tag object, which is followed; one that ends elsewhere is refused.
+    """
     v = revision.value
     if revision.kind in ("ref", "name"):
         names = [v] if revision.kind == "ref" else [head] if v == "HEAD" else [f"refs/heads/{v}", f"refs/tags/{v}", f"refs/{v}"]
         order = F.coalesce(*[F.when(F.col("ref_name") == n, F.lit(i)) for i, n in enumerate(names)])
-        found = refs.where(F.col("ref_name").isin(names)).orderBy(order).limit(1).select(F.col("target").alias("commit"))
+        found = refs.where(F.col("ref_name").isin(names)).orderBy(order).limit(1)
+        if tags is None:
+            found = found.select(F.col("target").alias("commit"))
+        else:
+            found = peeled(found, tags, commits).select("commit")
+            if not found.where("commit is null").isEmpty():
+                raise InvalidRevision(f"not a commit: {v}")
     else:
         found = commits.where(F.col("oid") == v if revision.kind == "full" else F.startswith(F.element_at(F.split("oid", ":"), 2), F.lit(v))).select("commit").limit(2)
         if revision.kind == "short_id" and found.count() > 1:
@@ -73,6 +82,19 @@ def resolve(revision: Revision, refs: DataFrame, commits: DataFrame, edges: Data
     return walk_ancestry(found, edges, revision.steps)
 
 
+def peeled(refs: DataFrame, tags: DataFrame, commits: DataFrame) -> DataFrame:
+    """``ref_name, commit``: the commit at the end of each ref's chain of tag objects, null where something else is there.
+
+    ``tags`` is ``tag, target``; a chain takes a round per tag on it, which are few.
+    """
+    now = cut(refs.select("ref_name", F.col("target").alias("at")))
+    hop = tags.select(F.col("tag").alias("at"), F.col("target").alias("to"))
+    while not now.join(hop, "at", "left_semi").isEmpty():
+        now = cut(now.join(hop, "at", "left").select("ref_name", F.coalesce("to", "at").alias("at")))
+    known = commits.select(F.col("commit").alias("at"), F.col("commit"))
+    return now.join(known, "at", "left").select("ref_name", "commit")
+
+
 def walk_ancestry(start: DataFrame, edges: DataFrame, steps) -> DataFrame:
     """``commit`` after the steps: ``^n`` the n-th parent, ``~n`` n first parents, 0 stays."""
     now = start.select("commit")

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlake.functions import paths as P
+from revlake.operators.staging import with_sum_before
 
-SYMLINK = 0o120000
+REGULAR, SYMLINK, DIRECTORY = 0o100644, 0o120000, 0o40000
+#: Fixed: names of vanished paths that are kept for a monitor.
+MOST_VANISHED = 4096
 
 
 def above(paths: DataFrame, rows: DataFrame) -> DataFrame:
@@ -132,6 +135,23 @@ def vanished(log: DataFrame, base: DataFrame) -> DataFrame:
     return last.select("path").join(base.select("path"), "path", "left_anti")
 
 
+def vanished_overflow(log: DataFrame, base: DataFrame, most: int = MOST_VANISHED) -> DataFrame:
+    """One row, ``overflow``: whether at any time more than ``most`` paths were vanished, so that names were dropped.
+
+    ``log`` is ``path, seq, op`` with no ``seq`` twice; an empty log has not overflown.
+    """
+    own = log.join(base.select("path"), "path", "left_anti").select("path", "seq", (F.col("op") == "remove").cast("int").alias("gone"))
+    step = F.col("gone") - F.coalesce(F.lag("gone").over(Window.partitionBy("path").orderBy("seq")), F.lit(0))
+    turns = own.select("seq", step.alias("step")).where("step <> 0")
+    return with_sum_before(turns, ["seq"], "step", "before").agg(F.coalesce(F.max(F.col("before") + F.col("step")) > most, F.lit(False)).alias("overflow"))
+
+
+def monitor_answer(changed: DataFrame, overflow: DataFrame, generation: int, token: str) -> tuple[DataFrame, bool]:
+    """``(changed, full_rescan)`` for a caller that saw ``token`` (``generation:sequence``): all must be looked at again
+    where it saw another generation or names were dropped."""
+    return changed, not token.startswith(f"{generation}:") or overflow.first()["overflow"]
+
+
 def quota(rows: DataFrame, limit: int) -> DataFrame:
     """One row: ``used`` bytes of local content, and whether they are within the limit."""
     used = F.coalesce(F.sum(F.when(F.col("present") & ~F.col("oid").eqNullSafe(F.col("base_oid")), F.col("size"))), F.lit(0))
@@ -139,19 +159,37 @@ def quota(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def fold_operations(log: DataFrame, base: DataFrame) -> DataFrame:
-    """An operation log of one path each (``path, seq, op, content``) to overlay rows, by the last states of each path.
+    """An operation log of one path each (``path, seq, op, content`` and, for ``chmod``, ``mode``) to overlay rows.
 
-    ``create`` and ``write`` set the content, ``append`` adds to it, ``truncate`` empties it, ``remove`` whites out a base
-    path and forgets any other.  Per path the log folds as an ordered array inside Spark; renames come as a removal and a
-    creation.
+    ``create`` and ``write`` set a file's content, ``append`` adds to it, ``truncate`` empties it; each makes the file where there
+    is none.  ``symlink`` (its target is the content) and ``mkdir`` need an absent path, ``chmod`` a file, and no content goes
+    to a directory or link; what a path does not allow changes nothing.  ``remove`` whites out a base path and forgets any
+    other.  Per path the log folds as an ordered array inside Spark; renames come as a removal and a creation.
+    ``base`` is ``path, content`` and, where it has them, modes.
     """
-    steps = F.sort_array(F.collect_list(F.struct("seq", "op", "content")))  # one path's operations
-    folded = log.groupBy("path").agg(steps.alias("s")).join(base.select("path", F.col("content").alias("was")), "path", "left")
-    step = lambda acc, x: (
-        F.when(x.op.isin("create", "write"), F.coalesce(x.content, F.lit("")))
-        .when(x.op == "append", F.concat(F.coalesce(acc, F.lit("")), F.coalesce(x.content, F.lit(""))))
-        .when(x.op == "truncate", F.lit(""))
-    )
-    out = folded.select("path", F.aggregate("s", F.col("was"), step).alias("content"), F.col("was").isNotNull().alias("in_base"), "was")
-    out = out.where("content is not null or in_base")
-    return out.select("path", F.col("content").isNotNull().alias("present"), "content", F.coalesce(F.col("content") == F.col("was"), F.lit(False)).alias("unchanged"))
+    mode = F.col("mode") if "mode" in log.columns else F.lit(None)
+    base_mode = F.col("mode") if "mode" in base.columns else F.lit(REGULAR)
+    steps = F.sort_array(F.collect_list(F.struct("seq", "op", "content", mode.cast("int").alias("mode"))))  # one path's operations
+    was = base.select("path", F.struct(F.col("content").cast("string").alias("content"), base_mode.cast("int").alias("mode")).alias("was"))
+    folded = log.groupBy("path").agg(steps.alias("s")).join(was, "path", "left")
+    held = lambda content, mode: F.struct(content.alias("content"), mode.cast("int").alias("mode"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+
+    def step(acc, x):
+        absent = acc.isNull()
+        file = absent | ~F.coalesce(acc.mode, F.lit(0)).isin(DIRECTORY, SYMLINK)
+        own = F.coalesce(acc.mode, F.lit(REGULAR))
+        return (
+            F.when((x.op == "create") & file, held(text(x.content), F.lit(REGULAR)))
+            .when((x.op == "write") & file, held(text(x.content), own))
+            .when((x.op == "append") & file, held(F.concat(text(acc.content), text(x.content)), own))
+            .when((x.op == "truncate") & file, held(F.lit(""), own))
+            .when((x.op == "chmod") & file & ~absent, held(acc.content, F.coalesce(x.mode, own)))
+            .when((x.op == "symlink") & absent, held(text(x.content), F.lit(SYMLINK)))
+            .when((x.op == "mkdir") & absent, held(F.lit(None).cast("string"), F.lit(DIRECTORY)))
+            .when(x.op != "remove", acc)
+        )
+
+    out = folded.select("path", F.aggregate("s", F.col("was"), step).alias("now"), "was").where("now is not null or was is not null")
+    kind = F.when(F.col("now.mode") == DIRECTORY, "directory").when(F.col("now.mode") == SYMLINK, "symlink").when(F.col("now").isNotNull(), "file")
+    return out.select("path", F.col("now").isNotNull().alias("present"), kind.alias("kind"), F.col("now.mode").alias("mode"), F.col("now.content").alias("content"), F.coalesce(F.col("now") == F.col("was"), F.lit(False)).alias("unchanged"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +18,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: cheap to use again, and the same rows for all that read it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def with_sum_before(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before each, in an order without ties.
+
+    The sum runs per range partition and is completed with the sums of the ranges before it.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.sum(value).alias("_all")).select("_part", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))  # a row per partition
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    j = dealt.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return j.drop("_part", "_before")

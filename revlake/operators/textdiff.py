@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions import content as K
 from revlake.functions import paths as P
-from revlake.operators.staging import cut
+from revlake.operators.staging import with_sum_before
 
 #: Fixed limits: bytes of a rendered diff by default and at most, lines of context.
 PATCH_BYTES, MOST_PATCH_BYTES, CONTEXT = 4 << 20, 64 << 20, 3
@@ -176,20 +176,11 @@ def patches(changed: DataFrame, context: int = CONTEXT) -> DataFrame:
 
 
 def capped(rows: DataFrame, limit: int = PATCH_BYTES) -> tuple[DataFrame, bool]:
-    """The sections in path order that fit ``limit`` bytes together, and whether some did not.
-
-    The sum runs per range partition and is completed with the sums of the ranges before it.
-    """
-    from pyspark.sql import Window
-
+    """The sections in path order that fit ``limit`` bytes together, and whether some did not."""
     limit = min(limit, MOST_PATCH_BYTES)
-    sized = cut(rows.withColumn("n", F.octet_length("patch").cast("long")).repartitionByRange("path").withColumn("part", F.spark_partition_id()))
-    parts = sized.groupBy("part").agg(F.sum("n").alias("all"))
-    before = parts.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row per partition
-    up_to = F.sum("n").over(Window.partitionBy("part").orderBy("path")) + F.col("before")
-    kept = sized.join(F.broadcast(before), "part").withColumn("up_to", up_to).where(F.col("up_to") <= limit)
-    total = parts.agg(F.sum("all")).first()[0] or 0
-    return kept.select("path", "patch").orderBy("path"), total > limit
+    summed = with_sum_before(rows.withColumn("n", F.octet_length("patch").cast("long")), ["path"], "n", "before").withColumn("up_to", F.col("before") + F.col("n"))
+    total = summed.agg(F.max("up_to")).first()[0] or 0
+    return summed.where(F.col("up_to") <= limit).select("path", "patch").orderBy("path"), total > limit
 
 
 def blame(versions: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlake.functions import paths as P
+from revlake.operators.staging import cut
 from revlake.sources.views import DIRECTORY, EXECUTABLE, REGULAR
 
 SEARCHABLE = (REGULAR, EXECUTABLE)
@@ -51,30 +54,63 @@ def list_directory(entries: DataFrame, directory: str, after: str = "", limit: i
 def list_tree(entries: DataFrame, most: int) -> DataFrame:
     """``path, directory, page``: whole directories in depth-first order, a page ending with the directory that fills it.
 
-    A page closes with the directory at which its entries reach ``most``.  Counts per directory come from Spark; the
-    closing of pages depends on where the page before ended, so it runs over the directories' counts in order (one row
-    per directory, streamed in one task and never collected).
+    A page closes with the directory at which its entries reach ``most``, so where pages close depends on all directories
+    before.  Each range of directories tells for every number of entries its first page may already hold (0 to ``most - 1``)
+    how many its last page holds and how many pages close; these tables, one a range, are chained in order, and each range
+    numbers its pages from where the range before it ended.
     """
     every = with_directories(entries).select("path", P.parent_of("path").alias("directory"))
-    counts = every.groupBy("directory").agg(F.count("*").alias("n")).select("directory", "n", F.split("directory", "/").alias("order"))
+    counts = every.groupBy("directory").agg(F.count("*").alias("n")).select("directory", "n", F.replace("directory", F.lit("/"), F.lit("\0")).alias("order"))  # a directory before what is below it
+    dealt = cut(counts.repartitionByRange("order").select("directory", "n", "order", F.spark_partition_id().cast("long").alias("part")))
 
-    def close(batches):
-        import pyarrow as pa
+    def closings(key, rows):
+        held, pages = _closings(rows.sort_by("order").column("n").to_pylist(), most)
+        return pa.table({"part": [key[0].as_py()], "held": [held], "pages": [pages]})
 
-        page = held = 0
+    def chain(batches):
+        at = page = 0
         for batch in batches:
-            pages = []
-            for n in batch.column(1).to_pylist():
-                if held >= most:
-                    page, held = page + 1, 0
-                held += n
-                pages.append(page)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int64())], names=["directory", "page"])
-
-    paged = counts.orderBy("order").select("directory", "n").coalesce(1).mapInArrow(close, "directory string, page long")
+            starts = []
+            for part, held, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts.append({"part": part, "at": at, "page": page})
+                at, page = held[at], page + pages[at]
+            yield pa.RecordBatch.from_pylist(starts, schema=pa.schema([(c, pa.int64()) for c in ("part", "at", "page")]))
+
+    def number(key, rows):
+        rows = rows.sort_by("order")
+        at, page = rows.column("at")[0].as_py(), rows.column("page")[0].as_py()
+        pages = []
+        for n in rows.column("n").to_pylist():
+            pages.append(page)
+            at += n
+            if at >= most:
+                at, page = 0, page + 1
+        return pa.table({"directory": rows.column("directory"), "page": pa.array(pages, pa.int64())})
+
+    ranges = cut(dealt.groupBy("part").applyInArrow(closings, "part long, held array<long>, pages array<long>"))
+    starts = ranges.coalesce(1).sortWithinPartitions("part").mapInArrow(chain, "part long, at long, page long")  # a row per range
+    paged = dealt.join(F.broadcast(starts), "part").groupBy("part").applyInArrow(number, "directory string, page long")
     return every.join(paged, "directory").select("path", "directory", "page")
 
 
+def _closings(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of entries held at first, 0 to ``most - 1``: the entries held at last and the pages closed."""
+    held, pages = np.arange(most), np.zeros(most, np.int64)
+    closed, state = np.zeros(most, np.int64), np.arange(most)
+    for n in sizes:
+        held = held + n
+        full = held >= most
+        if not full.any():
+            continue
+        pages, held = pages + full, np.where(full, 0, held)
+        kinds, to = np.unique(held, return_inverse=True)
+        if len(kinds) < len(held):
+            # starts that hold the same from here on are followed as one
+            closed, state = closed + pages[state], to[state]
+            held, pages = kinds, np.zeros(len(kinds), np.int64)
+    return held[state], closed + pages[state]
+
+
 def lookup(entries: DataFrame, paths: list[str]) -> DataFrame:
     """Many point look-ups in input order, a row each: the entry, or why there is none."""
     asked = entries.sparkSession.createDataFrame(list(enumerate(paths)), "pos int, path string")

@@ -154,6 +154,16 @@ def h2_short(spark, sf):
     return G.resolve(G.parse(hashlib.sha1(b"c-3-0").hexdigest()[:10], V.RESERVED), V.refs(spark, sf), c, V.edges(c))
 
 
+@query(
+    "h2_peeled",
+    "with recursive w(tag, obj) as (select tag, tag from tagged union all select w.tag, t.target from w join tagged t on t.tag = w.obj) "
+    "select 'refs/tags/' || w.tag as ref_name, c.\"commit\" from w left join commits c on c.\"commit\" = w.obj where w.obj not in (select tag from tagged)",
+)
+def h2_peeled(spark, sf):
+    t = V.tags(spark, sf)
+    return G.peeled(t.select(F.concat(F.lit("refs/tags/"), "tag").alias("ref_name"), F.col("tag").alias("target")), t, V.commits(spark, sf))
+
+
 @query(
     "h3_ancestry",
     "with recursive walk(c, n) as (select target, 0 from refs where ref_name = 'refs/heads/conv-40' union all select e.parent, n + 1 from walk join edges e on e.\"commit\" = walk.c and e.pos = 0 where n < 13) select c as \"commit\" from walk where n = 13",
@@ -269,6 +279,18 @@ def o8(spark, sf):
     return O.monitor_changes(O.status(rows), O.directory_deletions(rows), O.vanished(e, V.snapshot(spark, sf, 3)))
 
 
+@query(
+    "o8_monitor_answer",
+    "with e as (select event_id as seq, user_id, (event_type = 'error')::int as gone from events), t as (select seq, gone - coalesce(lag(gone) over (partition by user_id order by seq), 0) as step from e), n as (select sum(step) over (order by seq) as n from t) "
+    "select path, (select max(n) > 5 from n) as full_rescan from changes",
+)
+def o8_answer(spark, sf):
+    rows = V.overlay(spark, sf)
+    log = V.table(spark, sf, "events").select(F.concat(F.lit("u/"), "user_id").alias("path"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("write").alias("op"))
+    paths, again = O.monitor_answer(O.status(rows).select("path"), O.vanished_overflow(log, V.snapshot(spark, sf, 3), 5), 3, "3:17")
+    return paths.withColumn("full_rescan", F.lit(again))
+
+
 @query("o10_quota", "select sum(case when present and oid is distinct from base_oid then size else 0 end)::bigint as used, sum(case when present and oid is distinct from base_oid then size else 0 end) <= 1000000 as allowed from ov")
 def o10(spark, sf):
     return O.quota(V.overlay(spark, sf), 1_000_000)
@@ -276,12 +298,15 @@ def o10(spark, sf):
 
 @query(
     "o6_fold_operations",
-    "with e as (select 'u/' || user_id as path, event_id as seq, event_type as op from events), b as (select path, max(case when op = 'error' then seq end) as gone, max(case when op in ('signup', 'purchase', 'error') then seq end) as reset, arg_max(op, seq) filter (where op in ('signup', 'purchase', 'error')) as last_reset from e group by 1) "
-    "select b.path, true as present, case when last_reset = 'signup' then 'new' else '' end || repeat('x', (select count(*) from e where e.path = b.path and e.op = 'view' and e.seq > coalesce(b.reset, -1))) as content, false as unchanged from b where (last_reset is null or last_reset <> 'error' or exists (select 1 from e where e.path = b.path and e.op = 'view' and e.seq > b.reset)) and exists (select 1 from e where e.path = b.path and e.op <> 'click')",
+    "with e as (select 'u/' || user_id as path, event_id as seq, event_type as op from events), b as (select path, max(case when op in ('signup', 'purchase', 'error') then seq end) as reset, arg_max(op, seq) filter (where op in ('signup', 'purchase', 'error')) as last_reset, coalesce(max(seq) filter (where op in ('signup', 'error')), -1) as made, arg_max(op, seq) filter (where op in ('signup', 'error')) as how from e group by 1), "
+    "s as (select b.*, case when how = 'signup' then made else (select min(seq) from e where e.path = b.path and e.op in ('view', 'purchase') and e.seq > b.made) end as since from b) "
+    "select s.path, true as present, 'file' as kind, case when exists (select 1 from e where e.path = s.path and e.op = 'click' and e.seq > s.since) then 33261 else 33188 end as mode, "
+    "case when last_reset = 'signup' then 'new' else '' end || repeat('x', (select count(*) from e where e.path = s.path and e.op = 'view' and e.seq > coalesce(s.reset, -1))) as content, false as unchanged from s where since is not null",
 )
 def o6(spark, sf):
-    op = F.create_map(*[F.lit(x) for p in (("view", "append"), ("signup", "create"), ("purchase", "truncate"), ("error", "remove")) for x in p])
-    log = V.table(spark, sf, "events").where("event_type <> 'click'").select(F.concat(F.lit("u/"), "user_id").alias("path"), F.col("event_id").alias("seq"), op[F.col("event_type")].alias("op"), F.when(F.col("event_type") == "view", "x").when(F.col("event_type") == "signup", "new").alias("content"))
+    op = F.create_map(*[F.lit(x) for p in (("view", "append"), ("signup", "create"), ("purchase", "truncate"), ("error", "remove"), ("click", "chmod")) for x in p])
+    t = F.col("event_type")
+    log = V.table(spark, sf, "events").select(F.concat(F.lit("u/"), "user_id").alias("path"), F.col("event_id").alias("seq"), op[t].alias("op"), F.when(t == "view", "x").when(t == "signup", "new").alias("content"), F.when(t == "click", V.EXECUTABLE).alias("mode"))
     return O.fold_operations(log, V.snapshot(spark, sf, 3))
 
 

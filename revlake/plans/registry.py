@@ -44,6 +44,11 @@ CTES = {
         "union all select 'refs/tags/v-' || conv_id, 'c-' || conv_id || '-' || last, conv_id from lasts where conv_id % 10 = 0 "
         "union all select 'refs/internal/mounts/m-' || conv_id, 'c-' || conv_id || '-' || last, conv_id from lasts where conv_id % 9 = 0",
     ),
+    "tagged": (
+        ("lasts",),
+        "select 't-' || conv_id as tag, case when conv_id % 3 = 0 then 'tree-' || conv_id else 'c-' || conv_id || '-' || last end as target from lasts where conv_id % 2 = 0 "
+        "union all select 't-t-' || conv_id, 't-' || conv_id from lasts where conv_id % 4 = 0",
+    ),
     "ov": (
         ("snap3",),
         "select case when k = 3 then 'moved/doc-' || doc_id || '.txt' else path end as path, k <> 1 as present, 'file' as kind, false as opaque, "

@@ -95,6 +95,16 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.explode(kinds).alias("ref_name"), target.alias("target"), "conv_id")
 
 
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tag, target``: tag objects of some conversations' last commits, some of them tagged again, and some of trees."""
+    k = F.col("conv_id")
+    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    own = F.concat(F.lit("t-"), k)
+    target = F.when(k % 3 == 0, F.concat(F.lit("tree-"), k)).otherwise(F.concat_ws("-", F.lit("c"), k, "last"))
+    made = F.array_compact(F.array(F.struct(own.alias("tag"), target.alias("target")), F.when(k % 4 == 0, F.struct(F.concat(F.lit("t-t-"), k).alias("tag"), own.alias("target")))))
+    return last.where(k % 2 == 0).select(F.explode(made).alias("t")).select("t.*")
+
+
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, present, kind, opaque, oid, mode, size, renamed_from, base_oid, base_mode`` over revision 3."""
     base = snapshot(spark, sf_dir, 3)

@@ -23,6 +23,7 @@ from revlake.operators import rules
 from revlake.operators import search as S
 from revlake.operators import textdiff as D
 from revlake.operators import tree as T
+from revlake.operators.staging import with_sum_before
 from revlake.plans import graph_queries as Q
 from revlake.plans import more_queries as M
 from revlake.plans import tree_queries as W
@@ -349,6 +350,78 @@ def test_list_tree_pages_end_with_directories(spark):
     assert page == {"": 0, "a": 1, "a/b": 1, "c": 2, "d": 2}
 
 
+@pytest.mark.parametrize("most", [1, 7, 60])
+def test_list_tree_pages_over_many_ranges(spark, most):
+    r = random.Random(most)
+    paths = sorted({"/".join(r.choice("abcdefgh.") * r.randint(1, 2) for _ in range(r.randint(1, 5))) + "/z" for _ in range(500)})
+    d = spark.createDataFrame([(p, V.REGULAR, "o", 1) for p in paths], "path string, mode int, oid string, size long")
+    held, page, want = 0, 0, {}
+    children = defaultdict(set)
+    for p in paths:
+        parts = p.split("/")
+        for i in range(len(parts)):
+            children["/".join(parts[:i])].add(parts[i])
+    for directory in sorted(children, key=lambda x: x.split("/")):
+        want[directory] = page
+        held += len(children[directory])
+        if held >= most:
+            held, page = 0, page + 1
+    assert {x["directory"]: x["page"] for x in T.list_tree(d, most).collect()} == want
+
+
+def test_list_tree_of_nothing(spark):
+    assert T.list_tree(spark.createDataFrame([], "path string, mode int, oid string, size long"), 5).count() == 0
+
+
+def test_operations_follow_what_a_path_allows(spark):
+    ops = [
+        ("d", "mkdir", None, None), ("d", "write", "no", None), ("d", "chmod", None, V.EXECUTABLE),
+        ("l", "symlink", "to", None), ("l", "append", "no", None), ("l", "mkdir", None, None),
+        ("f", "chmod", None, V.EXECUTABLE), ("f", "create", None, None), ("f", "append", "ab", None), ("f", "chmod", None, V.EXECUTABLE), ("f", "write", "c", None),
+        ("base", "truncate", None, None), ("base", "write", "was", None), ("gone", "remove", None, None), ("never", "create", "x", None), ("never", "remove", None, None),
+        ("again", "remove", None, None), ("again", "symlink", "y", None), ("tool", "chmod", None, V.REGULAR), ("odd", "unknown", "x", None),
+    ]
+    log = spark.createDataFrame([(p, i, op, c, m) for i, (p, op, c, m) in enumerate(ops)], "path string, seq int, op string, content string, mode int")
+    base = spark.createDataFrame([(p, "was", V.EXECUTABLE if p == "tool" else V.REGULAR) for p in ("base", "gone", "again", "tool", "other")], "path string, content string, mode int")
+    got = {r["path"]: tuple(r)[1:] for r in O.fold_operations(log, base).collect()}
+    assert got == {
+        "d": (True, "directory", V.DIRECTORY, None, False),
+        "l": (True, "symlink", V.SYMLINK, "to", False),
+        "f": (True, "file", V.EXECUTABLE, "c", False),
+        "base": (True, "file", V.REGULAR, "was", True),
+        "gone": (False, None, None, None, False),
+        "again": (True, "symlink", V.SYMLINK, "y", False),
+        "tool": (True, "file", V.REGULAR, "was", False),
+    }
+
+
+def test_monitor_answers_ask_for_a_rescan(spark):
+    base = spark.createDataFrame([("b",)], "path string")
+    log = spark.createDataFrame([("x", 1, "remove"), ("b", 2, "remove"), ("y", 3, "remove"), ("x", 4, "write"), ("x", 5, "write"), ("y", 6, "remove")], "path string, seq int, op string")
+    assert [O.vanished_overflow(log, base, n).first()["overflow"] for n in (1, 2)] == [True, False]
+    assert O.vanished_overflow(log.limit(0), base, 0).first()["overflow"] is False
+    fits, more = O.vanished_overflow(log, base, 2), O.vanished_overflow(log, base, 1)
+    assert [O.monitor_answer(base, o, 4, t)[1] for o, t in ((fits, "4:9"), (fits, "41:9"), (fits, ""), (more, "4:9"))] == [False, True, True, True]
+
+
+def test_tags_are_peeled_and_other_objects_refused(spark):
+    refs = spark.createDataFrame([("refs/tags/a", "t2"), ("refs/tags/b", "t3"), ("refs/heads/c", "c1")], "ref_name string, target string")
+    tags = spark.createDataFrame([("t1", "c1"), ("t2", "t1"), ("t3", "tree")], "tag string, target string")
+    commits = spark.createDataFrame([("c1", "sha1:00")], "commit string, oid string")
+    edges = spark.createDataFrame([], "commit string, parent string, pos int")
+    found = lambda name: [r[0] for r in L.resolve(L.parse(name, V.RESERVED), refs, commits, edges, tags=tags).collect()]
+    assert found("a") == ["c1"] and found("c") == ["c1"] and found("none") == []
+    with pytest.raises(L.InvalidRevision):
+        found("b")
+
+
+def test_sums_before_run_over_ranges(spark):
+    rows = [(i // 3, i, i % 5) for i in range(400)]
+    random.Random(1).shuffle(rows)
+    got = with_sum_before(spark.createDataFrame(rows, "a int, b int, n int"), ["a", "b"], "n", "before").collect()
+    assert {r["b"]: r["before"] for r in got} == {i: sum(j % 5 for j in range(i)) for i in range(400)}
+
+
 def test_front_coding_round_trip(spark, sf_dir):
     rows = [tuple(r) for r in T.front_coded(V.files(spark, sf_dir)).collect()]
     groups = defaultdict(list)
