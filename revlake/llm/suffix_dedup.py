@@ -329,7 +329,7 @@ def whole_words(text: bytes, a: int, b: int) -> int:
 
 
 def removed_report(docs: DataFrame, length: int = 400, **more) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept`` (the bytes that are left).
 
     Null text is empty; texts under ``length`` bytes and empty tables lose nothing; equal texts of ``length`` bytes
     or more are removed whole, repeated rows and rows without an id included; very long texts are handled in
@@ -337,17 +337,19 @@ def removed_report(docs: DataFrame, length: int = 400, **more) -> DataFrame:
     """
 
     def digest(batch):
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
+        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept")}
         for t, s in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True):
             m = merged([(x["a"], x["b"]) for x in s or ()])
             out["n_bytes"].append(len(t))
             out["n_removed"].append(sum(b - a for a, b in m))
             out["n_spans"].append(len(m))
-            out["kept_sha256"].append(hashlib.sha256(kept_bytes(t, m)).hexdigest())
+            kept = kept_bytes(t, m)
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            out["n_kept"].append(len(kept))
         return {"doc_id": batch.column(0), **out}
 
     rows = with_spans(docs.select("doc_id", "text"), length, **more).select("doc_id", "text", "repeated_spans")
-    return map_arrow(rows, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(rows, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, words: int = 0, **more) -> DataFrame:
