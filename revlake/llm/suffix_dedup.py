@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlake.llm.common import fresh, map_arrow, stage, texts_of
+from revlake.llm.common import FEW, fresh, map_arrow, stage, texts_of
 from revlake.llm.hashing import U, mix, prefix_sums, span_hashes
 
 #: Bytes of the q-gram that names the initial bucket.
@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gather: int = 8192, id_co
         live.where("mixed").groupBy("bucket", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "tag", "start", "count", "anchor")).alias("r")),
         "contexts",
     )
-    again = live.where("mixed and n = 1").join(kinds.where("n > 1").select("bucket", "c1", "c2"), ["bucket", "c1", "c2"]).select(*span)
+    again = _held_again(live.where("mixed and n = 1"), kinds.where("n > 1")).select(*span)
     width = kinds.groupBy("bucket").agg(F.count("*").alias("width"), F.sum((F.col("n") == 1).cast("long")).alias("open")).where("open > 0")
     width = stage(width, "widths")
     wanted = kinds.join(width.select("bucket", (F.col("width") > gather).alias("wide")), "bucket").select("bucket", "n", "wide", "r.*")
@@ -215,6 +215,24 @@ def repeated_spans(docs: DataFrame, length: int = 400, gather: int = 8192, id_co
     return _gathered(within.union(whole).union(again).union(tight).union(_hashed(held.where("wide"), length)))
 
 
+#: A context that so many rows hold is never met by a shuffle.
+COMMON = 64
+
+
+def _held_again(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """The rows whose context is in ``twice``.
+
+    Contexts held more than ``most`` times are at most ``sum(n) / most <= FEW``, so they are broadcast whatever the size
+    of the corpus; what then meets by a shuffle has at most ``most`` rows a key.
+    """
+    key = ["bucket", "c1", "c2"]
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    most = max(COMMON, -(-total // FEW))
+    common = F.broadcast(twice.where(F.col("n") > most).select(key))
+    rare = rows.join(common, key, "left_anti").join(twice.where(F.col("n") <= most).select(key), key)
+    return rows.join(common, key, "left_semi").unionByName(rare)
+
+
 def _contexts(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``wanted`` with the bytes its rows cover, read from their documents."""
     lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("bucket", "n", "wide", "start", "count", "anchor")).alias("rows"))  # bounded by the document's length
