@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 U = np.uint64
@@ -88,3 +90,36 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = np.concatenate([[True], _SPACE[buf], [True]])
     change = np.flatnonzero(gap[1:] != gap[:-1])
     return change[::2], change[1::2]
+
+
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> np.uint32(1)) ^ (np.uint32(0xEDB88320) * (t & np.uint32(1)))
+    return t
+
+
+_CRC, _ONES = _crc_table(), np.uint32(0xFFFFFFFF)
+#: Bytes of a span that are taken column by column; the rest of a longer one goes through zlib.
+_WIDE = 64
+
+
+def crc32_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Unsigned CRC-32 of bytes [start, end) for many spans, each continued from its entry of ``before`` if given."""
+    size = end - start
+    order = np.argsort(np.uint8(_WIDE + 1) - np.minimum(size, _WIDE + 1).astype(np.uint8), kind="stable")
+    state = (np.zeros(len(start), np.uint32) if before is None else before[order].astype(np.uint32)) ^ _ONES
+    at, n = start[order], size[order]
+    more = np.cumsum(np.bincount(np.minimum(n, _WIDE + 1), minlength=_WIDE + 2)[::-1])[::-1]  # more[k]: spans of k bytes or more
+    for k in range(_WIDE):
+        m = int(more[k + 1])
+        if not m:
+            break
+        s = state[:m]
+        state[:m] = _CRC[(s ^ buf[at[:m] + k]) & np.uint32(255)] ^ (s >> np.uint32(8))
+    state ^= _ONES
+    for i in range(int(more[_WIDE + 1])):
+        state[i] = zlib.crc32(buf[at[i] + _WIDE : at[i] + n[i]].tobytes(), int(state[i]))
+    out = np.empty(len(start), np.uint32)
+    out[order] = state
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlake.llm import byte_bpe, ftrl, language_id, media_gif, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, vp_search
+from revlake.llm import byte_bpe, ftrl, importance, language_id, media_gif, near_dedup, oracles, packing, quality, suffix_dedup, token_counts, toxicity, vp_search
 from revlake.llm.common import residue, table
 
 
@@ -66,11 +66,16 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.removed_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_media_gif, op4_language_id, op5_byte_bpe, op6_vp_search, op7_toxicity, op8_packing, op9_quality, op10_suffix_dedup)}
+def op12_importance(spark, sf_dir):
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
-#: The similarity search is plain SQL; every other operator learns, hashes, codes or iterates, and is tested against
-#: brute force, exact round trips or held-out rows in tests/llm.
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_media_gif, op4_language_id, op5_byte_bpe, op6_vp_search, op7_toxicity, op8_packing, op9_quality, op10_suffix_dedup, op12_importance)}
+
+#: What SQL can express; every other operator learns, hashes, codes or iterates, and is tested against brute force, exact
+#: round trips or held-out rows in tests/llm.
 ORACLE_SQL = {
+    "op12_importance": oracles.IMPORTANCE,
     "op6_vp_search": """
 with v as (
   select vec_id, embedding::double[] as e from embeddings
