@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from revlake.llm import hashing, importance, queries
+from revlake.llm import hashing, importance, queries, tree_bpe
 from tests.llm.test_llm import SCHEMA, SMALL, empty, odd  # noqa: F401  (fixtures)
 
 
@@ -78,3 +80,79 @@ def test_resampling_edge_cases(spark, odd, empty):  # noqa: F811
     assert len(importance.resampled(odd, empty).collect()) == len(out)
     nameless = importance.resampled(odd.withColumn("doc_id", F.lit(None).cast("long")), odd, percent=100).collect()
     assert len(nameless) == len(out) and all(r["score"] is None and r["rank"] is None for r in nameless)
+
+
+# BPE by tree concatenation
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tree_bpe.TreeBpe(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+
+
+def unsplit(rng):
+    yield from ("", "Hello world's  test\n\n  x", "<|endoftext|> a <|endoftext|><|endoftext|>b", "日本語🙂" * 50, "\x1c\x85\xa0 a\u0558b\u088f 1\U000323b0!", "é" * 777 + "\u0301" * 300)
+    for unit in ("x", "ab", "aab", "the", "-", "=-", " ", "0123456789", "é", "abcab"):
+        yield (unit * 3000)[: rng.randrange(900, 3000)]
+    for letters in ("the", "etaoin", "abcdefghijklmnopqrstuvwxyz"):
+        yield "".join(rng.choice(letters) for _ in range(4000))
+    for _ in range(60):
+        yield "".join(rng.choice([*"abcdet h  \n'.,1290-é日\U0001f642", "ing", "tion", " the", "'s"]) for _ in range(rng.randrange(400)))
+        yield "".join(rng.choice("etaoin") for _ in range(rng.randrange(200, 900)))
+
+
+@pytest.mark.parametrize(("leaf", "window"), [(256, 4), (8, 1), (3, 1), (1, 2)])
+def test_tree_concatenation_equals_the_library(bpe, monkeypatch, leaf, window):
+    model, library = bpe
+    monkeypatch.setattr(tree_bpe, "LEAF", leaf)
+    monkeypatch.setattr(tree_bpe, "WINDOW", window)
+    monkeypatch.setattr(model, "known", {})
+    texts = list(unsplit(random.Random(leaf)))
+    for text, parts in zip(texts, model.encode(texts), strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert [i for p in parts for i in p[1]] == ids
+        assert model.decode(ids).decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_joins_agree_on_both_sides(bpe, monkeypatch):
+    """Whatever the halves, joining their encodings is encoding the whole."""
+    model, _ = bpe
+    monkeypatch.setattr(tree_bpe, "WINDOW", 1)
+    rng = random.Random(11)
+    halves = [tuple("".join(rng.choice(rng.choice(("ab", "the", "x", "éa"))) for _ in range(rng.randrange(1, 40))).encode() for _ in range(2)) for _ in range(400)]
+    pairs = [tuple(model.side_by_side(list(h))) for h in halves]
+    whole = model.side_by_side([a + b for a, b in halves])
+    assert all(np.array_equal(x, y) for x, y in zip(model._joined(pairs), whole, strict=True))
+
+
+def test_remembered_matches_when_full(bpe, monkeypatch):
+    model, library = bpe
+    monkeypatch.setattr(tree_bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(model, "known", {})
+    for text in ("one two three four five", "one six <|endoftext|>"):
+        assert [i for p in model.encode([text])[0] for i in p[1]] == library.encode(text, add_special_tokens=False).ids
+    assert len(model.known) <= 3
+
+
+def test_op13_equals_the_library(spark, bpe, odd, empty):  # noqa: F811
+    library = bpe[1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    extra = spark.createDataFrame([(99, "a<|endoftext|>b", "en", "s", 1, 1, "n", "s", "c", "d", "l")], SCHEMA)
+    for docs, got in ((odd.union(extra), tree_bpe.encoded(odd.union(extra), path, public_tokenizers.PATTERN)), (spark.read.parquet(f"{SMALL}/documents.parquet"), queries.op13_tree_bpe(spark, SMALL))):
+        want = []
+        for r in docs.select("doc_id", "text").collect():
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+            digest = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+            want.append((r["doc_id"], len(ids), *digest))
+        assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    assert tree_bpe.encoded(empty, path, public_tokenizers.PATTERN).collect() == []
+
+
+def test_ids_decode_to_text(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(1, [15496, 995]), (2, None), (3, []), (4, [50256])], "doc_id long, ids array<int>")
+    got = dict(tree_bpe.decoded(rows, path, public_tokenizers.PATTERN).collect())
+    assert got == {1: "Hello world", 2: None, 3: "", 4: "<|endoftext|>"}
