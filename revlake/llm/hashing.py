@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -86,6 +87,18 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out) if out else np.zeros(0, U), np.concatenate([[0], np.cumsum(count)])
 
 
+def pieces(text: bytes, gap, size: int) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes; all but the first begin with a match of ``gap``, so no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        cut = gap.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = np.concatenate([[True], _SPACE[buf], [True]])
     change = np.flatnonzero(gap[1:] != gap[:-1])

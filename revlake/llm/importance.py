@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import arrow_rows, bounded_batches, chunks, map_arrow, stage, texts_of
-from revlake.llm.hashing import LOWER, crc32_spans, joined
+from revlake.llm.hashing import LOWER, crc32_spans, joined, pieces
 
 #: Buckets fit 16 bits.
 MOST_BUCKETS = 1 << 16
@@ -38,25 +37,13 @@ def _spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """The text in pieces of about ``PIECE`` bytes that end between words."""
-    at = 0
-    while len(text) - at > PIECE:
-        gap = _GAP.search(text, at + PIECE)
-        if not gap:
-            break
-        yield text[at : gap.start()]
-        at = gap.start()
-    yield text[at:]
-
-
 def features(texts: list[bytes], n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all runs of 1 to ``n`` words as ``uint16``, document after document, each document's first place (one more: the
     end) and its number of words."""
     owner, parts, context = [], [], []
     for i, t in enumerate(texts):
         before = b""
-        for p in _pieces(t.translate(LOWER)):
+        for p in pieces(t.translate(LOWER), _GAP, PIECE):
             p = before + b" " + p if before else p
             parts.append(p)
             owner.append(i)

@@ -49,3 +49,27 @@ ranked as (select doc_id, row_number() over (order by score desc, doc_id) as ran
 select doc_id, n_features, weight, score, case when rank <= floor(10 * (select count(*) from ranked) / 100) then rank end as rank
 from noisy left join ranked using (doc_id)
 """
+
+SPELLING = f"""
+with recursive {CRC32}, runs as (
+  select coalesce(doc_id::varchar, '') as doc, {_lower("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} as run from documents
+), counted as (select doc, run, count(*) as k, length(run) as size from runs where length(run) >= 6 group by all),
+hashed as (select run, k, size, {crc32("doc || ':' || run")} as h from counted, crc_table, hex_digits),
+dropped as (select case when h % 199 = 0 then substr(run, 1, h % size) || substr(run, h % size + 2) else run end as word, k from hashed),
+words as (select word, sum(k)::bigint as n from dropped where length(word) >= 6 group by word having sum(k) >= 5),
+cut as (select word, n, unnest(range(1, length(word)::bigint + 1)) as i from words),
+less as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from cut),
+near as (
+  select a.word, b.word as other, b.n as m from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from words a join less b on a.word = b.rest
+  union select b.word, a.word, a.n from words a join less b on a.word = b.rest
+), best as (select word, count(*) as n_near, first(other order by m desc, other) as near, max(m) as m from near group by word),
+formed as (
+  select word, n, coalesce(n_near, 0)::bigint as n_near, case when m >= 5 * n then near end as form, case when m >= 5 * n then m end as form_n
+  from words left join best using (word)
+), chain as (
+  select word, word as now, form as next from formed
+  union all select c.word, f.word, f.form from chain c join formed f on c.next = f.word
+)
+select word, form, root, n, n_near, form_n from formed join (select word, now as root from chain where next is null) using (word)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlake.llm import byte_bpe, ftrl, importance, language_id, media_gif, near_dedup, oracles, packing, quality, suffix_dedup, token_counts, toxicity, tree_bpe, vp_search
+from revlake.llm import byte_bpe, ftrl, importance, language_id, media_gif, near_dedup, oracles, packing, quality, spelling, suffix_dedup, token_counts, toxicity, tree_bpe, vp_search
 from revlake.llm.common import residue, table
 
 
@@ -66,6 +66,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.removed_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"), least=6, often=5, ratio=5, drop=199)
+
+
 def op12_importance(spark, sf_dir):
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
@@ -76,11 +80,12 @@ def op13_tree_bpe(spark, sf_dir):
     return tree_bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_media_gif, op4_language_id, op5_byte_bpe, op6_vp_search, op7_toxicity, op8_packing, op9_quality, op10_suffix_dedup, op12_importance, op13_tree_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_media_gif, op4_language_id, op5_byte_bpe, op6_vp_search, op7_toxicity, op8_packing, op9_quality, op10_suffix_dedup, op11_spelling, op12_importance, op13_tree_bpe)}
 
 #: What SQL can express; every other operator learns, hashes, codes or iterates, and is tested against brute force, exact
 #: round trips or held-out rows in tests/llm.
 ORACLE_SQL = {
+    "op11_spelling": oracles.SPELLING,
     "op12_importance": oracles.IMPORTANCE,
     "op6_vp_search": """
 with v as (

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from revlake.llm import hashing, importance, queries, tree_bpe
+from revlake.llm import hashing, importance, queries, spelling, tree_bpe
 from tests.llm.test_llm import SCHEMA, SMALL, empty, odd  # noqa: F401  (fixtures)
 
 
@@ -156,3 +157,87 @@ def test_ids_decode_to_text(spark):
     rows = spark.createDataFrame([(1, [15496, 995]), (2, None), (3, []), (4, [50256])], "doc_id long, ids array<int>")
     got = dict(tree_bpe.decoded(rows, path, public_tokenizers.PATTERN).collect())
     assert got == {1: "Hello world", 2: None, 3: "", 4: "<|endoftext|>"}
+
+
+# spelling variants
+
+
+def apart(a, b):
+    """One letter inserted, deleted or replaced."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def formed(count, ratio):
+    """``word: (form, root, n, n_near, form_n)`` by comparing every two words."""
+    out = {}
+    for w, n in count.items():
+        near = [x for x in count if apart(w, x)]
+        best = min(near, key=lambda x: (-count[x], x), default=None)
+        out[w] = (best, count[best], len(near)) if best and count[best] >= ratio * n else (None, None, len(near))
+
+    def root(w):
+        return root(out[w][0]) if out[w][0] else w
+
+    return {w: (f, root(w), count[w], k, n) for w, (f, n, k) in out.items()}
+
+
+def test_op11_equals_sql(spark):
+    rows = same_as_sql(spark, "op11_spelling")
+    assert any(r[1] for r in rows)
+
+
+@pytest.mark.parametrize("most", [1 << 17, 8, 1])
+def test_variants_against_all_pairs(spark, monkeypatch, most):
+    """Shards of any size give the same pairs, equal letters side by side and long words included."""
+    monkeypatch.setattr(spelling, "PACK", 16)
+    rng = random.Random(most)
+    base = ["".join(rng.choice("abé") for _ in range(rng.randrange(6, 9))) for _ in range(60)] + ["aaaaaa", "aaaaaaa", "aaaaaaaa", "abcdef" * 60]
+
+    def changed(w):
+        i = rng.randrange(len(w))
+        return rng.choice((w[:i] + w[i + 1 :], w[:i] + rng.choice("abÿ×") + w[i:], w[:i] + rng.choice("abÿ") + w[i + 1 :]))
+
+    words = [w for w in base for _ in range(rng.choice((1, 2, 40)))] + [changed(w) for w in base for _ in range(6)]
+    rng.shuffle(words)
+    docs = spark.createDataFrame([(i, " ".join(words[i::7]).title()) for i in range(7)], "doc_id long, text string")
+    lowered = Counter(w for (t,) in docs.select("text").collect() for w in (x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall("[A-Za-zÀ-ÿ]+", t)) if len(w) >= 6)
+    count = {w: n for w, n in lowered.items() if n >= 1}
+    got = {r["word"]: tuple(r)[1:] for r in spelling.variants(docs, often=1, ratio=2, most=most).collect()}
+    assert got == formed(count, 2) and sum(v[3] for v in got.values()) > 100
+
+
+def test_shards_stay_bounded(spark):
+    """Words that agree on their first half are dealt by what else they share."""
+    words = spark.range(3000).selectExpr("concat('constant', translate(lpad(cast(id as string), 6, '0'), '0123456789', 'abcdefghij')) as word", "1L as n")
+    sizes = [r["count"] for r in spelling._dealt(words, 6, 200).groupBy("shard").count().collect()]
+    assert max(sizes) <= 200
+
+
+def test_wavelet_tree():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 64, 100):
+        x = rng.permutation(n)
+        tree = spelling.WaveletTree(x)
+        a, b, lo, hi = (rng.integers(0, n + 1, 200) for _ in range(4))
+        which, value = tree.report(a, b, lo, hi)
+        got = sorted(zip(which.tolist(), value.tolist()))
+        assert got == sorted((i, int(v)) for i in range(200) for v in x[a[i] : b[i]] if lo[i] <= v < hi[i])
+
+
+@pytest.mark.parametrize("piece", [1 << 22, 16])
+def test_words_of_texts(spark, odd, empty, monkeypatch, piece):  # noqa: F811
+    monkeypatch.setattr(spelling, "PIECE", piece)
+    monkeypatch.setattr(spelling, "COUNTED", 5)
+    for drop in (0, 3):
+        want = Counter()
+        for i, t in odd.select("doc_id", "text").collect():
+            for w in re.findall("[A-Za-z\u00c0-\u00ff]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))):
+                h = zlib.crc32(f"{i}:{w}".encode())
+                w = w[: h % len(w)] + w[h % len(w) + 1 :] if drop and h % drop == 0 else w
+                want[w] += len(w) >= 4
+        assert dict(spelling.word_counts(odd, 4, drop).collect()) == {w: n for w, n in want.items() if n}
+    assert spelling.variants(empty).collect() == []
+    assert spelling.word_counts(odd.withColumn("doc_id", F.lit(None).cast("long")), 4, 3).count()
