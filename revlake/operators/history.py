@@ -1,8 +1,7 @@
 """The commit graph: revision expressions, ancestry, logs, reachability, visibility.
 
-Histories are walked by frontier: each round joins the newest commits with the edge table and drops what was seen.
-Linear stretches would make that one round per commit, so closures double instead: a hop table is joined with itself,
-and the number of rounds is the logarithm of the longest path.
+Closures and logs go by the ancestry index (:mod:`revlake.operators.ancestry`): chains of first parents and the links between
+them, so a round follows merges, not commits.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlake.operators import ancestry as A
 from revlake.operators.staging import cut
 
 #: Fixed limits: steps of an ancestry, hex digits of a short id, commits of a log asked for as 0 and at most.
@@ -115,33 +115,22 @@ def walk_ancestry(start: DataFrame, edges: DataFrame, steps) -> DataFrame:
     return now
 
 
-def reachable(tips: DataFrame, edges: DataFrame, first_parent: bool = False) -> DataFrame:
-    """``commit``: everything an edge path leads to from the tips, the tips included.
+def reachable(tips: DataFrame, edges: DataFrame, first_parent: bool = False, index: A.Ancestry | None = None) -> DataFrame:
+    """``commit``: everything an edge path leads to from the tips, the tips included, by the ancestry index (built if not given)."""
+    return A.reached(index or A.build(edges), tips, first_parent).select("commit")
 
-    Along first parents, where a commit has one successor, all that was reached hops 1, 2, 4, ... steps on, so a history of n
-    commits takes about log2(n) rounds and ``hop`` never grows.  Other parents are followed from what the last round added.
+
+def log(start: DataFrame, commits: DataFrame, edges: DataFrame, skip: int = 0, limit: int = 0, first_parent: bool = False, touching: DataFrame | None = None, index: A.Ancestry | None = None) -> tuple[DataFrame, bool]:
+    """``(page, has_more)``: reachable commits by newest time, ties by id; ``touching`` filters before the skip.
+
+    The page is found in the ancestry index (of ``committer_secs``; built if not given); only its commits are read whole.
     """
-    hop = edges.where("pos = 0").select("commit", F.col("parent").alias("to"))
-    others = None if first_parent else edges.select("commit", F.col("parent").alias("to"))
-    seen = added = cut(tips.select("commit").where("commit is not null").distinct())
-    while not added.isEmpty():
-        more = seen.join(hop, "commit").select(F.col("to").alias("commit"))
-        if others is not None:
-            more = more.union(added.join(others, "commit").select(F.col("to").alias("commit")))
-        added = cut(more.distinct().join(seen, "commit", "left_anti"))
-        seen = seen.union(added)
-        hop = cut(hop.join(hop.select(F.col("commit").alias("to"), F.col("to").alias("far")), "to").select("commit", F.col("far").alias("to")))
-    return seen
-
-
-def log(start: DataFrame, commits: DataFrame, edges: DataFrame, skip: int = 0, limit: int = 0, first_parent: bool = False, touching: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """``(page, has_more)``: reachable commits by newest time, ties by id; ``touching`` filters before the skip."""
     limit = LOG if limit <= 0 else min(limit, MOST_LOG)
-    seen = reachable(start, edges, first_parent)
-    if touching is not None:
-        seen = seen.join(touching.select("commit"), "commit", "left_semi")
+    index = index or A.build(edges, commits)
     order = [F.col("committer_secs").desc(), F.col("commit")]
-    page = commits.join(seen, "commit", "left_semi").orderBy(*order).offset(skip).limit(limit + 1)
+    # a start that no table knows has no page
+    head = A.newest(index, start, skip + limit + 1, first_parent, touching).orderBy(F.col("secs").desc(), "commit").offset(skip).limit(limit + 1)
+    page = cut(commits.join(F.broadcast(head.select("commit")), "commit", "left_semi"))
     more = page.count() > limit
     return page.orderBy(*order).limit(limit), more
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of the warehouse where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_checkpoints"
+    """``spark.checkpoint.dir``; where that is unset, a folder of the warehouse in local mode, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -20,6 +28,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few names and numbers each that may be broadcast: some MB.
+FEW = 1 << 17
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """Narrow rows that were written already, marked for broadcasting if they are at most ``rows``; beyond, joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def checksum(df: DataFrame) -> str:
+    """Tells tables with different rows apart, in whatever order they are read."""
+    r = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return f"{r[0]}-{r[1]}"
+
+
+def kept(spark: SparkSession, kind: str, mark: str, write: Callable[[str], object]) -> str:
+    """The folder of an index that the first caller writes and later ones only read; ``mark`` is the checksum of what it is
+    made from, so a changed table gets an index of its own.  Deleted when the process ends."""
+    key = (spark.sparkContext.applicationId, kind, mark)
+    if key not in _KEPT:
+        folder = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+        write(folder)
+        _KEPT[key] = folder
+    return _KEPT[key]
+
+
+@atexit.register
+def release() -> None:
+    """Delete the kept folders of this process, as long as its session lives."""
+    spark = SparkSession.getActiveSession() if _KEPT else None
+    for folder in _KEPT.values() if spark else ():
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone; the folder is then the cluster's to clean
+            return
+    _KEPT.clear()
+
+
 def with_sum_before(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``rows`` with the sum of ``value`` over all rows before each, in an order without ties.
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from revlake.functions import history as H
 from revlake.functions import paths as P
+from revlake.operators import ancestry as A
 from revlake.operators import catalog as C
 from revlake.operators import history as G
 from revlake.operators import overlay as O
 from revlake.operators import textdiff as D
+from revlake.operators.staging import checksum, kept
 from revlake.plans.registry import query
 from revlake.sources import views as V
 from revlake.streaming import detectors as S
@@ -176,18 +178,25 @@ def h3(spark, sf):
 _REACH = "with recursive r(c) as (select target from refs where ref_name = 'refs/heads/conv-20' union select e.parent from r join edges e on e.\"commit\" = r.c{w}) "
 
 
-@query("h4_log", _REACH.format(w="") + "select c.\"commit\", secs from r join commits c on c.\"commit\" = r.c order by secs desc, c.\"commit\" limit 50 offset 5")
-def h4(spark, sf):
+def kept_ancestry(spark, sf):
+    """``(commits, edges, index)``: the ancestry index of the history, written by the session's first caller."""
     c = V.commits(spark, sf)
     e = V.edges(c)
-    page, _ = G.log(V.refs(spark, sf).where("ref_name = 'refs/heads/conv-20'").select(F.col("target").alias("commit")), c, e, skip=5, limit=50)
+    folder = kept(spark, "ancestry", checksum(c.select("commit", "committer_secs", "parents")), lambda f: A.write(A.build(e, c), f))
+    return c, e, A.read(spark, folder)
+
+
+@query("h4_log", _REACH.format(w="") + "select c.\"commit\", secs from r join commits c on c.\"commit\" = r.c order by secs desc, c.\"commit\" limit 50 offset 5")
+def h4(spark, sf):
+    c, e, index = kept_ancestry(spark, sf)
+    page, _ = G.log(V.refs(spark, sf).where("ref_name = 'refs/heads/conv-20'").select(F.col("target").alias("commit")), c, e, skip=5, limit=50, index=index)
     return page.select("commit", F.col("committer_secs").alias("secs"))
 
 
 @query("h4_first_parent", _REACH.format(w=" and e.pos = 0") + "select c as \"commit\" from r")
 def h4_first(spark, sf):
-    e = V.edges(V.commits(spark, sf))
-    return G.reachable(V.refs(spark, sf).where("ref_name = 'refs/heads/conv-20'").select(F.col("target").alias("commit")), e, first_parent=True)
+    _, e, index = kept_ancestry(spark, sf)
+    return G.reachable(V.refs(spark, sf).where("ref_name = 'refs/heads/conv-20'").select(F.col("target").alias("commit")), e, first_parent=True, index=index)
 
 
 @query(
@@ -195,8 +204,8 @@ def h4_first(spark, sf):
     "with recursive r(c) as (select target from refs where starts_with(ref_name, 'refs/tags/') union select e.parent from r join edges e on e.\"commit\" = r.c) select \"commit\", \"commit\" in (select c from r) as visible from commits",
 )
 def h5(spark, sf):
-    c = V.commits(spark, sf)
-    seen = G.reachable(V.refs(spark, sf).where("ref_name like 'refs/tags/%'").select(F.col("target").alias("commit")), V.edges(c))
+    c, e, index = kept_ancestry(spark, sf)
+    seen = G.reachable(V.refs(spark, sf).where("ref_name like 'refs/tags/%'").select(F.col("target").alias("commit")), e, index=index)
     return c.select("commit").join(seen.select("commit", F.lit(True).alias("v")), "commit", "left").select("commit", F.coalesce("v", F.lit(False)).alias("visible"))
 
 

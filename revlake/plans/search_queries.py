@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from revlake.operators import catalog as C
 from revlake.operators import index as X
 from revlake.operators import overlay as O
 from revlake.operators import search as S
-from revlake.operators.staging import shared_folder
+from revlake.operators.staging import checksum, kept
 from revlake.plans.registry import query
 from revlake.sources import views as V
 
@@ -116,18 +114,16 @@ def x8_scan(spark, sf):
     return page.select("path", "line", "column", "line_text")
 
 
-_KEPT: dict[tuple[str, str], str] = {}
-
-
 def kept_index(spark, sf):
     """``(manifest, blobs, postings)`` of an index that the session's first caller writes and later ones only read."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _KEPT:
+    m = manifest(spark, sf)
+    mark = checksum(V.files(spark, sf).select("path", "doc_id", "oid"))
+
+    def write(folder):
         b = blobs(spark, sf)
-        folder = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-        X.write_index(folder, X.postings(b), b, manifest(spark, sf), "files")
-        _KEPT[key] = folder
-    return X.read_index(spark, _KEPT[key], "files")
+        X.write_index(folder, X.postings(b), b, m, "files")
+
+    return X.read_index(spark, kept(spark, "index", mark, write), "files")
 
 
 @query("x8_warm_search", _PAGE)
