@@ -27,7 +27,12 @@ CENTROIDS = 3
 REJECT = 0.2
 #: Bytes of a text that are counted at a time.
 PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of a letter category; number signs such as U+00BD or U+2170 are none."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
@@ -68,14 +73,17 @@ class Centroids:
         names = ["und"] * len(texts)
         if not len(self.matrix):
             return names, best
+        idf, matrix = self.idf.astype(np.float64), self.matrix.astype(np.float64)
         for lo in range(0, len(texts), 128):
             part = texts[lo : lo + 128]
-            cosine = _unit(np.log1p(counts(part)) * self.idf) @ self.matrix.T
-            place = cosine.argmax(axis=1)
-            for k, t in enumerate(part):
-                if _LETTER.search(t.decode()):
-                    names[lo + k] = self.langs[place[k]]
-                    best[lo + k] = min(1.0, max(0.0, float(cosine[k, place[k]])))
+            for k, (t, n) in enumerate(zip(part, counts(part), strict=True)):
+                if has_letter(t.decode()):
+                    # a row by itself, so that equal texts score equally in any company
+                    v = np.log1p(n.astype(np.float64)) * idf
+                    cosine = (matrix * v).sum(axis=1) / max(float(np.sqrt((v * v).sum())), 1e-12)
+                    place = int(cosine.argmax())
+                    names[lo + k] = self.langs[place]
+                    best[lo + k] = min(1.0, max(0.0, float(cosine[place])))
         return names, best
 
 
@@ -106,7 +114,7 @@ def predicted(docs: DataFrame, model: Centroids, reject: float = REJECT) -> Data
 
     Null, empty and letterless texts are ``und`` with score 0 and rejected; so is every text when no training row
     exists: with nothing learned there is no language to name.  Ties go to the centroid listed first (languages in order
-    of name).  Very long texts are counted in pieces, repeated rows are predicted alike, an empty table gives no rows, and
+    of name).  Very long texts are counted in pieces, equal texts and repeated rows are predicted alike whatever stands beside them, an empty table gives no rows, and
     other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.matrix, model.langs))
