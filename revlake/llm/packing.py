@@ -14,6 +14,7 @@ algorithm, level by level, until one lot is left: what no lot could fill alone i
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -44,7 +45,10 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # special tokens are cut out of a text before it is lower-cased; what looks like one afterwards is ordinary text
+        self.special = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")").split
+        self.tokenizer.encode_special_tokens = True
         self.cores: dict[bytes, bytes] = {}
         self.long: dict[bytes, int] = {}
         size = 1 << (2 * REMEMBERED - 1).bit_length()
@@ -126,6 +130,11 @@ class _Words:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit bytes."""
+        parts = [self.cut(t) if any(x in t for x in self.special) else [t] for t in texts]
+        plain = iter(self._plain([x for p in parts for x in p[::2]]))
+        return [b"".join(self.special[x] if i % 2 else next(plain) for i, x in enumerate(p)) for p in parts]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
         used, filled = self.used, self.filled
         keep = self.listed < REMEMBERED
         buf, edges = joined([t.translate(LOWER) for t in texts])
@@ -187,7 +196,7 @@ class _Words:
 
 
 def token_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit bytes, by a tokenizer that lower-cases.
+    """Each text's ids as little-endian unsigned 32-bit bytes, by a tokenizer that lower-cases, its special tokens included.
 
     The tokenizer drops white space and never joins across it, so ids of the words between ASCII white space, in
     turn, are the ids of the text; each distinct word is encoded once.
