@@ -14,8 +14,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from revlake.llm import hashing, importance, queries, spelling, tree_bpe
-from tests.llm.test_llm import SCHEMA, SMALL, empty, odd  # noqa: F401  (fixtures)
+from revlake.llm import hashing, importance, language_id, packing, queries, spelling, suffix_dedup, tree_bpe, vp_search
+from tests.llm.test_llm import SCHEMA, SMALL, empty, odd, removed  # noqa: F401  (fixtures)
 
 
 def same_as_sql(spark, name):
@@ -241,3 +241,84 @@ def test_words_of_texts(spark, odd, empty, monkeypatch, piece):  # noqa: F811
         assert dict(spelling.word_counts(odd, 4, drop).collect()) == {w: n for w, n in want.items() if n}
     assert spelling.variants(empty).collect() == []
     assert spelling.word_counts(odd.withColumn("doc_id", F.lit(None).cast("long")), 4, 3).count()
+
+
+# contracts of earlier operators
+
+
+def nearest_by_rule(rows, query, k):
+    def product(a, b):
+        s = 0.0
+        for p, q in zip(a, b, strict=True):
+            s += p * q
+        return s
+
+    own = dict(rows)[query]
+    return [(i, -s) for s, i in sorted((-product(v, own), i) for i, v in rows if i != query)[:k]]
+
+
+def searched(spark, rows, k=20, **more):
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {}
+    for r in vp_search.nearest(d, F.col("id") % 20 == 0, k, **more).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+@pytest.mark.parametrize("shard", [60, 16384])
+def test_ties_of_different_vectors(spark, shard, monkeypatch):
+    """One-hot and sign vectors: very many candidates are equally near, and the smallest ids are wanted."""
+    monkeypatch.setattr(vp_search, "RANKED", 500)
+    rng = np.random.default_rng(4)
+    hot = [(1000 + i, [float(i == j) for j in range(64)]) for i in range(64)]
+    ids = rng.permutation(400)
+    signs = [(int(i), rng.choice([-1.0, 1.0], 16).tolist()) for i in ids]
+    for rows in (hot, signs, hot[::-1]):
+        got = searched(spark, rows, factor=1.0, shard_rows=shard)
+        assert got == {i: nearest_by_rule(rows, i, 20) for i, _ in rows if i % 20 == 0}
+    assert searched(spark, signs) == {i: nearest_by_rule(signs, i, 20) for i, _ in signs if i % 20 == 0}
+
+
+def test_rows_with_one_id(spark):
+    rows = [(0, [1.0, 0.0])] * 50 + [(1, [1.0, 0.0])] * 50 + [(2, [3.0, 0.0]), (2, [0.5, 0.0]), (3, [0.9, 0.0])]
+    assert searched(spark, rows, factor=1.0) == {0: [(1, 1.0), (3, 0.9), (2, 0.5)]}
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    docs = spark.createDataFrame([(i, t, "fr") for i, t in enumerate(["½ ² ⅷ", "1 2 ½a", "", None, "①②", "日", "le un la"] * 3)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(docs, model).collect()}
+    assert [got[i] for i in range(7)] == ["und", "fr", "und", "und", "und", "fr", "fr"]
+
+
+def test_equal_texts_score_equally_in_any_company(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = [r["text"].encode() for r in docs.where("text is not null").limit(128).collect()]
+    model = language_id.fit(docs, F.lit(True))
+    names, together = model.predict(texts)
+    for i, t in enumerate(texts):
+        name, alone = model.predict([t])
+        assert name[0] == names[i] and alone[0] == together[i]
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "<|ENDOFTEXT|> <|EndOfText|>", "one<|endoftext|>two's", "<|endoftext|", "é<|startoftext|>\u0301 e\u0301", "<|endoftext|>"])
+def test_special_tokens_in_a_text(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.token_ids([b"first one", text.encode(), b""], path)[1] == want
+
+
+@pytest.mark.parametrize("common", [1, 2, 64])
+def test_contexts_that_many_rows_hold(spark, monkeypatch, common):
+    """Broadcast or shuffled, what repeats is the same."""
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(120))
+    texts = [" ".join(word() for _ in range(rng.randrange(30))) + passage[rng.choice((0, 0, 40)) :] + " ".join(word() for _ in range(rng.randrange(30))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = Counter(map(tuple, suffix_dedup.removed_report(docs).drop("n_kept").collect()))
+    want = removed([(i, t.encode()) for i, t in enumerate(texts)], 400)
+    assert got == want and sum(n for _, _, n, _, _ in want) > 10_000

@@ -293,7 +293,6 @@ def assert_packed(docs, rows, capacity=2048):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = {}
     for i, t in docs:
         ids = np.array([*tokenizer.encode(t.decode(), add_special_tokens=False).ids, 0], "<u4").tobytes()
@@ -349,7 +348,6 @@ def test_word_ids_equal_the_tokenizer(text):
 
     path = queries.tokenizer_file("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = packing.token_ids([text.encode(), b"", text.encode()], path)
     assert got[0] == got[2] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() and got[1] == b""
 
