@@ -11,13 +11,11 @@ texts go through whole; an empty table stays empty.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.llm import ftrl, near_dedup, packing, quality, suffix_dedup, toxicity
-from revlake.llm.common import few, fresh, residue, shared_folder, stage, table
+from revlake.llm.common import discard, few, fresh, residue, stage, table
 from revlake.llm.queries import tokenizer_file
 
 #: Repeated passages: bytes that repeated strings of so many bytes cover, cut where they hold so many whole words.  In prose
@@ -72,10 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the whole table; results between stages go to the shared folder."""
+    """All stages in turn over the whole table; a stage's rows are in the shared folder until the next stage is written."""
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, apply) in enumerate(STAGES):
-        apply(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
-        docs = spark.read.parquet(f"{root}/{i}")
+        done = stage(apply(spark, docs, sf_dir), f"pipeline-{i}")
+        discard(docs)
+        docs = done
     return docs
