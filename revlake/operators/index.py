@@ -1,8 +1,12 @@
-"""The trigram index and blob registry: building, merging, candidate lookup."""
+"""The trigram index and blob registry: building, merging, candidate lookup.
+
+A posting list is a bitmap for each chunk of ``CHUNK`` consecutive blob keys, so lists are united, intersected and counted
+by Spark's bitmap aggregates, a row for each trigram and chunk.  Keys are dense (``intern``), so chunks fill up.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlake.functions import content as K
@@ -10,6 +14,15 @@ from revlake.functions import patterns as R
 from revlake.operators.staging import cut
 
 
+#: Blob keys of a chunk; fixed by the bitmap functions.
+CHUNK = 32_768
+
+
+def _place(key: str = "blob_key") -> tuple[Column, Column]:
+    """The chunk of a key and its bit there; keys count from 0, the bitmap functions from 1."""
+    return F.bitmap_bucket_number(F.col(key) + 1), F.bitmap_bit_position(F.col(key) + 1)
+
+
 def intern(known: DataFrame, facts: DataFrame) -> DataFrame:
     """``oid, blob_key`` of known and new oids: keys stay, new ones follow densely in order of first position.
 
@@ -34,13 +47,51 @@ def registry(blobs: DataFrame, limit: int = K.MAX_SEARCHABLE) -> DataFrame:
 
 
 def postings(blobs: DataFrame) -> DataFrame:
-    """``trigram, blob_key`` of the indexed blobs, each once."""
-    return R.trigram_rows(blobs.where("indexed"))
+    """``trigram, chunk, bits`` of the indexed blobs.
+
+    The (trigram, blob) pairs are dealt by trigram and chunk before they are aggregated, so what is shuffled is narrow and a
+    group has at most ``CHUNK`` rows, however common a trigram is.
+    """
+    chunk, bit = _place()
+    rows = R.trigram_rows(blobs.where("indexed")).select("trigram", chunk.alias("chunk"), bit.alias("bit"))
+    return rows.repartition("trigram", "chunk").groupBy("trigram", "chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def posting_rows(postings_: DataFrame) -> DataFrame:
+    """``trigram, blob_key`` of bitmaps, for reports that need single keys."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for trigram, chunk, bits in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                keys = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (chunk - 1) * CHUNK
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), trigram, np.int32)), pa.array(keys.astype(np.int64))], names=["trigram", "blob_key"])
+
+    return postings_.select("trigram", "chunk", "bits").mapInArrow(run, "trigram int, blob_key long")
+
+
+def first_key() -> Column:
+    """The least blob key of ``chunk, bits``."""
+    zeros = F.length(F.regexp_extract(F.hex("bits"), "^(?:00)*", 0)) / 2
+    byte = F.conv(F.hex(F.substring("bits", (zeros + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    low = F.log2(byte.bitwiseAND(-byte).cast("double"))
+    return ((F.col("chunk") - 1) * CHUNK + zeros * 8 + low).cast("long")
 
 
 def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:
     """The union of two batches of postings."""
-    return old.select("trigram", "blob_key").union(new.select("trigram", "blob_key")).distinct()
+    both = old.select("trigram", "chunk", "bits").union(new.select("trigram", "chunk", "bits"))
+    return both.groupBy("trigram", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def holds(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``blob_key`` of the members whose bit is set in ``chunk, bits`` (a row for each chunk)."""
+    chunk, bit = _place()
+    placed = members.select("blob_key", chunk.alias("chunk"), bit.cast("int").alias("bit")).distinct()
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return placed.join(found.select("chunk", "bits"), "chunk").where(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0).select("blob_key")
 
 
 def ingest_report(known: DataFrame, batch: DataFrame) -> DataFrame:
@@ -54,7 +105,8 @@ def ingest_report(known: DataFrame, batch: DataFrame) -> DataFrame:
 def candidates(postings_: DataFrame, literals: list[str] | None, members: DataFrame, fold: bool = False) -> DataFrame:
     """``blob_key`` of members that may match: for any literal, all its trigrams in any case.
 
-    The trigrams asked for are few (bounded by the pattern's length), so they are a filter on the postings scan.
+    The trigrams asked for are few (bounded by the pattern's length), so they are a filter on the postings scan.  The cases
+    of a trigram are united, the trigrams of a literal intersected and the literals united chunk by chunk.
     Without literals every member is a candidate.
     """
     if literals is None:
@@ -65,8 +117,9 @@ def candidates(postings_: DataFrame, literals: list[str] | None, members: DataFr
     spark = postings_.sparkSession
     asked = spark.createDataFrame(wanted, "need int, trigram int, alternative int, n int")
     hits = postings_.where(F.col("trigram").isin(sorted({w[1] for w in wanted}))).join(F.broadcast(asked), "trigram")
-    full = hits.groupBy("alternative", "n", "blob_key").agg(F.count_distinct("need").alias("found")).where("found = n")
-    return full.select("blob_key").distinct().join(members.select("blob_key"), "blob_key", "left_semi")
+    needs = hits.groupBy("alternative", "n", "need", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+    full = needs.groupBy("alternative", "n", "chunk").agg(F.count("*").alias("found"), F.bitmap_and_agg("bits").alias("bits")).where("found = n")
+    return holds(members, full.groupBy("chunk").agg(F.bitmap_or_agg("bits").alias("bits")))
 
 
 def write_index(folder: str, postings_: DataFrame, blobs: DataFrame, manifest: DataFrame, commit: str) -> DataFrame:
@@ -76,9 +129,9 @@ def write_index(folder: str, postings_: DataFrame, blobs: DataFrame, manifest: D
     spark = postings_.sparkSession
 
     def put(df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/build={commit}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}/build={commit}")
 
-    put(postings_.repartitionByRange("trigram").sortWithinPartitions("trigram"), "postings")
+    put(cut(postings_).repartitionByRange("trigram", "chunk").sortWithinPartitions("trigram", "chunk"), "postings")
     put(blobs.drop("content"), "blobs")
     put(manifest.repartitionByRange("path").sortWithinPartitions("path"), "manifest")
     facts = manifest.agg(F.count("*").alias("path_count"), F.sum(F.xxhash64("path", "blob_key").cast("decimal(38,0)")).cast("string").alias("checksum"))

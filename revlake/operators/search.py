@@ -136,12 +136,13 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
     page's blobs only.
     """
     query = query.clamped()
-    judged = verdicts(manifest, blobs, query)
+    # used for members, paths and coverage; what it is made from (classes of all blobs) is computed once
+    judged = cut(verdicts(manifest, blobs, query).select("path", "blob_key", "size", "reason"))
     eligible = judged.where("reason is null").select("path", "blob_key", "size")
     literals = R.required_literals(query.pattern, query.literal, query.fold)
     members = eligible.groupBy("blob_key").agg(F.min("path").alias("first_path"), F.max("size").alias("size"))
     chosen = X.candidates(postings, literals, members, query.fold) if postings is not None else members.select("blob_key")
-    chosen = members.join(chosen, "blob_key", "left_semi")
+    chosen = cut(members.join(chosen, "blob_key", "left_semi"))
     totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     stop = None
     if totals["n"] > query.candidates or totals["bytes"] > query.read_bytes:

@@ -168,8 +168,9 @@ def l11(spark, sf):
 def u2(spark, sf):
     from revlake.functions.patterns import pack
 
-    p = X.postings(X.registry(V.snapshot(spark, sf, 1).withColumnRenamed("doc_id", "blob_key")))
-    return p.where(F.col("trigram") == pack(b"qui")).select("blob_key").intersect(p.where(F.col("trigram") == pack(b"ent")).select("blob_key"))
+    b = X.registry(V.snapshot(spark, sf, 1).withColumnRenamed("doc_id", "blob_key"))
+    both = X.postings(b).where(F.col("trigram").isin(pack(b"qui"), pack(b"ent"))).groupBy("chunk").agg(F.count("*").alias("n"), F.bitmap_and_agg("bits").alias("bits"))
+    return X.holds(b, both.where("n = 2"))
 
 
 @query("u5_snapshot_delta", "select path, oid, mode, 'gone' as side from (select path, oid, mode from snap0 except select path, oid, mode from snap3) union all select path, oid, mode, 'come' from (select path, oid, mode from snap3 except select path, oid, mode from snap0)")

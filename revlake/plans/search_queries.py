@@ -40,13 +40,14 @@ def e18(spark, sf):
     "with g as (select distinct doc_id as blob_key, b[i:i+5] as h from (select doc_id, hex(encode(content)) as b, strlen(content) as n from files where size >= 3) x, lateral (select unnest(range(1, 2 * n - 4, 2)) as i)) select ('0x' || h)::int as trigram, count(*) as blobs, min(blob_key) as first_blob from g group by 1",
 )
 def a5(spark, sf):
-    return X.postings(blobs(spark, sf)).groupBy("trigram").agg(F.count("*").alias("blobs"), F.min("blob_key").alias("first_blob"))
+    return X.postings(blobs(spark, sf)).groupBy("trigram").agg(F.sum(F.bitmap_count("bits")).alias("blobs"), F.min(X.first_key()).alias("first_blob"))
 
 
 @query("k7_merge_postings", "select doc_id as blob_key, count(distinct b[i:i+5]) as n from (select doc_id, hex(encode(content)) as b, strlen(content) as n from files where size >= 3) x, lateral (select unnest(range(1, 2 * n - 4, 2)) as i) group by 1")
 def k7(spark, sf):
     b = blobs(spark, sf)
-    return X.merge_postings(X.postings(b.where("blob_key % 3 <> 0")), X.postings(b.where("blob_key % 3 <> 1"))).groupBy("blob_key").agg(F.count("*").alias("n"))
+    merged = X.merge_postings(X.postings(b.where("blob_key % 3 <> 0")), X.postings(b.where("blob_key % 3 <> 1")))
+    return X.posting_rows(merged).groupBy("blob_key").agg(F.count("*").alias("n"))
 
 
 @query("x3_candidates", "select doc_id as blob_key from files where contains(content, 'tio') and contains(content, 'ion') and contains(content, 'ont') union select doc_id from files where contains(content, 'eau') and contains(content, 'aux')")
@@ -63,7 +64,8 @@ def x3_folded(spark, sf):
 
 @query("x4_posting", "select doc_id as blob_key from files where contains(content, 'qui')")
 def x4(spark, sf):
-    return X.postings(blobs(spark, sf)).where(F.col("trigram") == R.pack(b"qui")).select("blob_key")
+    b = blobs(spark, sf)
+    return X.holds(b, X.postings(b).where(F.col("trigram") == R.pack(b"qui")))
 
 
 @query("x5_intern", "with k as (select oid, row_number() over (order by oid) - 1 as blob_key from (select distinct oid from files where doc_id < 300)), n as (select oid, min(doc_id) as pos from files where oid not in (select oid from k) group by 1) select oid, blob_key from k union all select oid, (select max(blob_key) from k) + row_number() over (order by pos, oid) from n")
@@ -191,7 +193,7 @@ def w4(spark, sf):
 @query("a18_index_ratio", "with g as (select doc_id, count(distinct b[i:i+5]) as n from (select doc_id, hex(encode(content)) as b, strlen(content) as n from files where size >= 3) x, lateral (select unnest(range(1, 2 * n - 4, 2)) as i) group by 1) select sum(n)::bigint as postings, (select sum(size)::bigint from files) as bytes from g")
 def a18(spark, sf):
     b = blobs(spark, sf)
-    p = X.postings(b).agg(F.count("*").alias("postings"))
+    p = X.postings(b).agg(F.sum(F.bitmap_count("bits")).alias("postings"))
     return p.crossJoin(b.agg(F.sum("size").alias("bytes")))  # one row each
 
 
