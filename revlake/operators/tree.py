@@ -141,11 +141,16 @@ def apply_delta(old: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(changes.where("action = 'upserted'").select("path", "oid", "mode"))
 
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``path, old_path, status, old_mode, new_mode``: A, M, D, T, and R for an exact rename.
+def diff(old: DataFrame, new: DataFrame, similar: int | None = None) -> DataFrame:
+    """``path, old_path, status, old_mode, new_mode``: A, M, D, T, and R for a rename.
 
-    A rename joins a deletion and an addition of equal content; among several the least paths pair up in order.
+    A rename joins a deletion and an addition of equal content; among several the least paths pair up in order.  With ``similar``
+    (hundredths of the larger file; both sides need ``content``) what is left is joined by similarity, and ``similarity`` is told.
     """
+    if similar is not None:
+        from revlake.operators.renames import with_similar
+
+        return with_similar(diff(old, new), old, new, similar)
     a = old.select("path", F.col("oid").alias("o1"), F.col("mode").alias("m1"))
     b = new.select("path", F.col("oid").alias("o2"), F.col("mode").alias("m2"))
     j = a.join(b, "path", "full_outer").where(~(F.col("o1").eqNullSafe(F.col("o2")) & F.col("m1").eqNullSafe(F.col("m2"))))

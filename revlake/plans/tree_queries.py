@@ -288,18 +288,40 @@ def j6(spark, sf):
     return T.apply_delta(a, T.delta(a, b))
 
 
-@query(
-    "h7_diff",
+_EXACT = (
     "with a as (select path, oid as o1, mode as m1 from snap2), b as (select * from (select replace(path, 'src4/', 'moved4/') as path, oid as o2, mode as m2 from snap3)), j as (select coalesce(a.path, b.path) as path, o1, m1, o2, m2 from a full outer join b on a.path = b.path where o1 is distinct from o2 or m1 is distinct from m2), "
     "g as (select *, row_number() over (partition by o1 order by path) as k from j where o2 is null), c as (select *, row_number() over (partition by o2 order by path) as k from j where o1 is null) "
     "select path, null as old_path, 'M' as status, m1 as old_mode, m2 as new_mode from j where o1 is not null and o2 is not null "
-    "union all select coalesce(c.path, g.path), case when c.path is not null then g.path end, case when c.path is null then 'D' when g.path is null then 'A' else 'R' end, g.m1, c.m2 from g full outer join c on g.o1 = c.o2 and g.k = c.k",
+    "union all select coalesce(c.path, g.path), case when c.path is not null then g.path end, case when c.path is null then 'D' when g.path is null then 'A' else 'R' end, g.m1, c.m2 from g full outer join c on g.o1 = c.o2 and g.k = c.k"
 )
+
+
+@query("h7_diff", _EXACT)
 def h7(spark, sf):
     new = V.snapshot(spark, sf, 3).withColumn("path", F.replace("path", F.lit("src4/"), F.lit("moved4/")))
     return T.diff(V.snapshot(spark, sf, 2), new)
 
 
+_CHUNKS = "select path, chunk, sum(strlen(chunk)) as bytes from (select path, unnest(regexp_extract_all(content, '[^\\n]{{0,63}}\\n|[^\\n]{{1,64}}')) as chunk from {}) group by 1, 2"
+
+
+@query(
+    "h7_similar_renames",
+    f"with recursive exact as ({_EXACT.replace('null as', 'null::varchar as')}), lost as (select e.path, e.old_mode, s.content from exact e join snap2 s using (path) where status = 'D'), "
+    "fresh as (select e.path, e.new_mode, s.content from exact e join (select replace(path, 'src4/', 'moved4/') as path, content from snap3) s using (path) where status = 'A'), "
+    f"g as ({_CHUNKS.format('lost')}), c as ({_CHUNKS.format('fresh')}), gs as (select path, sum(bytes) as n from g group by 1), cs as (select path, sum(bytes) as n from c group by 1), "
+    "shared as (select g.path as f, c.path as t, sum(least(g.bytes, c.bytes)) as k from g join c using (chunk) group by 1, 2), "
+    "pairs as (select f, t, floor(100 * k / greatest(gs.n, cs.n))::int as score, row_number() over (order by floor(100 * k / greatest(gs.n, cs.n)) desc, t, f) as i from shared join gs on gs.path = f join cs on cs.path = t where 100 * k >= 50 * greatest(gs.n, cs.n)), "
+    "walk(i, fs, ts) as (select 0::bigint, []::varchar[], []::varchar[] union all select w.i + 1, case when hit then fs else list_append(fs, f) end, case when hit then ts else list_append(ts, t) end from (select *, list_contains(fs, f) or list_contains(ts, t) as hit from walk join pairs on pairs.i = walk.i + 1) w(i, fs, ts, f, t, score, j, hit)), "
+    "won as (select unnest(fs) as f, unnest(ts) as t from (select fs, ts from walk order by i desc limit 1)) "
+    "select path, old_path, status, old_mode, new_mode, case when status = 'R' then 100 end as similarity from exact where not (status = 'D' and path in (select f from won)) and not (status = 'A' and path in (select t from won)) "
+    "union all select t, f, 'R', lost.old_mode, fresh.new_mode, score from won join pairs using (f, t) join lost on lost.path = f join fresh on fresh.path = t",
+)
+def h7_similar(spark, sf):
+    new = V.snapshot(spark, sf, 3).withColumn("path", F.replace("path", F.lit("src4/"), F.lit("moved4/")))
+    return T.diff(V.snapshot(spark, sf, 2), new, similar=50)
+
+
 @query("a6_reverse_map", "select oid, count(*) as paths, min(path) as first_path from snap1 group by 1")
 def a6(spark, sf):
     return V.manifest(spark, sf, 1).groupBy("oid").agg(F.count("*").alias("paths"), F.min("path").alias("first_path"))
