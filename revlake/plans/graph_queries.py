@@ -11,6 +11,7 @@ from revlake.operators import ancestry as A
 from revlake.operators import catalog as C
 from revlake.operators import history as G
 from revlake.operators import overlay as O
+from revlake.operators import renderings as N
 from revlake.operators import textdiff as D
 from revlake.operators.staging import checksum, kept
 from revlake.plans.registry import query
@@ -524,18 +525,44 @@ _LINES = "case when {c} = '' then 0 else strlen({c}) - strlen(replace({c}, chr(1
 _OPEN = "case when {c} = '' or ends_with({c}, chr(10)) then 0 else 1 end"
 
 
-@query(
-    "a8_diffstat_appended",
+_APPENDED = (
     "select coalesce(a.path, b.path) as path, "
     f"(case when a.path is null then {_LINES.format(c='b.content')} when b.path is null or a.content = b.content then 0 when a.doc_id % 11 = 1 then 2 else {_OPEN.format(c='b.content')} end)::bigint as additions, "
     f"(case when b.path is null then {_LINES.format(c='a.content')} when a.path is null or a.content = b.content then 0 when a.doc_id % 11 = 1 then {_OPEN.format(c='a.content')} else 2 end)::bigint as deletions, "
     'contains(substring(coalesce(a.content, \'\'), 1, 8000) || substring(coalesce(b.content, \'\'), 1, 8000), chr(0)) as "binary" '
-    "from snap2 a full outer join snap1 b on a.path = b.path where a.oid is distinct from b.oid or a.mode is distinct from b.mode",
+    "from snap2 a full outer join snap1 b on a.path = b.path where a.oid is distinct from b.oid or a.mode is distinct from b.mode"
 )
+
+
+@query("a8_diffstat_appended", _APPENDED)
 def a8_appended(spark, sf):
     return D.stats(D.pairs(V.snapshot(spark, sf, 2), V.snapshot(spark, sf, 1)))
 
 
+_TOTALS = f"with s as ({_APPENDED}), f as (select max(length(path)) as wide, max(additions + deletions) as most, length(max(additions + deletions)::varchar) as digits from s), "
+
+
+@query(
+    "h8_stat",
+    _TOTALS + "r as (select path, additions, deletions, additions + deletions as n, wide, digits, most, greatest(80 - wide - digits - 5, 7) as room from s, f), b as (select *, case when most <= room then n else (n * room + most // 2) // most end as bar from r) "
+    "select path, ' ' || rpad(path, wide::int, ' ') || ' | ' || lpad(n::varchar, digits::int, ' ') || case when n > 0 then ' ' || repeat('+', bar * additions // n) || repeat('-', bar - bar * additions // n) else '' end as line from b order by path",
+)
+def h8_stat(spark, sf):
+    return N.stat(_counted(spark, sf))
+
+
+@query("h8_summary", _TOTALS + "t as (select count(*) as c, sum(additions)::bigint as a, sum(deletions)::bigint as d from s) select ' ' || c || ' file' || case when c = 1 then '' else 's' end || ' changed, ' || a || ' insertion' || case when a = 1 then '' else 's' end || '(+), ' || d || ' deletion' || case when d = 1 then '' else 's' end || '(-)' as line from t")
+def h8_summary(spark, sf):
+    return N.summary(_counted(spark, sf))
+
+
+def _counted(spark, sf):
+    both = D.pairs(V.snapshot(spark, sf, 2), V.snapshot(spark, sf, 1))
+    status = F.when(F.col("old_mode").isNull(), "A").when(F.col("new_mode").isNull(), "D").otherwise("M")
+    sides = both.select("path", F.lit(None).cast("string").alias("old_path"), status.alias("status"), F.octet_length("old_content").alias("old_size"), F.octet_length("new_content").alias("new_size"))
+    return sides.join(D.stats(both), "path")
+
+
 @query("h8_patches")
 def h8(spark, sf):
     both = D.pairs(V.snapshot(spark, sf, 0), V.snapshot(spark, sf, 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revlake.functions import content as K
 from revlake.functions import globs as G
 from revlake.functions import paths as P
+from revlake.operators import renderings as N
 from revlake.operators import catalog as C
 from revlake.operators import rules as R
 from revlake.operators import tree as T
@@ -302,6 +303,19 @@ def h7(spark, sf):
     return T.diff(V.snapshot(spark, sf, 2), new)
 
 
+_STAR = "case when {m} & 64 <> 0 then '*' else {o} end"
+
+
+@query("h8_name_status", f"select path, case when coalesce(old_path <> path, false) or coalesce(old_mode <> new_mode, false) then status || chr(9) || coalesce(old_path, path) || {_STAR.format(m='old_mode', o=repr(' '))} || ' ' || path || {_STAR.format(m='new_mode', o=repr(' '))} else status || chr(9) || path || {_STAR.format(m='old_mode', o=repr(''))} end as line from ({_EXACT}) order by path")
+def h8_name_status(spark, sf):
+    return N.name_status(h7(spark, sf))
+
+
+@query("h8_name_only", f"select path, path as line from ({_EXACT}) order by path")
+def h8_name_only(spark, sf):
+    return N.name_only(h7(spark, sf))
+
+
 _CHUNKS = "select path, chunk, sum(strlen(chunk)) as bytes from (select path, unnest(regexp_extract_all(content, '[^\\n]{{0,63}}\\n|[^\\n]{{1,64}}')) as chunk from {}) group by 1, 2"
 
 
