@@ -6,78 +6,40 @@ be said.  It only has to be sound: a weaker answer costs candidates, never match
 
 from __future__ import annotations
 
-import re
-from re import _constants as C
-from re import _parser
-
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlake.functions import regex as X
 from revlake.functions.paths import col
+from revlake.functions.regex import InvalidPattern  # noqa: F401  (raised here)
 
 #: Fixed limits of the analysis.
 SHORTEST, MOST = 3, 32
-#: Java flags that give a pattern line-based, Unicode-aware meaning: UNIX_LINES and UNICODE_CHARACTER_CLASS.
-FLAGS = "(?dU)"
 
 
-class InvalidPattern(ValueError):
-    """The pattern is outside the supported syntax."""
+def tree(pattern: str, literal: bool = False, fold: bool = False) -> tuple:
+    return ("cat", tuple(("lit", c, fold) for c in pattern)) if literal else X.parse(pattern, fold)
 
 
-def check(pattern: str) -> None:
-    """Refuse what linear-time engines do not offer: look-around, back-references, possessive and nested repetition."""
-    found = re.search(r"\(\?(?:[=!]|<[=!]|P=|>|\()|(?<!\\)(?:\\\\)*\\[1-9]|[*+?}][+]|(?<!\\)(?:\\\\)*[*+]\*", re.sub(r"\[\^?\]?[^\]]*\]", "", pattern))
-    if found:
-        raise InvalidPattern(f"not supported: {found.group()}")
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        raise InvalidPattern(str(e)) from e
+def java_regex(pattern: str, literal: bool = False, fold: bool = False) -> str:
+    """The one pattern that decides what matches; properties that the engine does not know are refused."""
+    text = X.java(tree(pattern, literal, fold))
+    context = SparkContext._active_spark_context
+    if context is not None and not literal:
+        from py4j.protocol import Py4JJavaError
 
+        try:
+            context._jvm.java.util.regex.Pattern.compile(text)
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            raise InvalidPattern(f"{pattern!r}: {str(e).splitlines()[0]}") from None
+    return text
 
-def java_regex(pattern: str, literal: bool = False, fold: bool = False) -> str:
-    if literal:
-        pattern = re.sub(r"([^\w\s]|_)", lambda m: m[0] if m[0] == "_" or ord(m[0]) > 127 else "\\" + m[0], pattern)
-    else:
-        check(pattern)
-    return FLAGS + ("(?iu)" if fold else "") + pattern
-
-
-def _sequence(parsed) -> list[str] | None:
-    """The best of what its parts require: neighbouring literals joined, the part with the longest shortest choice."""
-    best: list[str] | None = None
-    run = ""
-
-    def offer(found: list[str] | None) -> None:
-        nonlocal best
-        if found and min(map(len, found)) and (best is None or min(map(len, found)) > min(map(len, best))):
-            best = found
-
-    for op, arg in parsed:
-        if op is C.LITERAL:
-            run += chr(arg)
-            continue
-        offer([run] if run else None)
-        run = ""
-        offer(_part(op, arg))
-    offer([run] if run else None)
-    return best
-
-
-def _part(op, arg) -> list[str] | None:
-    if op is C.SUBPATTERN:
-        group, add, remove, inner = arg
-        return None if add & re.IGNORECASE else _sequence(inner)
-    if op is C.ATOMIC_GROUP:
-        return _sequence(arg)
-    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
-        low, _, inner = arg
-        return _sequence(inner) if low >= 1 else None
-    if op is C.BRANCH:
-        every = [_sequence(x) for x in arg[1]]
-        return None if any(x is None for x in every) else [y for x in every for y in x]
-    return None
+
+def check(pattern: str) -> None:
+    """Refuse what linear-time engines do not offer and what nothing understands."""
+    java_regex(pattern)
 
 
 def required_literals(pattern: str, literal: bool = False, fold: bool = False) -> list[str] | None:
@@ -85,12 +47,9 @@ def required_literals(pattern: str, literal: bool = False, fold: bool = False) -
         found: list[str] | None = [pattern]
     else:
         try:
-            parsed = _parser.parse(pattern)
-        except (re.error, OverflowError):
-            return None
-        if parsed.state.flags & re.IGNORECASE:
+            found = X.literals(X.parse(pattern))
+        except InvalidPattern:
             return None
-        found = _sequence(parsed)
     if not found or len(found) > MOST or any(len(x.encode()) < SHORTEST for x in found):
         return None
     # a folded "k" or "s" also matches one letter outside ASCII, which no ASCII trigram finds

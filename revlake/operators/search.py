@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlake.functions import content as K
 from revlake.functions import globs as G
 from revlake.functions import paths as P
 from revlake.functions import patterns as R
+from revlake.functions import regex as B
 from revlake.operators import index as X
 from revlake.operators.staging import cut
 
@@ -70,43 +71,71 @@ def line_rows(blobs: DataFrame) -> DataFrame:
     return blobs.select("blob_key", F.posexplode(K.lines("content")).alias("p", "text")).select("blob_key", (F.col("p") + 1).cast("long").alias("line"), "text")
 
 
+def _is_text() -> Column:
+    return F.coalesce(F.is_valid_utf8("content"), F.lit(True)) & ~F.coalesce(F.rlike("content", F.lit(r"[\x{10FF80}-\x{10FFFF}]")), F.lit(False))
+
+
+def as_text(contents: DataFrame) -> DataFrame:
+    """``blob_key, content`` as text that can be searched: what is no UTF-8 has stand-ins for its stray bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([B.to_text(c) for c in batch.column(1).to_pylist()], pa.string())], names=["blob_key", "content"])
+
+    rows = contents.select(F.col("blob_key").cast("long").alias("blob_key"), F.col("content").cast("string").alias("content"))
+    stray = rows.where(~_is_text()).select("blob_key", F.col("content").cast("binary")).mapInArrow(run, "blob_key long, content string")
+    return rows.where(_is_text()).unionByName(stray)
+
+
 def occurrences(lines: DataFrame, query: Query) -> DataFrame:
     """A row per occurrence: ``blob_key, line, column, matched, line_text, line_truncated``.
 
-    ``rlike`` in generated code drops lines without a match; only the rest reach the Arrow matcher that finds byte
-    positions.  Empty matches that touch the match before them are dropped.
+    One engine decides: Spark's regular expressions mark the matches of each line that has some, and the helper behind only
+    turns the marks into byte positions.  Empty matches that touch the match before them are dropped.  Of lines with stray
+    bytes (``as_text``) positions and texts are those of the bytes.
     """
     rx = R.java_regex(query.pattern, query.literal, query.fold)
-    pattern = re.escape(query.pattern) if query.literal else query.pattern
-    flags = re.IGNORECASE if query.fold else 0
+    # the marks are drawn anew for each search, so no text holds them
+    mark = uuid.uuid4().hex
+    open_, close = f"\ufdd0{mark}\ufdd1", f"\ufdd2{mark}\ufdd3"
     limit = query.line_bytes
 
     def run(batches):
         import pyarrow as pa
 
-        find = re.compile(pattern, flags).finditer
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("blob_key", "line", "column", "matched", "line_text", "line_truncated")}
-            for key, line, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size = len(text.encode())
-                end = -1
-                for m in find(text):
-                    if m.start() == m.end() == end:
-                        continue
-                    end = m.end()
-                    row = (key, line, len(text[: m.start()].encode()) + 1, _cut(m[0], limit), _cut(text, limit).removesuffix("\r"), size > limit)
-                    for k, v in zip(out, row, strict=True):
-                        out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+            for key, line, marked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head, *rest = marked.split(open_)
+                parts = [x.split(close) for x in rest]
+                whole = B.to_bytes(head + "".join(m + between for m, between in parts))
+                shown = _cut(whole, limit).removesuffix(b"\r")
+                at, end = len(B.to_bytes(head)), -1
+                for m, between in parts:
+                    own = B.to_bytes(m)
+                    if own or at != end:
+                        for k, v in zip(out, (key, line, at + 1, _cut(own, limit), shown, len(whole) > limit), strict=True):
+                            out[k].append(v)
+                    end = at + len(own)
+                    at = end + len(B.to_bytes(between))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    hit = lines.where(F.col("text").rlike(rx)).select(F.col("blob_key").cast("long"), "line", "text")
-    return hit.mapInArrow(run, "blob_key long, line long, column long, matched string, line_text string, line_truncated boolean")
+    hit = lines.where(F.col("text").rlike(rx)).select(F.col("blob_key").cast("long"), "line", F.regexp_replace("text", F.lit(rx), F.lit(f"{open_}$0{close}")).alias("marked"))
+    found = hit.mapInArrow(run, "blob_key long, line long, column long, matched binary, line_text binary, line_truncated boolean")
+    return found.withColumns({c: F.col(c).cast("string") for c in ("matched", "line_text")})
 
 
-def _cut(text: str, limit: int) -> str:
-    b = text.encode()
-    return text if len(b) <= limit else b[:limit].decode(errors="ignore")
+def _cut(b: bytes, limit: int) -> bytes:
+    """At most ``limit`` bytes, never inside a character."""
+    if len(b) <= limit:
+        return b
+    at = limit
+    while at > max(0, limit - 3) and b[at] & 0xC0 == 0x80:
+        at -= 1
+    return b[: at if b[at] & 0xC0 != 0x80 else limit]
 
 
 def with_context(hits: DataFrame, lines: DataFrame, before: int, after: int, line_bytes: int = LINE_BYTES) -> DataFrame:
@@ -125,6 +154,21 @@ def with_context(hits: DataFrame, lines: DataFrame, before: int, after: int, lin
     return hits.join(around, ["blob_key", "line"])
 
 
+def _raw_context(hits: DataFrame, line_bytes: int) -> DataFrame:
+    """Hits whose context lines hold the bytes that stand-ins stand for; of one page."""
+    rest = [c for c in hits.columns if c not in ("before", "after")]
+    schema = hits.select(*rest, F.col("before").cast("array<binary>"), F.col("after").cast("array<binary>")).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sides = [pa.array([[_cut(B.to_bytes(x), line_bytes) for x in xs] for xs in batch.column(len(rest) + k).to_pylist()], pa.list_(pa.binary())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *sides], names=[*rest, "before", "after"])
+
+    return hits.select(*rest, "before", "after").mapInArrow(run, schema).withColumns({c: F.col(c).cast("array<string>") for c in ("before", "after")})
+
+
 def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, query: Query, contents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(matches, completion)`` of a search over one manifest.
 
@@ -137,22 +181,24 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
     """
     query = query.clamped()
     # used for members, paths and coverage; what it is made from (classes of all blobs) is computed once
-    judged = cut(verdicts(manifest, blobs, query).select("path", "blob_key", "size", "reason"))
-    eligible = judged.where("reason is null").select("path", "blob_key", "size")
+    judged = cut(verdicts(manifest, blobs, query).select("path", "blob_key", "size", "content_class", "reason"))
+    eligible = judged.where("reason is null").select("path", "blob_key", "size", "content_class")
     literals = R.required_literals(query.pattern, query.literal, query.fold)
-    members = eligible.groupBy("blob_key").agg(F.min("path").alias("first_path"), F.max("size").alias("size"))
+    members = eligible.groupBy("blob_key").agg(F.min("path").alias("first_path"), F.max("size").alias("size"), F.max("content_class").alias("content_class"))
     chosen = X.candidates(postings, literals, members, query.fold) if postings is not None else members.select("blob_key")
     chosen = cut(members.join(chosen, "blob_key", "left_semi"))
-    totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("content_class") == "INVALID_UTF8").alias("stray")).first()
     stop = None
     if totals["n"] > query.candidates or totals["bytes"] > query.read_bytes:
         running = Window.orderBy("first_path", "blob_key").rowsBetween(Window.unboundedPreceding, -1)
         # the budgets bound what passes: a top-k first, then the running sum over at most that many rows
         head = chosen.orderBy("first_path", "blob_key").limit(query.candidates)
         stop = "candidate_budget" if totals["n"] > query.candidates else "bytes_budget"
-        chosen = head.withColumn("read", F.coalesce(F.sum("size").over(running), F.lit(0))).where(F.col("read") <= query.read_bytes).select("blob_key", "first_path", "size")
-        totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+        chosen = head.withColumn("read", F.coalesce(F.sum("size").over(running), F.lit(0))).where(F.col("read") <= query.read_bytes).select("blob_key", "first_path", "size", "content_class")
+        totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("content_class") == "INVALID_UTF8").alias("stray")).first()
     content = (blobs if contents is None else contents).join(chosen.select("blob_key"), "blob_key", "left_semi")
+    if totals["stray"]:
+        content = as_text(content)
     found = occurrences(line_rows(content), query).join(eligible.select("path", "blob_key"), "blob_key")
     if query.after:
         path, line, column = query.after
@@ -164,7 +210,10 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
     matches = page.orderBy(*order).limit(query.results)
     if max(query.context) > 0:
         lines = line_rows(content.join(matches.select("blob_key").distinct(), "blob_key", "left_semi"))
-        matches = with_context(matches, lines, *query.context, query.line_bytes).orderBy(*order)
+        if totals["stray"]:
+            matches = _raw_context(with_context(matches, lines, *query.context, 1 << 30), query.line_bytes).orderBy(*order)
+        else:
+            matches = with_context(matches, lines, *query.context, query.line_bytes).orderBy(*order)
     else:
         matches = with_context(matches, matches, 0, 0)
     matches = matches.select(*order, "matched", "line_text", "before", "after", "line_truncated")
@@ -233,7 +282,7 @@ def search_local(files: DataFrame, query: Query, rules: list[tuple[str, str, boo
     skip = ~F.coalesce("tracked", F.lit(False)) & ignored("path", list(rules))
     judged = known.withColumn("verdict", F.when(skip, "ignored").otherwise(F.coalesce(query.policy.reason(K.classify("content"), K.classify_path("path"), F.lit(True)), F.lit("eligible"))))
     own = judged.where("verdict = 'eligible'").withColumn("blob_key", F.xxhash64("path"))
-    hits = occurrences(line_rows(own), query).join(own.select("path", "blob_key"), "blob_key")
+    hits = occurrences(line_rows(as_text(own)), query).join(own.select("path", "blob_key"), "blob_key")
     return hits.drop("blob_key"), judged.groupBy("verdict").agg(F.count("*").alias("files"))
 
 

@@ -100,6 +100,22 @@ def f4(spark, sf):
     return S.line_rows(b).where(F.col("text").rlike(R.java_regex("(^|[^a-z])th[aeo]+r?e[a-z]* of"))).select("blob_key", "line")
 
 
+@query("f4_class_lines", "select blob_key, line from lines where regexp_matches(text, '(^|[^\\p{L}])([B-DF-HJ-NP-TV-Z][A-Za-z]*(ion|eau)|\\p{Lu}{2,})([^\\p{L}]|$)')")
+def f4_classes(spark, sf):
+    b = V.files(spark, sf).select(F.col("doc_id").alias("blob_key"), "content")
+    rx = R.java_regex(r"(^|\P{L})([[:upper:]--[AEIOU]][[:alpha:]]*(?:ion|eau)|\p{Uppercase_Letter}{2,})(\P{L}|$)")
+    return S.line_rows(b).where(F.col("text").rlike(rx)).select("blob_key", "line")
+
+
+@query("x9_stray_bytes", "with h as (select blob_key, line, text, unnest(range(1, len(string_split(text, 'tion')))) as k, string_split(text, 'tion') as p from lines where contains(text, 'tion') and blob_key % 3 <> 1) select blob_key, line, (strlen(array_to_string(p[1:k], 'tion')) + 1 + case when line = 1 and blob_key % 3 = 0 then 1 else 0 end)::bigint as \"column\" from h")
+def x9_stray(spark, sf):
+    """A third of the files begin with a byte that no UTF-8 has, and a third are left out."""
+    f = V.files(spark, sf).where("doc_id % 3 <> 1").withColumn("blob_key", F.col("doc_id"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FF")), F.col("content").cast("binary"))).otherwise(F.col("content").cast("binary"))
+    b = f.select("blob_key", raw.cast("string").alias("content"))
+    return S.occurrences(S.line_rows(S.as_text(b)), S.Query("tion")).select("blob_key", "line", "column")
+
+
 _PAGE = "with h as (select path, line, text, unnest(range(1, len(string_split(text, 'tionth')))) as k, string_split(text, 'tionth') as p from lines where contains(text, 'tionth') and (starts_with(path, 'src1') and not starts_with(path, 'src1/'))) select path, line, (strlen(array_to_string(p[1:k], 'tionth')) + 1)::bigint as \"column\", text as line_text from h order by path, line, \"column\" limit 200"
 
 
