@@ -113,6 +113,18 @@ def place(matches: DataFrame, rows: DataFrame) -> DataFrame:
     return j.where(keep).withColumn("path", F.coalesce("to", "path")).drop("to", "touched", "hidden")
 
 
+def with_base_bytes(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Overlay rows with ``base_bytes``: a renamed file that still has the content its source has in the base."""
+    source = base.select(F.col("path").alias("renamed_from"), F.col("oid").alias("source_oid"))
+    return rows.join(source, "renamed_from", "left").withColumn("base_bytes", F.coalesce(F.col("oid") == F.col("source_oid"), F.lit(False))).select(*rows.columns, "base_bytes")
+
+
+def own_files(rows: DataFrame) -> DataFrame:
+    """``path`` of the files whose bytes only the overlay has (of rows with ``base_bytes``) and that the merged tree shows."""
+    files = rows.where("present and kind = 'file' and not base_bytes")
+    return resolve(files, rows).where("resolution = 'overlay'").select("path")
+
+
 def worktree(index: DataFrame, changes: DataFrame, deleted_dirs: DataFrame) -> DataFrame:
     """``path`` of the files a user sees: the index without what is deleted or moved away, with what is new."""
     gone = changes.where("kind = 'Deleted'").select("path").union(changes.where("kind = 'Renamed'").select("from"))

@@ -199,10 +199,7 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
     content = (blobs if contents is None else contents).join(chosen.select("blob_key"), "blob_key", "left_semi")
     if totals["stray"]:
         content = as_text(content)
-    found = occurrences(line_rows(content), query).join(eligible.select("path", "blob_key"), "blob_key")
-    if query.after:
-        path, line, column = query.after
-        found = found.where((F.col("path") > path) | ((F.col("path") == path) & ((F.col("line") > line) | ((F.col("line") == line) & (F.col("column") > column)))))
+    found = _after(occurrences(line_rows(content), query).join(eligible.select("path", "blob_key"), "blob_key"), query)
     order = ["path", "line", "column"]
     # written once, so neither the page nor its scan runs again
     page = cut(found.select("blob_key", *order, "matched", "line_text", "line_truncated").orderBy(*order).limit(query.results + 1))
@@ -232,6 +229,14 @@ def search(manifest: DataFrame, blobs: DataFrame, postings: DataFrame | None, qu
     return matches, done
 
 
+def _after(found: DataFrame, query: Query) -> DataFrame:
+    """Matches strictly behind the position that a page is resumed from."""
+    if not query.after:
+        return found
+    path, line, column = query.after
+    return found.where((F.col("path") > path) | ((F.col("path") == path) & ((F.col("line") > line) | ((F.col("line") == line) & (F.col("column") > column)))))
+
+
 def within_display(hits: DataFrame, budget: int = DISPLAY_BYTES) -> DataFrame:
     """Hits in order until the shown bytes pass the budget; the hit that passes it is still shown."""
     own = F.octet_length("line_text") + F.octet_length("matched") + F.aggregate(F.concat("before", "after"), F.lit(0), lambda s, x: s + F.octet_length(x))
@@ -286,6 +291,94 @@ def search_local(files: DataFrame, query: Query, rules: list[tuple[str, str, boo
     return hits.drop("blob_key"), judged.groupBy("verdict").agg(F.count("*").alias("files"))
 
 
+@dataclass(frozen=True)
+class LocalBudget:
+    """What a search of files without an index may read and return."""
+
+    read_bytes: int = 256 << 20
+    results: int = RESULTS
+
+
+def local_page(files: DataFrame, query: Query, rules: list[tuple[str, str, bool]] = (), tracked: DataFrame | None = None, budget: LocalBudget = LocalBudget()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """``(matches, outcome)`` of a bounded search over files (``path, content, size``) that no index covers.
+
+    Files are read in order of their paths until the bytes read pass ``read_bytes``; an oversized one is not read.  Matches are the
+    page, at most ``results``.  ``outcome`` is one row: ``eligible_paths, excluded, bytes_read, truncated``.
+    """
+    from revlake.operators.rules import ignored
+    from revlake.operators.staging import with_sum_before
+
+    query = query.clamped()
+    asked = files.where(P.within_scope("path", query.scope) & G.selected("path", query.include, query.exclude))
+    known = asked.join(tracked.select("path", F.lit(True).alias("tracked")).distinct(), "path", "left") if tracked is not None else asked.withColumn("tracked", F.lit(False))
+    kept = known.where(~(~F.coalesce("tracked", F.lit(False)) & ignored("path", list(rules)))).select("path", "content", "size")
+    kind = K.classify("content")
+    read = F.when(kind == "OVERSIZED", F.lit(0)).otherwise(F.col("size")).cast("long")
+    facts = kept.select("path", "size", kind.alias("content_class"), K.classify_path("path").alias("path_class"), read.alias("read"))
+    facts = cut(with_sum_before(facts, ["path"], "read", "before").withColumn("within", F.col("before") <= budget.read_bytes))
+    judged = facts.where("within").withColumn("reason", query.policy.reason("content_class", F.col("path_class"), F.lit(True)))
+    own = kept.join(judged.where("reason is null").select("path"), "path", "left_semi").withColumn("blob_key", F.xxhash64("path"))
+    lines = line_rows(as_text(own))
+    found = _after(occurrences(lines, query).join(own.select("path", "blob_key"), "blob_key"), query)
+    order = ["path", "line", "column"]
+    most = min(query.results, budget.results)
+    page = cut(found.select("blob_key", *order, "matched", "line_text", "line_truncated").orderBy(*order).limit(most + 1))
+    over = page.count() > most
+    matches = page.orderBy(*order).limit(most)
+    if max(query.context) > 0:
+        shown = line_rows(as_text(own.join(matches.select("blob_key").distinct(), "blob_key", "left_semi")))
+        matches = _raw_context(with_context(matches, shown, *query.context, 1 << 30), query.line_bytes)
+    else:
+        matches = with_context(matches, matches, 0, 0)
+    totals = facts.agg(F.coalesce(F.sum(F.when(F.col("within"), F.col("read"))), F.lit(0)).alias("bytes_read"), F.coalesce(F.bool_or(~F.col("within")), F.lit(False)).alias("unread"))
+    outcome = coverage(judged).crossJoin(totals)  # one row each
+    return matches.select(*order, "matched", "line_text", "before", "after", "line_truncated"), outcome.select("eligible_paths", "excluded", "bytes_read", (F.col("unread") | F.lit(over)).alias("truncated"))
+
+
+def merged_answer(
+    manifest: DataFrame,
+    blobs: DataFrame,
+    postings: DataFrame | None,
+    rows: DataFrame,
+    files: DataFrame,
+    query: Query,
+    contents: DataFrame | None = None,
+    rules: list[tuple[str, str, bool]] = (),
+    tracked: DataFrame | None = None,
+    budget: LocalBudget = LocalBudget(),  # noqa: B008
+) -> tuple[DataFrame, DataFrame]:
+    """``(matches, completion)`` of one search over a base and the overlay on it (``rows`` with ``base_bytes``).
+
+    The base half searches the manifest as the merged tree has it, so renamed files go by their new names in scope, order and
+    coverage, and what the overlay replaces or hides is neither searched nor counted.  The local half reads the overlay's
+    own files (of ``files``: ``path, content, size``) within ``budget``.  Both are one page in one order, each match with its
+    ``source``; the completion row adds the halves up, and is truncated if either is or if the page leaves matches out.
+    """
+    from revlake.operators.overlay import own_files, place
+
+    query = query.clamped()
+    base, done = search(place(manifest, rows), blobs, postings, query, contents)
+    local, outcome = local_page(files.join(own_files(rows), "path", "left_semi"), query, rules, tracked, budget)
+    order = ["path", "line", "column"]
+    both = cut(base.withColumn("source", F.lit("base")).unionByName(local.withColumn("source", F.lit("local"))))
+    over = both.count() > query.results
+    page = both.orderBy(*order).limit(query.results)
+    l = lambda c: F.col(f"l_{c}")  # noqa: E731, E741
+    halves = done.crossJoin(outcome.select(*[F.col(c).alias(f"l_{c}") for c in outcome.columns]))  # one row each
+    reason = F.coalesce("truncation", F.when(l("truncated") | F.lit(over), "result_limit"))
+    completion = halves.select(
+        F.when(reason.isNotNull(), "TRUNCATED").otherwise("COMPLETE").alias("execution_status"),
+        reason.alias("truncation"),
+        "scope",
+        (F.col("eligible_paths") + l("eligible_paths")).cast("long").alias("eligible_paths"),
+        F.map_zip_with("excluded", l("excluded"), lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))).alias("excluded"),
+        "declared_exclusions",
+        "candidates_considered",
+        (F.col("bytes_read") + l("bytes_read")).cast("long").alias("bytes_read"),
+    )
+    return page, completion
+
+
 def merged_search(base: DataFrame, local: DataFrame, rows: DataFrame) -> DataFrame:
     """Base matches where the overlay leaves them, and local ones, each with its ``source``; exact, not over-fetched."""
     from revlake.operators.overlay import place

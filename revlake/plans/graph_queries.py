@@ -267,7 +267,7 @@ def j8(spark, sf):
 )
 def j9(spark, sf):
     m = V.snapshot(spark, sf, 3).where(F.col("content").contains("tion")).select("path", "doc_id")
-    return O.place(m, V.overlay(spark, sf).withColumn("base_bytes", F.col("renamed_from").isNotNull()))
+    return O.place(m, O.with_base_bytes(V.overlay(spark, sf), V.snapshot(spark, sf, 3)))
 
 
 @query(
@@ -352,9 +352,10 @@ def w7(spark, sf):
     return C.ref_versions(V.ref_observations(spark, sf).withColumnRenamed("ref_name", "repository_id")).select("seq", "ref_version")
 
 
-@query("j19_refs_as_of", "select ref_name, oid from (select ref_name, arg_max(coalesce(new_oid, ''), seq) as oid from obs where seq <= 4000 group by 1) where oid <> ''")
+@query("j19_refs_as_of", "select ref_name, oid from (select ref_name, arg_max(coalesce(new_oid, ''), seq) as oid from obs where seq <= (select max(seq) // 2 from obs) group by 1) where oid <> ''")
 def j19(spark, sf):
-    return C.refs_as_of(V.ref_observations(spark, sf), 4000)
+    o = V.ref_observations(spark, sf)
+    return C.refs_as_of(o, (o.agg(F.max("seq")).first()[0] or 0) // 2)
 
 
 @query("k8_upsert", "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1")

@@ -58,19 +58,41 @@ def x10(spark, sf):
     return hits.select("path", "line", F.lit(True).alias("found")).distinct()
 
 
-@query(
-    "x11_merged_search",
-    "with b as (select path, line, unnest(range(1, len(string_split(text, 'tiont')))) as k, string_split(text, 'tiont') as p from (select path, unnest(l) as text, unnest(range(1, len(l) + 1)) as line from (select path, case when ends_with(content, chr(10)) then string_split(content, chr(10))[:-2] else string_split(content, chr(10)) end as l from snap3 where content <> '')) where contains(text, 'tiont')) "
-    "select path, line, (strlen(array_to_string(p[1:k], 'tiont')) + 1)::bigint as \"column\", 'tiont' as matched, 'base' as source from b where not exists (select 1 from ov o where o.path = b.path) and not exists (select 1 from ov o where (not o.present or o.kind <> 'directory' or o.opaque) and starts_with(b.path, o.path || '/')) "
-    "union all select 'new/doc-' || blob_key || '.txt', line, (strlen(array_to_string(p[1:k], 'tiont')) + 1)::bigint, 'tiont', 'local' from (select blob_key, line, unnest(range(1, len(string_split(text, 'tiont')))) as k, string_split(text, 'tiont') as p from lines where blob_key % 29 = 0 and contains(text, 'tiont'))",
-)
+_SEEN_HITS = "h as (select path, line, text, source, unnest(range(1, len(string_split(text, 'tiont')))) as k, string_split(text, 'tiont') as p from seen_lines where contains(text, 'tiont'))"
+
+
+@query("x11_merged_search", f"with {_SEEN_HITS} select path, line, (strlen(array_to_string(p[1:k], 'tiont')) + 1)::bigint as \"column\", 'tiont' as matched, source from h")
 def x11(spark, sf):
     s = V.snapshot(spark, sf, 3)
     lines = S.line_rows(s.withColumnRenamed("path", "p").withColumn("blob_key", F.col("doc_id")))
     hits = S.occurrences(lines, S.Query("tiont")).join(s.select("path", F.col("doc_id").alias("blob_key")), "blob_key")
-    rows = V.overlay(spark, sf)
-    new = V.overlay_content(spark, sf).join(rows.where("present and path like 'new/%'").select("path"), "path", "left_semi")
-    return S.merged_search(hits, S.search_local(new, S.Query("tiont"))[0], rows.withColumn("base_bytes", F.lit(False)))
+    rows = O.with_base_bytes(V.overlay(spark, sf), s)
+    new = V.overlay_content(spark, sf).join(O.own_files(rows), "path", "left_semi")
+    return S.merged_search(hits, S.search_local(new, S.Query("tiont"))[0], rows)
+
+
+def _answer(spark, sf, query):
+    s = V.snapshot(spark, sf, 3).withColumn("blob_key", F.col("doc_id"))
+    rows = O.with_base_bytes(V.overlay(spark, sf), s)
+    files = V.overlay_content(spark, sf).withColumn("size", F.octet_length("content").cast("long"))
+    b = X.registry(s.select("blob_key", "oid", "size", "content"))
+    return S.merged_answer(s.select("path", "blob_key"), b, X.postings(b), rows, files, query)
+
+
+@query("x11_merged_page", f"with {_SEEN_HITS}, c as (select path, line, (strlen(array_to_string(p[1:k], 'tiont')) + 1)::bigint as \"column\", source, text as line_text from h) select * from c where path > 'moved/doc-2' order by path, line, \"column\" limit 150")
+def x11_page(spark, sf):
+    page, _ = _answer(spark, sf, S.Query("tiont", results=150, after=("moved/doc-2", 1 << 60, 0)))
+    return page.select("path", "line", "column", "source", "line_text")
+
+
+@query(
+    "x11_merged_completion",
+    "with b as (select * from seen where source = 'base' and contains(content, 'tio') and contains(content, 'ion') and contains(content, 'ont')) "
+    "select 'COMPLETE' as execution_status, null::varchar as truncation, (select count(*) from seen where strlen(content) <= 8388608) as eligible_paths, (select count(*) from b) as candidates_considered, (select coalesce(sum(strlen(content)), 0) from b)::bigint + (select coalesce(sum(strlen(content)), 0) from seen where source = 'local')::bigint as bytes_read",
+)
+def x11_completion(spark, sf):
+    _, done = _answer(spark, sf, S.Query("tiont", results=S.MOST_RESULTS))
+    return done.select("execution_status", "truncation", "eligible_paths", "candidates_considered", "bytes_read")
 
 
 @query("x13_incremental", "select path, oid, mode from snap2")
@@ -105,7 +127,12 @@ def x18(spark, sf):
 
 @query("a2_completion_stats", "select count(*) as candidates, sum(size)::bigint as bytes from (select distinct oid, size from files where contains(content, 'eau'))")
 def a2(spark, sf):
-    return V.files(spark, sf).where(F.col("content").contains("eau")).dropDuplicates(["oid"]).agg(F.count("*").alias("candidates"), F.sum("size").alias("bytes"))
+    """Of the completion row; files of equal content are one blob."""
+    f = V.files(spark, sf)
+    keys = f.groupBy("oid").agg(F.min("doc_id").alias("blob_key"))
+    b = X.registry(f.join(keys, "oid").where("doc_id = blob_key").select("blob_key", "oid", "size", "content"))
+    _, done = S.search(f.join(keys, "oid").select("path", "blob_key"), b, X.postings(b), S.Query("eau"))
+    return done.select(F.col("candidates_considered").alias("candidates"), F.col("bytes_read").alias("bytes"))
 
 
 @query("a7_registry_totals", "select count(*) as blobs, sum(strlen(oid))::bigint as key_bytes, coalesce(max(doc_id), -1) + 1 as next_key from files")

@@ -54,10 +54,10 @@ CTES = {
         "select case when k = 3 then 'moved/doc-' || doc_id || '.txt' else path end as path, k <> 1 as present, 'file' as kind, false as opaque, "
         "case when k = 1 then null when k = 2 then " + _OID.format(c="(content || chr(10) || 'local')") + " else oid end as oid, case when k = 1 then null when k = 4 then 33261 + 33188 - mode else mode end as mode, "
         "case when k = 1 then null when k = 2 then size + 6 else size end as size, case when k = 3 then path end as renamed_from, case when k <> 3 then oid end as base_oid, case when k <> 3 then mode end as base_mode "
-        "from (select *, doc_id % 13 as k from snap3) where k in (1, 2, 3, 4) "
-        "union all select path, false, 'file', false, null, null, null, null, null, null from snap3 where doc_id % 13 = 3 "
+        "from (select *, doc_id % 13 as k from snap3 where not starts_with(path, 'src5/de/')) where k in (1, 2, 3, 4) "
+        "union all select path, false, 'file', false, null, null, null, null, null, null from snap3 where doc_id % 13 = 3 and not starts_with(path, 'src5/de/') "
         "union all select 'new/doc-' || doc_id || '.txt', true, 'file', false, " + _OID.format(c="coalesce(text, '')") + ", 33188, strlen(coalesce(text, '')), null, null, null from documents where doc_id % 29 = 0 "
-        "union all select 'src7/en', true, 'directory', true, null, null, null, null, null, null union all select 'src3/fr', false, 'directory', false, null, null, null, null, null, null",
+        "union all select 'src7/en', true, 'directory', true, null, null, null, null, null, null union all select 'src3/fr', false, 'directory', false, null, null, null, null, null, null union all select 'src5/de', false, 'directory', false, null, null, null, null, null, null",
     ),
     "gone": (("ov",), "select renamed_from as path from ov where present and renamed_from is not null and (exists (select 1 from ov o where o.path = ov.renamed_from and not o.present) or exists (select 1 from ov o where (not o.present or o.kind <> 'directory' or o.opaque) and starts_with(ov.renamed_from, o.path || '/')))"),
     "changes": (
@@ -65,6 +65,15 @@ CTES = {
         "select path, 'Deleted' as kind, null as \"from\", base_mode as old_mode, null::int as new_mode, base_oid as old_oid, null as new_oid, 0::bigint as new_size from ov where not present and base_oid is not null and path not in (select path from gone) "
         "union all select path, kind2, case when kind2 = 'Renamed' then renamed_from end, base_mode, mode, base_oid, oid, size from (select *, case when renamed_from in (select path from gone) then 'Renamed' when base_oid is null then 'Added' when base_oid <> oid then 'Modified' when base_mode <> mode then 'ModeChanged' end as kind2 from ov where present and kind <> 'directory') where kind2 is not null",
     ),
+    # the files that a user of the overlay sees, with their contents and where the bytes are
+    "seen": (
+        ("snap3", "ov"),
+        "select coalesce(r.path, s.path) as path, s.doc_id, s.content, 'base' as source from snap3 s left join (select * from ov where present and renamed_from is not null) r on r.renamed_from = s.path "
+        "where r.path is not null or (not exists (select 1 from ov o where o.path = s.path) and not exists (select 1 from ov o where (not o.present or o.opaque or o.kind <> 'directory') and starts_with(s.path, o.path || '/'))) "
+        "union all select o.path, null, coalesce(s.content || case when s.doc_id % 13 = 2 then chr(10) || 'local' else '' end, d.text, ''), 'local' from ov o left join snap3 s on s.path = o.path left join documents d on 'new/doc-' || d.doc_id || '.txt' = o.path "
+        "where o.present and o.kind = 'file' and o.renamed_from is null and not exists (select 1 from ov b where (not b.present or b.kind <> 'directory') and starts_with(o.path, b.path || '/'))",
+    ),
+    "seen_lines": (("seen",), "select path, source, unnest(l) as text, unnest(range(1, len(l) + 1)) as line from (select path, source, case when content = '' then []::varchar[] when ends_with(content, chr(10)) then string_split(content, chr(10))[:-2] else string_split(content, chr(10)) end as l from seen)"),
     "obs": ((), "select event_id as seq, 'refs/heads/u-' || user_id as ref_name, case when event_type <> 'error' then event_type end as new_oid from events"),
     "lines": (("files",), "select doc_id as blob_key, path, unnest(l) as text, unnest(range(1, len(l) + 1)) as line from (select doc_id, path, case when content = '' then []::varchar[] when ends_with(content, chr(10)) then string_split(content, chr(10))[:-2] else string_split(content, chr(10)) end as l from files)"),
 }

@@ -68,17 +68,19 @@ def x4(spark, sf):
     return X.holds(b, X.postings(b).where(F.col("trigram") == R.pack(b"qui")))
 
 
-@query("x5_intern", "with k as (select oid, row_number() over (order by oid) - 1 as blob_key from (select distinct oid from files where doc_id < 300)), n as (select oid, min(doc_id) as pos from files where oid not in (select oid from k) group by 1) select oid, blob_key from k union all select oid, (select max(blob_key) from k) + row_number() over (order by pos, oid) from n")
+@query("x5_intern", "with k as (select oid, row_number() over (order by oid) - 1 as blob_key from (select distinct oid from files where doc_id <= (select max(doc_id) // 2 from files))), n as (select oid, min(doc_id) as pos from files where oid not in (select oid from k) group by 1) select oid, blob_key from k union all select oid, (select max(blob_key) from k) + row_number() over (order by pos, oid) from n")
 def x5(spark, sf):
     f = V.files(spark, sf)
-    known = f.where("doc_id < 300").select("oid").distinct().withColumn("blob_key", (F.row_number().over(Window.orderBy("oid")) - 1).cast("long"))
+    last = f.agg(F.max("doc_id")).first()[0] or 0
+    known = f.where(F.col("doc_id") <= last // 2).select("oid").distinct().withColumn("blob_key", (F.row_number().over(Window.orderBy("oid")) - 1).cast("long"))
     return X.intern(known, f.select("oid", F.col("doc_id").alias("pos")))
 
 
-@query("a3_ingest_report", "select case when oid in (select oid from files where doc_id < 300) then 'already_known' when size > 20000 then 'OVERSIZED' else 'TEXT' end as content_class, count(*) as blobs, sum(case when oid in (select oid from files where doc_id < 300) then 0 else size end)::bigint as bytes from files group by 1")
+@query("a3_ingest_report", "select case when oid in (select oid from files where doc_id <= (select max(doc_id) // 2 from files)) then 'already_known' when size > 20000 then 'OVERSIZED' else 'TEXT' end as content_class, count(*) as blobs, sum(case when oid in (select oid from files where doc_id <= (select max(doc_id) // 2 from files)) then 0 else size end)::bigint as bytes from files group by 1")
 def a3(spark, sf):
     b = blobs(spark, sf, 20_000)
-    return X.ingest_report(b.where("blob_key < 300").select("oid").distinct(), b)
+    last = b.agg(F.max("blob_key")).first()[0] or 0
+    return X.ingest_report(b.where(F.col("blob_key") <= last // 2).select("oid").distinct(), b)
 
 
 @query("a1_coverage", "with v as (select path, case when size > 2000 then 'oversized' end as reason from files where starts_with(path, 'src1/') or starts_with(path, 'src2/')) select count(*) filter (where reason is null) as eligible_paths, count(*) filter (where reason = 'oversized') as oversized from v")
@@ -188,22 +190,21 @@ def u1(spark, sf):
     return S.occurrences(lines, q).select("blob_key").distinct()
 
 
-@query("u3_merged_search", "select path, 'base' as source from snap3 s where contains(content, 'tiont') and not exists (select 1 from ov o where o.path = s.path) and not exists (select 1 from ov o where (not o.present or o.kind <> 'directory' or o.opaque) and starts_with(s.path, o.path || '/')) union all select path, 'local' from ov where present and kind = 'file' and starts_with(path, 'new/') and (select contains(coalesce(text, ''), 'tiont') from documents d where 'new/doc-' || d.doc_id || '.txt' = ov.path)")
+@query("u3_merged_search", "select path, source from seen where contains(content, 'tiont')")
 def u3(spark, sf):
-    rows = V.overlay(spark, sf)
-    s = V.snapshot(spark, sf, 3).where(F.col("content").contains("tiont")).select("path")
-    placed = O.place(s, rows.withColumn("base_bytes", F.lit(False)))
-    new = V.table(spark, sf, "documents").where(F.col("text").contains("tiont")).select(F.concat(F.lit("new/doc-"), "doc_id", F.lit(".txt")).alias("path"))
-    local = rows.where("present and kind = 'file' and path like 'new/%'").join(new, "path", "left_semi").select("path")
+    base = V.snapshot(spark, sf, 3)
+    rows = O.with_base_bytes(V.overlay(spark, sf), base)
+    placed = O.place(base.where(F.col("content").contains("tiont")).select("path"), rows)
+    local = V.overlay_content(spark, sf).where(F.col("content").contains("tiont")).join(O.own_files(rows), "path", "left_semi")
     return placed.select("path", F.lit("base").alias("source")).unionByName(local.select("path", F.lit("local").alias("source")))
 
 
 @query("w4_byte_budget", "with r as (select path, size, sum(size) over (order by path) - size as before, row_number() over (order by path) as place from files where contains(content, 'eau')) select path, size from r where before <= 100000 and place <= 200000")
 def w4(spark, sf):
-    f = V.files(spark, sf).where(F.col("content").contains("eau")).select("path", "size")
-    head = f.orderBy("path").limit(S.MOST_CANDIDATES)
-    w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    return head.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where("before <= 100000").select("path", "size")
+    """The files that the byte budget of a search lets it read; each of them matches."""
+    b = blobs(spark, sf)
+    page, _ = S.search(manifest(spark, sf), b, X.postings(b), S.Query("eau", read_bytes=100_000, results=S.MOST_RESULTS))
+    return V.files(spark, sf).join(page.select("path").distinct(), "path", "left_semi").select("path", "size")
 
 
 @query("a18_index_ratio", "with g as (select doc_id, count(distinct b[i:i+5]) as n from (select doc_id, hex(encode(content)) as b, strlen(content) as n from files where size >= 3) x, lateral (select unnest(range(1, 2 * n - 4, 2)) as i) group by 1) select sum(n)::bigint as postings, (select sum(size)::bigint from files) as bytes from g")

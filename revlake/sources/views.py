@@ -15,6 +15,8 @@ from revlake.functions import paths as P
 REGULAR, EXECUTABLE, SYMLINK, GITLINK, DIRECTORY = 0o100644, 0o100755, 0o120000, 0o160000, 0o40000
 #: The namespace that no listing shows.
 RESERVED = "refs/internal/"
+#: The directory that the overlay deletes as a whole.
+EMPTIED = "src5/de"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,8 +108,11 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``path, present, kind, opaque, oid, mode, size, renamed_from, base_oid, base_mode`` over revision 3."""
-    base = snapshot(spark, sf_dir, 3)
+    """``path, present, kind, opaque, oid, mode, size, renamed_from, base_oid, base_mode`` over revision 3.
+
+    ``EMPTIED`` is a deleted directory without rows below it; of the other deleted one some files were written again.
+    """
+    base = snapshot(spark, sf_dir, 3).where(~F.startswith("path", F.lit(EMPTIED + "/")))
     k = F.col("doc_id") % 13
     edited = F.concat("content", F.lit("\nlocal"))
     rows = base.where(k.isin(1, 2, 3, 4)).select(
@@ -126,14 +131,14 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = sources.select("path", F.lit(False).alias("present"), F.lit("file").alias("kind"), F.lit(False).alias("opaque"), *_none("oid string", "mode int", "size long", "renamed_from string", "base_oid string", "base_mode int"))
     new = table(spark, sf_dir, "documents").where("doc_id % 29 = 0").select(F.concat(F.lit("new/doc-"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
     new = new.select("path", F.lit(True).alias("present"), F.lit("file").alias("kind"), F.lit(False).alias("opaque"), K.blob_oid("content").alias("oid"), F.lit(REGULAR).alias("mode"), F.octet_length("content").cast("long").alias("size"), *_none("renamed_from string", "base_oid string", "base_mode int"))
-    dirs = spark.createDataFrame([("src7/en", True, "directory", True), ("src3/fr", False, "directory", False)], "path string, present boolean, kind string, opaque boolean")
+    dirs = spark.createDataFrame([("src7/en", True, "directory", True), ("src3/fr", False, "directory", False), (EMPTIED, False, "directory", False)], "path string, present boolean, kind string, opaque boolean")
     dirs = dirs.select("*", *_none("oid string", "mode int", "size long", "renamed_from string", "base_oid string", "base_mode int"))
     return rows.unionByName(gone).unionByName(new).unionByName(dirs)
 
 
 def overlay_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content`` of the files that are present in ``overlay``."""
-    base, k = snapshot(spark, sf_dir, 3), F.col("doc_id") % 13
+    base, k = snapshot(spark, sf_dir, 3).where(~F.startswith("path", F.lit(EMPTIED + "/"))), F.col("doc_id") % 13
     held = base.where(k.isin(2, 3, 4)).select(
         F.when(k == 3, F.concat(F.lit("moved/doc-"), F.col("doc_id"), F.lit(".txt"))).otherwise(F.col("path")).alias("path"),
         F.when(k == 2, F.concat("content", F.lit("\nlocal"))).otherwise(F.col("content")).alias("content"),
