@@ -2,7 +2,11 @@
 
 A file is its chunks (lines, those above 64 characters in pieces) with the bytes each takes.  Two files are similar by the bytes
 of the chunks they share, in hundredths of the larger one.  A pair above the threshold shares so much that it must share one of
-the rarest chunks of both, so only those are joined (prefix filtering); nothing is sampled and no pair is missed.
+the rarest chunks of both, so only those are joined (prefix filtering).
+
+A chunk that few files hold brings all of them together.  Files that share a common one (a licence line, a group of copies)
+are dealt into lots of about ``LOT`` a side, and dealt anew in each round without the files that have a partner, until a round finds
+none; so the pairs compared grow with the files, not with the square of a group.  The best pairs of a round come first.
 """
 
 from __future__ import annotations
@@ -23,25 +27,47 @@ def chunks(files: DataFrame) -> DataFrame:
     return rows.groupBy("path", "chunk").agg(F.sum(F.octet_length("chunk")).alias("bytes"))
 
 
-def similar(gone: DataFrame, come: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``from, to, score`` of every two files (``path, content``) that share ``threshold`` hundredths of the larger one.
+#: Files of a side that a chunk brings together in a round, about.
+LOT = 16
+
+
+def _first_chunks(rows: DataFrame, fan: DataFrame, threshold: int, name: str, size: str) -> DataFrame:
+    """Of each file the rarest chunks, until what remains of it is too little for a similar pair."""
+    whole = Window.partitionBy("path")  # the chunks of one file
+    order = whole.orderBy("fan", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.join(fan, "chunk").withColumn("size", F.sum("bytes").over(whole)).withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+    return ranked.where((F.col("size") - F.col("before")) * 100 >= F.col("size") * threshold).where("fan > 0").select(F.col("path").alias(name), "chunk", F.col("size").alias(size))
+
 
-    Chunks are ranked by the pairs they would make; of each file only the first ones in this order are joined, until what
-    remains of it is too little for a similar pair.  Empty files are similar to none.
+def matched(gone: DataFrame, come: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``from, to, score``: one-to-one pairs of files (``path, content``) that share ``threshold`` hundredths of the larger one.
+
+    Empty files are similar to none; a file keeps its partner of the first round that finds it one.
     """
     a, b = cut(chunks(gone)), cut(chunks(come))
     held = a.select("chunk", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select("chunk", F.lit(0), F.lit(1)))
     fan = cut(held.groupBy("chunk").agg((F.sum("x") * F.sum("y")).alias("fan")))
+    p, q = cut(_first_chunks(a, fan, threshold, "from", "m")), cut(_first_chunks(b, fan, threshold, "to", "n"))
+    taken, turn = None, 0
+    while True:
+        new = assigned(_scored(_met(p, q, turn, threshold), a, b, threshold))
+        if new.isEmpty():
+            return new if taken is None else taken
+        taken = new if taken is None else taken.union(new)
+        p, q = cut(p.join(new.select("from"), "from", "left_anti").select("from", "chunk", "m")), cut(q.join(new.select("to"), "to", "left_anti").select("to", "chunk", "n"))
+        turn += 1
+
+
+def _met(p: DataFrame, q: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """``from, to, larger``: files that meet in a lot of one of their chunks and whose sizes allow for a pair."""
+    sides = p.select("chunk", F.lit(1).alias("x"), F.lit(0).alias("y")).union(q.select("chunk", F.lit(0), F.lit(1))).groupBy("chunk").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    lots = cut(sides.where("x > 0 and y > 0").select("chunk", F.ceil(F.greatest("x", "y") / LOT).alias("lots")))
+    deal = lambda rows, name: rows.join(lots, "chunk").withColumn("lot", F.pmod(F.xxhash64(name, F.lit(turn)), F.col("lots")))
+    both = deal(p, "from").drop("lots").join(deal(q, "to").drop("lots"), ["chunk", "lot"])
+    return cut(both.where(F.least("m", "n") * 100 >= F.greatest("m", "n") * threshold).groupBy("from", "to").agg(F.max(F.greatest("m", "n")).alias("larger")))
 
-    def prefix(rows: DataFrame) -> DataFrame:
-        whole = Window.partitionBy("path")  # the chunks of one file
-        order = whole.orderBy("fan", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = rows.join(fan, "chunk").withColumn("size", F.sum("bytes").over(whole)).withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
-        return ranked.where((F.col("size") - F.col("before")) * 100 >= F.col("size") * threshold).where("fan > 0").select("path", "chunk", "size")
 
-    p = prefix(a).select(F.col("path").alias("from"), "chunk", F.col("size").alias("m"))
-    q = prefix(b).select(F.col("path").alias("to"), "chunk", F.col("size").alias("n"))
-    pairs = cut(p.join(q, "chunk").where(F.least("m", "n") * 100 >= F.greatest("m", "n") * threshold).groupBy("from", "to").agg(F.max(F.greatest("m", "n")).alias("larger")))
+def _scored(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
     left = pairs.join(a.select(F.col("path").alias("from"), "chunk", F.col("bytes").alias("u")), "from")
     both = left.join(b.select(F.col("path").alias("to"), "chunk", F.col("bytes").alias("v")), ["to", "chunk"])
     scored = both.groupBy("from", "to", "larger").agg(F.sum(F.least("u", "v")).alias("shared"))
@@ -63,7 +89,7 @@ def assigned(pairs: DataFrame) -> DataFrame:
         new = cut(by_from.join(by_to, ["less", "t", "f"]).select(F.col("f").alias("from"), F.col("t").alias("to"), (-F.col("less")).alias("score")))
         taken = new if taken is None else taken.union(new)
         open_ = cut(open_.join(new.select("from"), "from", "left_anti").join(new.select("to"), "to", "left_anti").select("from", "to", "score"))
-    return pairs.select("from", "to", "score").limit(0) if taken is None else taken
+    return open_ if taken is None else taken
 
 
 def _kind(mode: str) -> Column:
@@ -79,8 +105,7 @@ def with_similar(changes: DataFrame, old: DataFrame, new: DataFrame, threshold:
     exact = cut(changes.withColumn("similarity", F.when(F.col("status") == "R", 100)))
     gone = exact.where((F.col("status") == "D") & regular("old_mode")).select("path", "old_mode")
     come = exact.where((F.col("status") == "A") & regular("new_mode")).select("path", "new_mode")
-    pairs = assigned(similar(old.select("path", "content").join(gone, "path"), new.select("path", "content").join(come, "path"), threshold))
-    pairs = cut(pairs)
+    pairs = cut(matched(old.select("path", "content").join(gone, "path"), new.select("path", "content").join(come, "path"), threshold))
     moved = pairs.join(gone.withColumnRenamed("path", "from"), "from").join(come.withColumnRenamed("path", "to"), "to")
     ends = pairs.select(F.col("from").alias("path"), F.lit("D").alias("status")).union(pairs.select("to", F.lit("A")))
     rest = exact.join(ends, ["path", "status"], "left_anti").select(exact.columns)

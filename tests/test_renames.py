@@ -56,13 +56,36 @@ def versions(rng):
 
 
 @pytest.mark.parametrize(("seed", "threshold"), [(1, 50), (2, 50), (3, 20), (4, 90)])
-def test_pairs_and_assignment_against_every_pair(spark, seed, threshold):
+def test_pairs_and_assignment_against_every_pair(spark, monkeypatch, seed, threshold):
     gone, come = versions(random.Random(seed))
     a, b = (spark.createDataFrame(list(x.items()), "path string, content string").repartition(3) for x in (gone, come))
-    pairs = N.similar(a, b, threshold)
+    # no chunk has more holders than a lot, so all pairs of the first round are all similar pairs
+    monkeypatch.setattr(N, "LOT", 1000)
     want = scores(gone, come, threshold)
-    assert {(r["from"], r["to"]): r["score"] for r in pairs.collect()} == want and want
-    assert {(r["from"], r["to"]): r["score"] for r in N.assigned(pairs).collect()} == greedy(want)
+    assert {(r["from"], r["to"]): r["score"] for r in N.matched(a, b, threshold).collect()} == greedy(want) and want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_common_chunks_are_dealt_into_lots(spark, monkeypatch, seed):
+    """Of any lots the pairs are one-to-one and similar, and files with one possible partner have it."""
+    gone, come = versions(random.Random(seed))
+    a, b = (spark.createDataFrame(list(x.items()), "path string, content string").repartition(3) for x in (gone, come))
+    monkeypatch.setattr(N, "LOT", 2)
+    want = scores(gone, come, 50)
+    got = {(r["from"], r["to"]): r["score"] for r in N.matched(a, b).collect()}
+    assert all(want[k] == v for k, v in got.items()) and len({f for f, _ in got}) == len({t for _, t in got}) == len(got) >= 0.9 * len(greedy(want))
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"line {k} of a text that everyone has" for k in range(30)]
+    copy = lambda: "\n".join(x if rng.random() > 0.05 else f"own {rng.random()}" for x in base)
+    a, b = (spark.createDataFrame([(f"{side}{k}", copy()) for k in range(300)], "path string, content string") for side in "ab")
+    met = []
+    real = N._met
+    monkeypatch.setattr(N, "_met", lambda *x: met.append(real(*x)) or met[-1])
+    assert N.matched(a, b).count() >= 295
+    assert sum(m.count() for m in met) < 40_000 and len(met) < 8
 
 
 def test_only_what_is_left_of_exact_renames_is_compared(spark):
@@ -77,4 +100,4 @@ def test_only_what_is_left_of_exact_renames_is_compared(spark):
 
 def test_no_files(spark):
     none = spark.createDataFrame([], "path string, content string")
-    assert N.assigned(N.similar(none, none)).count() == 0
+    assert N.matched(none, none).count() == 0
