@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlake.operators.staging import cut, few
+from revlake.operators.staging import FEW, cut, few
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,42 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 
 def _chains(runs: DataFrame) -> DataFrame:
-    """``run, chain, before``: the heavy path of each run of ``run, n, under`` and the commits of it that come before."""
+    """``run, chain, before``: the heavy path of each run of ``run, n, under`` and the commits of it that come before.
+
+    Runs that are counted to be few are decomposed in one task, others by doubling; the chains are the same.
+    """
+    return _few_chains(runs) if runs.limit(FEW + 1).count() <= FEW else _many_chains(runs)
+
+
+def _few_chains(runs: DataFrame) -> DataFrame:
+    def decompose(batches):
+        import pyarrow as pa
+
+        table = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        n = {run: k for run, k, _ in table}
+        under = {run: u for run, _, u in table}
+        above: dict[str, list[str]] = {}
+        for run, u in under.items():
+            if u is not None:
+                above.setdefault(u, []).append(run)
+        order = [run for run, u in under.items() if u is None]
+        for run in order:  # grows as it is read
+            order += above.get(run, [])
+        size = dict(n)
+        for run in reversed(order):
+            if under[run] is not None:
+                size[under[run]] += size[run]
+        chain, before = {}, {}
+        for run in order:
+            u = under[run]
+            heavy = u is not None and run == max(above[u], key=lambda r: (size[r], r))
+            chain[run], before[run] = (chain[u], before[u] + n[u]) if heavy else (run, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(order, pa.string()), pa.array([chain[r] for r in order], pa.string()), pa.array([before[r] for r in order], pa.int64())], names=["run", "chain", "before"])
+
+    return cut(runs.select("run", "n", "under").coalesce(1).mapInArrow(decompose, "run string, chain string, before long"))
+
+
+def _many_chains(runs: DataFrame) -> DataFrame:
     size = runs.select("run", F.col("n").alias("size"))
     up = cut(runs.where("under is not null").select("run", F.col("under").alias("to")))
     while not up.isEmpty():  # runs at a distance of 1, 2, 4, ... below

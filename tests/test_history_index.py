@@ -36,8 +36,9 @@ def history(seed, n):
     return parents
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_index_equals_walks(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "few"), [(1, 0), (2, 1 << 17)])
+def test_index_equals_walks(spark, tmp_path, monkeypatch, seed, few):
+    monkeypatch.setattr(A, "FEW", few)
     parents = history(seed, 300)
     rng = random.Random(seed)
     times = {c: rng.randrange(60) for c in parents}  # skewed clocks and ties
@@ -85,6 +86,13 @@ def test_first_parents_cross_few_chains(spark):
     assert len({r["chain"] for r in index.spans.where("commit like 's%'").collect()}) == 1
 
 
+def test_chains_are_the_same_either_way(spark):
+    rng = random.Random(9)
+    rows = [(f"r{i:03}", rng.randrange(1, 9), f"r{rng.randrange(i):03}" if i and rng.random() > 0.1 else None) for i in range(120)]
+    runs = spark.createDataFrame(rows, "run string, n long, under string")
+    assert sorted(map(tuple, A._few_chains(runs).collect())) == sorted(map(tuple, A._many_chains(runs).select("run", "chain", "before").collect()))
+
+
 def test_history_of_nothing(spark):
     commits, edges = spark.createDataFrame([], "commit string, committer_secs long"), spark.createDataFrame([], "commit string, parent string, pos int")
     page, more = L.log(spark.createDataFrame([("x",)], "commit string"), commits, edges)
