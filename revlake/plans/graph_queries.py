@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,17 @@ from revlake.functions import paths as P
 from revlake.operators import ancestry as A
 from revlake.operators import catalog as C
 from revlake.operators import history as G
+from revlake.operators import objects as J
 from revlake.operators import overlay as O
 from revlake.operators import renderings as N
 from revlake.operators import textdiff as D
 from revlake.operators.staging import checksum, kept
-from revlake.plans.registry import query
+from revlake.plans.registry import SQL, query
 from revlake.sources import views as V
 from revlake.streaming import detectors as S
 from revlake.streaming import events as E
+from revlake.streaming import leases as W
+from revlake.streaming import outbox as Y
 
 
 @query("s8_visible_refs", "select ref_name, target from refs where not starts_with(ref_name, 'refs/internal/') order by ref_name")
@@ -370,6 +375,23 @@ def k8_first(spark, sf):
     return C.upsert(e.where("event_id < 5000"), e.where("event_id >= 5000"), ["user_id"], "event_id", first_wins=True)
 
 
+_ZONE = "case when tz < 0 then '-' else '+' end || lpad((abs(tz) // 60)::varchar, 2, '0') || lpad((abs(tz) % 60)::varchar, 2, '0')"
+
+
+@query(
+    "k2_commit_ids",
+    "with p as (select c.\"commit\", string_agg('parent ' || sha1(e.parent) || chr(10), '' order by e.pos) as above from commits c join edges e on e.\"commit\" = c.\"commit\" group by 1), "
+    f"b as (select \"commit\", 'tree ' || sha1('tree ' || \"commit\") || chr(10) || coalesce(above, '') || 'author ' || role || ' <' || role || '@example.org> ' || secs || ' ' || {_ZONE} || chr(10) || 'committer ' || role || ' <' || role || '@example.org> ' || secs || ' ' || {_ZONE} || chr(10) || chr(10) || message as body from commits left join p using (\"commit\")) "
+    "select \"commit\", 'sha1:' || sha1('commit ' || strlen(body) || chr(0) || body) as oid from b",
+)
+def k2_ids(spark, sf):
+    """What creating each commit anew on its parents (of the table's ids) gives."""
+    c = V.commits(spark, sf)
+    who = {f"{r}_{k}": F.col(f"{r}_{k}") for r in ("author", "committer") for k in ("name", "email", "secs", "tz")}
+    above = F.transform("parents", lambda p: F.concat(F.lit("sha1:"), F.sha1(p.cast("binary"))))
+    return c.select("commit", J.commit_oid("tree", above, who, "message").alias("oid"))
+
+
 @query("k2_compare_and_swap", "select ref_name, case when conv_id % 3 = 0 then 'CONFLICT' else 'updated' end as outcome from refs")
 def k2(spark, sf):
     r = V.refs(spark, sf)
@@ -404,6 +426,60 @@ def t3_renewals(spark, sf):
     return E.renewals(_leases(spark, sf), C.TTL)
 
 
+@query(
+    "t3_lease_changes",
+    f"with recursive l as ({_LEASE}), e as (select *, row_number() over (partition by mount_id order by \"at\", seq) as n from l), "
+    "s(mount_id, n, state, born, expires, ended) as (select distinct mount_id, 0::bigint, '', 0::bigint, 0::bigint, 0::bigint from e "
+    "union all select mount_id, n, case when op = 'create' and now = '' then 'ACTIVE' when op = 'release' and now = 'ACTIVE' then 'RELEASED' else now end, case when op = 'create' and now = '' then \"at\" else born end, "
+    "case when op = 'create' and now = '' then \"at\" + 1800 when op = 'renew' and now = 'ACTIVE' and \"at\" - born <= 86400 then greatest(expires, \"at\" + 1800) else expires end, case when now = 'EXPIRED' and was = 'ACTIVE' then expires + 900 when op = 'release' and now = 'ACTIVE' then \"at\" else ended end "
+    "from (select e.mount_id, e.n, e.op, e.\"at\", s.state as was, s.born, s.expires, s.ended, case when s.state = 'ACTIVE' and e.\"at\" > s.expires + 900 then 'EXPIRED' else s.state end as now from s join e on e.mount_id = s.mount_id and e.n = s.n + 1)), "
+    "z as (select *, (select max(\"at\") from l) as until from (select *, row_number() over (partition by mount_id order by n desc) as k from s) where k = 1), "
+    "f as (select mount_id, born, until, case when state = 'ACTIVE' and until > expires + 900 then 'EXPIRED' else state end as state, case when state = 'ACTIVE' then expires + 900 else ended end as ended from z) "
+    "select mount_id, born as \"at\", 'ACTIVE' as change from f where state <> '' union all select mount_id, ended, state from f where state in ('EXPIRED', 'RELEASED') union all select mount_id, ended + 86400, 'PRUNABLE' from f where state in ('EXPIRED', 'RELEASED') and until >= ended + 86400",
+)
+def t3_changes(spark, sf):
+    e = _leases(spark, sf)
+    return W.changes(e, e.agg(F.max("at")).first()[0] or 0)
+
+
+_SOON = "(select * from ({}) where \"at\" <= (select min(floor(epoch(ts)))::bigint + 100000 from events))".format(_LEASE)
+
+
+@query(
+    "a11_lease_sweep",
+    "with c as (" + SQL["t3_lease_changes"].replace(f"l as ({_LEASE})", f"l as {_SOON}") + "), r as (select *, row_number() over (partition by mount_id order by \"at\" desc, change = 'PRUNABLE' desc) as k from c) select change as outcome, count(*) as leases, min(mount_id) as first_lease from r where k = 1 group by 1",
+)
+def a11_sweep(spark, sf):
+    """A sweep little more than a day after the first event."""
+    e = _leases(spark, sf)
+    soon = (e.agg(F.min("at")).first()[0] or 0) + 100_000
+    past = e.where(F.col("at") <= soon)
+    return W.sweep_report(W.changes(past, past.agg(F.max("at")).first()[0] or 0))
+
+
+@query("t2_outbox_drain", "with p as (select seq as event_id, ref_name, row_number() over (order by seq) - 1 as k from obs where new_oid is not null), n as (select ceil(count(*) / 3.0)::bigint as most from p), b as (select event_id, ref_name, k // most as batch from p, n) select event_id, ref_name, max(event_id) over (partition by batch) as number from b")
+def t2_drain(spark, sf):
+    """All pending events in three batches; the second one is killed after it was handed over, and comes again."""
+    events = V.ref_observations(spark, sf).where("new_oid is not null").select(F.col("seq").alias("event_id"), "ref_name")
+    most = -(-events.count() // 3)
+    if not most:
+        return events.withColumn("number", F.lit(None).cast("long"))
+    folder = kept(spark, "outbox", uuid.uuid4().hex, lambda _: None)
+    box, put = Y.Outbox(spark, f"{folder}/box"), Y.table_sink(f"{folder}/sink")
+
+    def dies(batch, number):
+        put(batch, number)
+        raise InterruptedError
+
+    box.hand_over(events, put, most)
+    try:
+        box.hand_over(events, dies, most)
+    except InterruptedError:
+        box = Y.Outbox(spark, f"{folder}/box")
+    box.drain(events, put, most)
+    return spark.read.parquet(f"{folder}/sink").select("event_id", "ref_name", F.col("batch").cast("long").alias("number"))
+
+
 @query("t4_lease_health", "select event_id, case when value > 80 then 'Critical' when event_id % 4 >= 2 or value > 50 then 'Warning' else 'Healthy' end as health from (select event_id, floor(value)::bigint as value from events)")
 def t4(spark, sf):
     e = V.table(spark, sf, "events").select("event_id", F.floor("value").alias("v"))

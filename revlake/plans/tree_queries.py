@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revlake.functions import content as K
 from revlake.functions import globs as G
 from revlake.functions import paths as P
+from revlake.operators import objects as J
 from revlake.operators import renderings as N
 from revlake.operators import catalog as C
 from revlake.operators import rules as R
@@ -374,6 +375,31 @@ def w15(spark, sf):
     return T.front_coded(V.files(spark, sf))
 
 
+def _tree(entries: str, name: str) -> str:
+    """SQL of the trees of ``dir, key, line`` rows, lines in hexadecimal digits."""
+    return f"{name} as (select dir, 'sha1:' || sha1(unhex(hex(encode('tree ' || (length(body) // 2))) || '00' || body)) as oid from (select dir, string_agg(line, '' order by key) as body from ({entries}) group by dir))"
+
+
+_UP = "select {dir} as dir, {name} || '/' as key, hex(encode('40000 ' || {name})) || '00' || upper(oid[6:]) as line from {of}"
+
+
+@query(
+    "k1_tree_ids",
+    "with p as (select string_split(path, '/') as x, oid, case when mode = 33261 then '100755 ' else '100644 ' end as m from snap1), "
+    + _tree("select x[1] || '/' || x[2] as dir, x[3] as key, hex(encode(m || x[3])) || '00' || upper(oid[6:]) as line from p", "leaves") + ", "
+    + _tree(_UP.format(dir="split_part(dir, '/', 1)", name="split_part(dir, '/', 2)", of="leaves"), "tops") + ", "
+    + _tree(_UP.format(dir="''", name="dir", of="tops"), "root")
+    + " select dir as path, oid from leaves union all select dir, oid from tops union all select dir, oid from root",
+)
+def k1_ids(spark, sf):
+    return J.trees(V.snapshot(spark, sf, 1))
+
+
+@query("j5_changed_directories", "with c as (select coalesce(a.path, b.path) as path from snap0 a full outer join snap1 b on a.path = b.path where a.oid is distinct from b.oid or a.mode is distinct from b.mode) select '' as path from c union select split_part(path, '/', 1) from c union select split_part(path, '/', 1) || '/' || split_part(path, '/', 2) from c")
+def j5_dirs(spark, sf):
+    return J.changed_directories(J.trees(V.snapshot(spark, sf, 0)), J.trees(V.snapshot(spark, sf, 1)))
+
+
 @query(
     "k1_write_tree",
     "with del as (select path from snap1 where doc_id % 5 = 1), up as (select path, oid, mode from snap2 where doc_id % 5 = 2) "
