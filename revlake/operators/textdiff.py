@@ -184,32 +184,10 @@ def capped(rows: DataFrame, limit: int = PATCH_BYTES) -> tuple[DataFrame, bool]:
 
 
 def blame(versions: DataFrame) -> DataFrame:
-    """``path, start, lines, version, orig_start``: for each run of lines of a file's last version, where they come from.
+    """``path, start, lines, version, orig_start`` of each file's last version; see :mod:`revlake.operators.blame`."""
+    from revlake.operators.blame import blame as run
 
-    ``versions`` is ``path, version, content`` with versions in order along first parents.  A file's versions meet in one
-    task (bounded by the file's history); lines keep their origin through each edit script.
-    """
-
-    def run(key, table):
-        import pyarrow as pa
-
-        rows = sorted(zip(table.column("version").to_pylist(), table.column("content").to_pylist(), strict=True))
-        lines: list[str] = []
-        origin: list[tuple[int, int]] = []
-        for version, content in rows:
-            new = split_lines(content or "")[0]
-            origin = [origin[i] if op == " " else (version, j) for op, i, j in edit_script(lines, new) if op != "-"]
-            lines = new
-        out = []
-        for k, (version, at) in enumerate(origin):
-            if out and out[-1][2] == version and out[-1][3] + out[-1][1] == at + 1:
-                out[-1][1] += 1
-            else:
-                out.append([k + 1, 1, version, at + 1])
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table({"path": pa.array([key[0].as_py()] * len(out), pa.string()), **{n: pa.array(c, pa.int64()) for n, c in zip(("start", "lines", "version", "orig_start"), cols, strict=True)}})
-
-    return versions.select("path", F.col("version").cast("long").alias("version"), "content").groupBy("path").applyInArrow(run, "path string, start long, lines long, version long, orig_start long")
+    return run(versions)
 
 
 def blame_lines(hunks: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
