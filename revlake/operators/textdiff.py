@@ -43,47 +43,76 @@ def edit_script(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
     while tail < min(len(old), len(new)) - head and old[len(old) - 1 - tail] == new[len(new) - 1 - tail]:
         tail += 1
     a, b = old[head : len(old) - tail], new[head : len(new) - tail]
-    middle = [(op, i + head, j + head) for op, i, j in _greedy(a, b)]
-    ends = [(" ", len(old) - tail + k, len(new) - tail + k) for k in range(tail)]
-    return [(" ", k, k) for k in range(head)] + middle + ends
+    # lines that only one side has are in no common subsequence
+    both = set(a) & set(b)
+    at_a, at_b = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
+    out = [(" ", k, k) for k in range(head)]
+    i = j = 0
+    for x, y in [*((at_a[p], at_b[q]) for p, q in _matches([a[k] for k in at_a], [b[k] for k in at_b])), (len(a), len(b))]:
+        out += [("-", k + head, j + head) for k in range(i, x)] + [("+", x + head, k + head) for k in range(j, y)]
+        if x < len(a) or y < len(b):
+            out.append((" ", x + head, y + head))
+        i, j = x + 1, y + 1
+    return out + [(" ", len(old) - tail + k, len(new) - tail + k) for k in range(tail)]
 
 
-def _greedy(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+#: Edits of a search that keeps all its steps, at least 1; one with more is split at its middle, which needs two rows only.
+MOST_EDITS = 1024
+
+
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The pairs of a longest common subsequence: the greedy search by edits, split at its middle where it takes many."""
     n, m = len(a), len(b)
-    far = {1: 0}
-    trail = []
-    for d in range(n + m + 1):
-        trail.append(dict(far))
-        for k in range(-d, d + 1, 2):
-            x = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
+    if not n or not m:
+        return []
+    far, trail = {1: 0}, []
+    for d in range(min(n + m, MOST_EDITS) + 1):
+        for k in range(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2):
+            x = far[k + 1] if k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1)) else far[k - 1] + 1
             while x < n and x - k < m and a[x] == b[x - k]:
                 x += 1
             far[k] = x
             if x >= n and x - k >= m:
-                break
-        else:
-            continue
-        break
+                return _traced(n, m, [*trail, far], d)
+        trail.append({k: far[k] for k in range(-d, d + 1, 2) if k in far})
+    x, y, u, v = _middle(a, b)
+    return _matches(a[:x], b[:y]) + [(x + k, y + k) for k in range(u - x)] + [(u + p, v + q) for p, q in _matches(a[u:], b[v:])]
+
+
+def _traced(n: int, m: int, trail: list[dict[int, int]], edits: int) -> list[tuple[int, int]]:
+    """The matches on the way back through what each number of edits reached."""
     out = []
     x, y = n, m
-    for d in range(len(trail) - 1, -1, -1):
-        far, k = trail[d], x - y
-        before = k + 1 if k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1)) else k - 1
-        px = far.get(before, 0)
-        py = px - before
-        while x > px and y > py and x > 0 and y > 0:
-            x, y = x - 1, y - 1
-            out.append((" ", x, y))
-        if d:
-            if x == px:
-                y -= 1
-                out.append(("+", x, y))
-            else:
-                x -= 1
-                out.append(("-", x, y))
+    for d in range(edits, 0, -1):
+        was, k = trail[d - 1], x - y
+        before = k + 1 if k == -d or (k != d and was.get(k - 1, -1) < was.get(k + 1, -1)) else k - 1
+        px = was[before]
+        start = px if before == k + 1 else px + 1
+        out += [(i, i - k) for i in range(x - 1, start - 1, -1)]
+        x, y = px, px - before
+    out += [(i, i) for i in range(x - 1, -1, -1)]
     return out[::-1]
 
 
+def _middle(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
+    """The run of matches ``(from a, from b, to a, to b)`` in the middle of a shortest edit, searched from both ends."""
+    n, m = len(a), len(b)
+    delta = n - m
+    ahead, behind = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for far, other, back in ((ahead, behind, False), (behind, ahead, True)):
+            for k in range(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2):
+                x = start = far[k + 1] if k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1)) else far[k - 1] + 1
+                while x < n and x - k < m and (a[n - 1 - x] == b[m - 1 - x + k] if back else a[x] == b[x - k]):
+                    x += 1
+                far[k] = x
+                # the ends meet after an odd number of edits on the way ahead, after an even one on the way back
+                reach = d if back else d - 1
+                if (delta % 2 == 1) != back and abs(delta - k) <= reach and (delta - k) in other and x + other[delta - k] >= n:
+                    return (n - x, m - (x - k), n - start, m - (start - k)) if back else (start, start - k, x, x - k)
+    raise AssertionError("the ends always meet")
+
+
 def unified(old: str, new: str, context: int = CONTEXT) -> str:
     """Hunks of a unified diff, without the header of the files."""
     a, b = _ended_lines(old), _ended_lines(new)

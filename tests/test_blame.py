@@ -74,3 +74,31 @@ def test_composition_is_associative():
             texts.append(edited(rng, texts[-1]))
         a, b, c = (B.mapping(texts[k], texts[k + 1], k) for k in range(3))
         assert B.composed(B.composed(a, b), c) == B.composed(a, B.composed(b, c))
+
+
+def test_searches_split_at_their_middle(monkeypatch):
+    """However few steps are kept, scripts stay shortest and apply."""
+    rng = random.Random(7)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for most in (1024, 1, 2, 5):
+        monkeypatch.setattr(D, "MOST_EDITS", most)
+        for _ in range(300):
+            a, b = ([rng.choice("abcdx"[: rng.choice((2, 5))]) for _ in range(rng.randrange(14))] for _ in range(2))
+            script = D.edit_script(a, b)
+            assert sum(op == " " for op, _, _ in script) == longest(a, b)
+            i = j = 0
+            for op, x, y in script:
+                assert (x, y) == (i, j) and (op != " " or a[x] == b[y])
+                i, j = i + (op != "+"), j + (op != "-")
+            assert (i, j) == (len(a), len(b))
+    a = [str(k) for k in range(20_000)]
+    assert len(D.edit_script(a, [f"x{k}" for k in a])) == 40_000  # nothing in common is found at once
