@@ -170,20 +170,17 @@ def quota(rows: DataFrame, limit: int) -> DataFrame:
     return rows.agg(used.cast("long").alias("used")).withColumn("allowed", F.col("used") <= limit)
 
 
-def fold_operations(log: DataFrame, base: DataFrame) -> DataFrame:
-    """An operation log of one path each (``path, seq, op, content`` and, for ``chmod``, ``mode``) to overlay rows.
+def folded(log: DataFrame, base: DataFrame, key: list[str]) -> DataFrame:
+    """``key..., now, was``: what the operations of each key make of what it was; both are ``struct<content, mode>`` or null.
 
-    ``create`` and ``write`` set a file's content, ``append`` adds to it, ``truncate`` empties it; each makes the file where there
-    is none.  ``symlink`` (its target is the content) and ``mkdir`` need an absent path, ``chmod`` a file, and no content goes
-    to a directory or link; what a path does not allow changes nothing.  ``remove`` whites out a base path and forgets any
-    other.  Per path the log folds as an ordered array inside Spark; renames come as a removal and a creation.
-    ``base`` is ``path, content`` and, where it has them, modes.
+    ``log`` is ``key..., seq, op, content`` and, for ``chmod``, ``mode``; ``base`` is ``key..., content`` and, where it has them, modes.
+    Every key of the log has a row.
     """
     mode = F.col("mode") if "mode" in log.columns else F.lit(None)
     base_mode = F.col("mode") if "mode" in base.columns else F.lit(REGULAR)
-    steps = F.sort_array(F.collect_list(F.struct("seq", "op", "content", mode.cast("int").alias("mode"))))  # one path's operations
-    was = base.select("path", F.struct(F.col("content").cast("string").alias("content"), base_mode.cast("int").alias("mode")).alias("was"))
-    folded = log.groupBy("path").agg(steps.alias("s")).join(was, "path", "left")
+    steps = F.sort_array(F.collect_list(F.struct("seq", "op", "content", mode.cast("int").alias("mode"))))  # one file's operations
+    was = base.select(*key, F.struct(F.col("content").cast("string").alias("content"), base_mode.cast("int").alias("mode")).alias("was"))
+    rows = log.groupBy(*key).agg(steps.alias("s")).join(was, key, "left")
     held = lambda content, mode: F.struct(content.alias("content"), mode.cast("int").alias("mode"))
     text = lambda c: F.coalesce(c, F.lit(""))
 
@@ -202,6 +199,23 @@ def fold_operations(log: DataFrame, base: DataFrame) -> DataFrame:
             .when(x.op != "remove", acc)
         )
 
-    out = folded.select("path", F.aggregate("s", F.col("was"), step).alias("now"), "was").where("now is not null or was is not null")
-    kind = F.when(F.col("now.mode") == DIRECTORY, "directory").when(F.col("now.mode") == SYMLINK, "symlink").when(F.col("now").isNotNull(), "file")
-    return out.select("path", F.col("now").isNotNull().alias("present"), kind.alias("kind"), F.col("now.mode").alias("mode"), F.col("now.content").alias("content"), F.coalesce(F.col("now") == F.col("was"), F.lit(False)).alias("unchanged"))
+    return rows.select(*key, F.aggregate("s", F.col("was"), step).alias("now"), "was")
+
+
+def kind_of(state: str):
+    """``directory``, ``symlink``, ``file``, or null of a state that ``folded`` gives."""
+    mode = F.col(f"{state}.mode")
+    return F.when(mode == DIRECTORY, "directory").when(mode == SYMLINK, "symlink").when(F.col(state).isNotNull(), "file")
+
+
+def fold_operations(log: DataFrame, base: DataFrame) -> DataFrame:
+    """An operation log of one path each (``path, seq, op, content`` and, for ``chmod``, ``mode``) to overlay rows.
+
+    ``create`` and ``write`` set a file's content, ``append`` adds to it, ``truncate`` empties it; each makes the file where there
+    is none.  ``symlink`` (its target is the content) and ``mkdir`` need an absent path, ``chmod`` a file, and no content goes
+    to a directory or link; what a path does not allow changes nothing.  ``remove`` whites out a base path and forgets any
+    other.  Per path the log folds as an ordered array inside Spark; logs with renames are those of :mod:`revlake.operators.oplog`.
+    ``base`` is ``path, content`` and, where it has them, modes.
+    """
+    out = folded(log, base, ["path"]).where("now is not null or was is not null")
+    return out.select("path", F.col("now").isNotNull().alias("present"), kind_of("now").alias("kind"), F.col("now.mode").alias("mode"), F.col("now.content").alias("content"), F.coalesce(F.col("now") == F.col("was"), F.lit(False)).alias("unchanged"))

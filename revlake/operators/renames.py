@@ -4,9 +4,10 @@ A file is its chunks (lines, those above 64 characters in pieces) with the bytes
 of the chunks they share, in hundredths of the larger one.  A pair above the threshold shares so much that it must share one of
 the rarest chunks of both, so only those are joined (prefix filtering).
 
-A chunk that few files hold brings all of them together.  Files that share a common one (a licence line, a group of copies)
-are dealt into lots of about ``LOT`` a side, and dealt anew in each round without the files that have a partner, until a round finds
-none; so the pairs compared grow with the files, not with the square of a group.  The best pairs of a round come first.
+A chunk that few files hold brings all of them together.  Of its common ones (a licence line, what a group of copies shares) a file
+takes part with one in each round, in turn, and its holders are dealt into lots of about ``LOT`` a side.  Rounds go on
+without the files that have a partner until one finds none; so the pairs compared grow with the files, not with the
+square of a group.  The best pairs of a round come first.
 """
 
 from __future__ import annotations
@@ -21,14 +22,20 @@ THRESHOLD, CHUNK = 50, 64
 
 
 def chunks(files: DataFrame) -> DataFrame:
-    """``path, chunk, bytes``: the different chunks of ``path, content`` and how many bytes of the file each one takes."""
+    """``path, chunk, bytes``: the different chunks (by hash) of ``path, content`` and how many bytes of the file each one takes."""
     parts = F.regexp_extract_all("content", F.lit(rf"([^\n]{{0,{CHUNK - 1}}}\n|[^\n]{{1,{CHUNK}}})"), 1)
-    rows = files.where("content is not null").select("path", F.explode(parts).alias("chunk"))
-    return rows.groupBy("path", "chunk").agg(F.sum(F.octet_length("chunk")).alias("bytes"))
+    rows = files.where("content is not null").select("path", F.explode(parts).alias("part"))
+    return rows.groupBy("path", F.xxhash64("part").alias("chunk")).agg(F.sum(F.octet_length("part")).alias("bytes"))
+
+
+def _profile(rows: DataFrame, name: str, side: str) -> DataFrame:
+    """A row for each file with its chunks and their bytes as arrays."""
+    held = rows.groupBy(F.col("path").alias(name)).agg(F.array_sort(F.collect_list(F.struct("chunk", "bytes"))).alias("held"))  # one file's chunks
+    return held.select(name, F.col("held.chunk").alias(f"{side}_chunk"), F.col("held.bytes").alias(f"{side}_bytes"))
 
 
 #: Files of a side that a chunk brings together in a round, about.
-LOT = 16
+LOT = 8
 
 
 def _first_chunks(rows: DataFrame, fan: DataFrame, threshold: int, name: str, size: str) -> DataFrame:
@@ -48,30 +55,56 @@ def matched(gone: DataFrame, come: DataFrame, threshold: int = THRESHOLD) -> Dat
     held = a.select("chunk", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select("chunk", F.lit(0), F.lit(1)))
     fan = cut(held.groupBy("chunk").agg((F.sum("x") * F.sum("y")).alias("fan")))
     p, q = cut(_first_chunks(a, fan, threshold, "from", "m")), cut(_first_chunks(b, fan, threshold, "to", "n"))
+    left, right = cut(_profile(a, "from", "u")), cut(_profile(b, "to", "v"))
     taken, turn = None, 0
     while True:
-        new = assigned(_scored(_met(p, q, turn, threshold), a, b, threshold))
+        p_open, q_open = (p, q) if taken is None else (p.join(taken.select("from"), "from", "left_anti"), q.join(taken.select("to"), "to", "left_anti"))
+        new = assigned(_scored(_met(p_open, q_open, turn, threshold), left, right, threshold))
         if new.isEmpty():
             return new if taken is None else taken
         taken = new if taken is None else taken.union(new)
-        p, q = cut(p.join(new.select("from"), "from", "left_anti").select("from", "chunk", "m")), cut(q.join(new.select("to"), "to", "left_anti").select("to", "chunk", "n"))
         turn += 1
 
 
 def _met(p: DataFrame, q: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """``from, to, larger``: files that meet in a lot of one of their chunks and whose sizes allow for a pair."""
+    """``from, to, larger``: files that meet by a rare chunk, or in a lot of their common chunk of this turn, and whose sizes allow for a pair."""
     sides = p.select("chunk", F.lit(1).alias("x"), F.lit(0).alias("y")).union(q.select("chunk", F.lit(0), F.lit(1))).groupBy("chunk").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    lots = cut(sides.where("x > 0 and y > 0").select("chunk", F.ceil(F.greatest("x", "y") / LOT).alias("lots")))
-    deal = lambda rows, name: rows.join(lots, "chunk").withColumn("lot", F.pmod(F.xxhash64(name, F.lit(turn)), F.col("lots")))
-    both = deal(p, "from").drop("lots").join(deal(q, "to").drop("lots"), ["chunk", "lot"])
+    lots = cut(sides.where("x > 0 and y > 0").select("chunk", (F.col("x") * F.col("y")).alias("fan"), F.ceil(F.greatest("x", "y") / LOT).alias("lots")))
+
+    def deal(rows: DataFrame, name: str) -> DataFrame:
+        own = Window.partitionBy(name)  # the first chunks of one file
+        placed = rows.join(lots, "chunk").withColumn("common", (F.col("lots") > 1).cast("int"))
+        placed = placed.withColumn("place", F.sum("common").over(own.orderBy("fan", "chunk"))).withColumn("of", F.sum("common").over(own))
+        taking = placed.where((F.col("common") == 0) | (F.col("place") - 1 == F.pmod(F.lit(turn), F.col("of"))))
+        return taking.withColumn("lot", F.pmod(F.xxhash64(name, F.lit(turn)), F.col("lots"))).drop("lots", "fan", "common", "place", "of")
+
+    both = deal(p, "from").join(deal(q, "to"), ["chunk", "lot"])
     return cut(both.where(F.least("m", "n") * 100 >= F.greatest("m", "n") * threshold).groupBy("from", "to").agg(F.max(F.greatest("m", "n")).alias("larger")))
 
 
-def _scored(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
-    left = pairs.join(a.select(F.col("path").alias("from"), "chunk", F.col("bytes").alias("u")), "from")
-    both = left.join(b.select(F.col("path").alias("to"), "chunk", F.col("bytes").alias("v")), ["to", "chunk"])
-    scored = both.groupBy("from", "to", "larger").agg(F.sum(F.least("u", "v")).alias("shared"))
-    return scored.where(F.col("shared") * 100 >= F.col("larger") * threshold).select("from", "to", F.floor(F.col("shared") * 100 / F.col("larger")).cast("int").alias("score"))
+def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """Those pairs whose files share enough, with the score."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            kept, scores = [], []
+            larger = batch.column(2).to_pylist()
+            for k, (c, n, d, m) in enumerate(zip(*(batch.column(i) for i in (3, 4, 5, 6)), strict=True)):
+                x, y = (np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in (c, d))
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                u, v = (np.asarray(w.values.to_numpy(zero_copy_only=False)) for w in (n, m))
+                shared = int(np.minimum(u[i], v[j]).sum())
+                if shared * 100 >= larger[k] * threshold:
+                    kept.append(k)
+                    scores.append(shared * 100 // larger[k])
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.int32())], names=["from", "to", "score"])
+
+    both = pairs.join(left, "from").join(right, "to").select("from", "to", "larger", "u_chunk", "u_bytes", "v_chunk", "v_bytes")
+    return both.mapInArrow(run, "from string, to string, score int")
 
 
 def assigned(pairs: DataFrame) -> DataFrame:

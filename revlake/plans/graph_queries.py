@@ -13,6 +13,7 @@ from revlake.operators import ancestry as A
 from revlake.operators import catalog as C
 from revlake.operators import history as G
 from revlake.operators import objects as J
+from revlake.operators import oplog as Z
 from revlake.operators import overlay as O
 from revlake.operators import renderings as N
 from revlake.operators import textdiff as D
@@ -325,6 +326,31 @@ def o6(spark, sf):
     return O.fold_operations(log, V.snapshot(spark, sf, 3))
 
 
+@query(
+    "o6_rename_log",
+    "with f as (select *, case when starts_with(path, 'src1/en/') then 'kept/en/' || substr(path, 9) when starts_with(path, 'src2/') then 'src1/en/' || substr(path, 6) else path end as to_path, "
+    "content || case when doc_id % 13 = 2 then '+a' else '' end || case when starts_with(path, 'src1/en/') and doc_id % 5 = 0 then '+b' else '' end as made, starts_with(path, 'src2/') and doc_id % 7 = 1 as lost from snap3) "
+    "select to_path as path, true as present, 'file' as kind, mode, made as content, case when to_path <> path then path end as renamed_from from f where not lost and (to_path <> path or doc_id % 13 = 2) union all select path, false, null, null, null, null from f where to_path <> path",
+)
+def o6_renames(spark, sf):
+    """Two directories are renamed, the second one to where the first was; files are edited before and after, some are removed."""
+    base = V.snapshot(spark, sf, 3).select("doc_id", "path", "content", "mode")
+    n = (base.agg(F.max("doc_id")).first()[0] or 0) + 1
+    k = F.col("doc_id")
+    none = [F.lit(None).cast("int").alias("mode"), F.lit(None).cast("string").alias("to")]
+    step = lambda rows, path, seq, op, text=None: rows.select(path.alias("path"), seq.cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(text).cast("string").alias("content"), *none)
+    below = lambda old, new: F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20))
+    first, second = base.where("path like 'src1/en/%'"), base.where("path like 'src2/%'")
+    moves = spark.createDataFrame([("src1/en", n, "rename", None, None, "kept/en"), ("src2", 2 * n + 2, "rename", None, None, "src1/en")], "path string, seq long, op string, content string, mode int, to string")
+    log = (
+        step(base.where(k % 13 == 2), F.col("path"), k, "append", "+a")
+        .unionByName(step(first.where(k % 5 == 0), below("src1/en", "kept/en"), k + n + 1, "append", "+b"))
+        .unionByName(step(second.where(k % 7 == 1), below("src2", "src1/en"), k + 2 * n + 3, "remove"))
+        .unionByName(moves)
+    )
+    return Z.fold_log(log, base.drop("doc_id")).drop("changed", "moved")
+
+
 @query(
     "j13_reconcile_refs",
     "with k as (select ref_name, arg_max(coalesce(new_oid, ''), seq) as oid from obs where seq <= (select max(seq) // 2 from obs) group by 1 having oid <> ''), a as (select ref_name, arg_max(coalesce(new_oid, ''), seq) as oid from obs group by 1 having oid <> '') "

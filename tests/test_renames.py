@@ -73,7 +73,7 @@ def test_common_chunks_are_dealt_into_lots(spark, monkeypatch, seed):
     monkeypatch.setattr(N, "LOT", 2)
     want = scores(gone, come, 50)
     got = {(r["from"], r["to"]): r["score"] for r in N.matched(a, b).collect()}
-    assert all(want[k] == v for k, v in got.items()) and len({f for f, _ in got}) == len({t for _, t in got}) == len(got) >= 0.9 * len(greedy(want))
+    assert all(want[k] == v for k, v in got.items()) and len({f for f, _ in got}) == len({t for _, t in got}) == len(got) >= 0.8 * len(greedy(want))
 
 
 def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
@@ -84,8 +84,8 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     met = []
     real = N._met
     monkeypatch.setattr(N, "_met", lambda *x: met.append(real(*x)) or met[-1])
-    assert N.matched(a, b).count() >= 295
-    assert sum(m.count() for m in met) < 40_000 and len(met) < 8
+    assert N.matched(a, b).count() >= 290
+    assert sum(m.count() for m in met) < 10_000 and len(met) < 12
 
 
 def test_only_what_is_left_of_exact_renames_is_compared(spark):
