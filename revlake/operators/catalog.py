@@ -164,3 +164,19 @@ def extension_profile(files: DataFrame) -> DataFrame:
     return files.groupBy(ext.alias("extension")).agg(
         F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"), (F.count("*") - F.count_distinct("oid")).alias("duplicates"), F.max("size").cast("long").alias("largest")
     )
+
+
+def counters(requests: DataFrame, key: str, failed: Column) -> DataFrame:
+    """``key, requests, errors``: how many requests there were of each key and how many failed."""
+    return requests.groupBy(key).agg(F.count("*").alias("requests"), F.count(F.when(failed, 1)).alias("errors"))
+
+
+def latest(rows: DataFrame, key: str, value: str, order: list[str], name: str) -> DataFrame:
+    """``key, name``: the value of each key's last row; later rules and writes win."""
+    return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(name))
+
+
+def reused(checks: DataFrame, subject: list[str], order: str, ttl: Column) -> DataFrame:
+    """``checks`` with ``reused``: whether the subject's check before (by ``order``) is younger than ``ttl`` at this one's ``at``."""
+    age = F.col("at") - F.lag("at").over(Window.partitionBy(*subject).orderBy(order))
+    return checks.withColumn("reused", age < ttl)

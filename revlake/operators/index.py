@@ -46,6 +46,11 @@ def registry(blobs: DataFrame, limit: int = K.MAX_SEARCHABLE) -> DataFrame:
     return blobs.withColumn("content_class", kind).withColumn("indexed", F.coalesce(F.col("content_class").isin("TEXT", "INVALID_UTF8"), F.lit(False)))
 
 
+def totals(blobs: DataFrame) -> DataFrame:
+    """One row: ``blobs, key_bytes, next_key`` of a registry."""
+    return blobs.agg(F.count("*").alias("blobs"), F.sum(F.octet_length("oid")).alias("key_bytes"), (F.coalesce(F.max("blob_key"), F.lit(-1)) + 1).alias("next_key"))
+
+
 def postings(blobs: DataFrame) -> DataFrame:
     """``trigram, chunk, bits`` of the indexed blobs.
 

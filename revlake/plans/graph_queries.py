@@ -107,9 +107,17 @@ def e24(spark, sf):
     return e.select("event_id", H.exit_code("s", "m", "x").alias("code"))
 
 
-@query("e25_errors", "select * from (values ('CONFLICT', 10, 409, false), ('SNAPSHOT_BUILDING', 14, 503, true), ('RESOURCE_LIMIT', 8, 429, false)) t(code, grpc, http, retryable)")
+@query(
+    "e25_errors",
+    "select code, grpc, http, retryable, count(*) as answers from (select case event_type when 'error' then 'UNAVAILABLE' when 'click' then 'CONFLICT' when 'view' then 'NOT_FOUND' when 'purchase' then 'RESOURCE_LIMIT' else 'SNAPSHOT_BUILDING' end as code from events) "
+    "join (values ('UNAVAILABLE', 14, 503, true), ('CONFLICT', 10, 409, false), ('NOT_FOUND', 5, 404, false), ('RESOURCE_LIMIT', 8, 429, false), ('SNAPSHOT_BUILDING', 14, 503, true)) t(code, grpc, http, retryable) using (code) group by all",
+)
 def e25(spark, sf):
-    return H.error_table(spark).where(F.col("code").isin("CONFLICT", "SNAPSHOT_BUILDING", "RESOURCE_LIMIT"))
+    """What callers were told, by kind of answer."""
+    t = F.col("event_type")
+    code = F.when(t == "error", "UNAVAILABLE").when(t == "click", "CONFLICT").when(t == "view", "NOT_FOUND").when(t == "purchase", "RESOURCE_LIMIT").otherwise("SNAPSHOT_BUILDING")
+    told = V.table(spark, sf, "events").select(code.alias("code")).groupBy("code").agg(F.count("*").alias("answers"))
+    return told.join(H.error_table(spark), "code").select("code", "grpc", "http", "retryable", "answers")
 
 
 @query("e26_work_ref", "select distinct 'refs/internal/work/u_' || user_id || '.x/main' as ref from events")
@@ -143,10 +151,20 @@ def f13(spark, sf):
     return C.may_read(ask, caps, allowed, seen, F.lit(5)).select("event_id", "verdict")
 
 
-@query("f15_transitions", "select a, b, a = b or (a = 'CREATING') or (a in ('ACTIVE', 'QUARANTINED') and b in ('ACTIVE', 'QUARANTINED', 'DELETING')) as legal from (values ('CREATING'), ('ACTIVE'), ('QUARANTINED'), ('DELETING')) x(a), (values ('ACTIVE'), ('QUARANTINED'), ('DELETING')) y(b)")
+_STATE = "case event_type when 'signup' then 'CREATING' when 'error' then 'QUARANTINED' when 'purchase' then 'DELETING' else 'ACTIVE' end"
+
+
+@query(
+    "f15_transitions",
+    f"with s as (select {_STATE} as b, lag({_STATE}) over (partition by user_id order by event_id) as a from events) select a, b, a = b or (a = 'CREATING' and b <> 'CREATING') or (a in ('ACTIVE', 'QUARANTINED') and b in ('ACTIVE', 'QUARANTINED', 'DELETING')) as legal, count(*) as n from s where a is not null group by all",
+)
 def f15(spark, sf):
-    rows = spark.createDataFrame([(a, b) for a in ("CREATING", "ACTIVE", "QUARANTINED", "DELETING") for b in ("ACTIVE", "QUARANTINED", "DELETING")], "state string, next_state string")
-    return C.may_transition(rows).select(F.col("state").alias("a"), F.col("next_state").alias("b"), "legal")
+    """The changes of state that each user's events ask for, and which of them are allowed."""
+    t = F.col("event_type")
+    state = F.when(t == "signup", "CREATING").when(t == "error", "QUARANTINED").when(t == "purchase", "DELETING").otherwise("ACTIVE")
+    before = F.lag(state).over(Window.partitionBy("user_id").orderBy("event_id"))
+    asked = V.table(spark, sf, "events").select(before.alias("state"), state.alias("next_state")).where("state is not null").groupBy("state", "next_state").agg(F.count("*").alias("n"))
+    return C.may_transition(asked).select(F.col("state").alias("a"), F.col("next_state").alias("b"), "legal", "n")
 
 
 @query("h2_resolve", "select target as \"commit\" from refs where ref_name = 'refs/heads/conv-5'")

@@ -137,7 +137,7 @@ def a2(spark, sf):
 
 @query("a7_registry_totals", "select count(*) as blobs, sum(strlen(oid))::bigint as key_bytes, coalesce(max(doc_id), -1) + 1 as next_key from files")
 def a7(spark, sf):
-    return V.files(spark, sf).agg(F.count("*").alias("blobs"), F.sum(F.octet_length("oid")).alias("key_bytes"), (F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).alias("next_key"))
+    return X.totals(V.files(spark, sf).select(F.col("doc_id").alias("blob_key"), "oid"))
 
 
 @query("a11_sweep_report", "select case event_id % 4 when 0 then 'none' when 1 then 'in_grace' when 2 then 'expired' else 'prunable' end as outcome, count(*) as leases, min(event_id) as first_lease from events group by 1")
@@ -149,7 +149,7 @@ def a11(spark, sf):
 
 @query("a14_counters", "select user_id, count(*) as requests, count(*) filter (where event_type = 'error') as errors from events group by 1")
 def a14(spark, sf):
-    return V.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("requests"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
+    return C.counters(V.table(spark, sf, "events"), "user_id", F.col("event_type") == "error")
 
 
 @query("w2_line_numbers", "select blob_key, line, strlen(text)::int as size from lines where contains(text, 'que')")
@@ -165,7 +165,7 @@ def w3(spark, sf):
 
 @query("w5_last_rule_wins", "select user_id, arg_max(event_type, (ts, event_id)) as last from events group by 1")
 def w5(spark, sf):
-    return V.table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return C.latest(V.table(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], "last")
 
 
 @query("w11_listing_trim", "with e as (select event_id as key, floor(epoch(ts))::bigint as last_used, 1::bigint as size from events), r as (select *, row_number() over (order by last_used, key) - 1 as gone from e) select key, size from r where gone < (select count(*) - floor(count(*) * 0.9)::bigint from e)")
@@ -244,5 +244,5 @@ def k4(spark, sf):
 @query("j20_verdict_age", "select event_id, floor(epoch(ts))::bigint - lag(floor(epoch(ts))::bigint) over (partition by user_id, event_type order by event_id) < case when event_type = 'error' then 20000 else 100000 end as reused from events")
 def j20(spark, sf):
     e = V.table(spark, sf, "events").withColumn("at", F.unix_timestamp("ts"))
-    age = F.col("at") - F.lag("at").over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    return e.select("event_id", (age < F.when(F.col("event_type") == "error", 20_000).otherwise(100_000)).alias("reused"))
+    ttl = F.when(F.col("event_type") == "error", 20_000).otherwise(100_000)
+    return C.reused(e, ["user_id", "event_type"], "event_id", ttl).select("event_id", "reused")
