@@ -207,7 +207,7 @@ def kept_ancestry(spark, sf):
     """``(commits, edges, index)``: the ancestry index of the history, written by the session's first caller."""
     c = V.commits(spark, sf)
     e = V.edges(c)
-    folder = kept(spark, "ancestry", checksum(c.select("commit", "committer_secs", "parents")), lambda f: A.write(A.build(e, c), f))
+    folder = kept(spark, "ancestry", checksum(V.written(spark, sf, "conversations")), lambda f: A.write(A.build(e, c), f))
     return c, e, A.read(spark, folder)
 
 

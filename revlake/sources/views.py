@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table with their sizes and times: what changes when the table is written again; no row is read."""
+    m = F.col("_metadata")
+    return table(spark, sf_dir, name).select(m.file_path.alias("file"), m.file_size.alias("size"), m.file_modification_time.alias("at")).distinct()
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, path, content, size, oid, mode``: one regular file per document."""
     d = table(spark, sf_dir, "documents")
