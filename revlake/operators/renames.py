@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlake.operators.staging import cut
+from revlake.operators.staging import cut, drop, put
 
 #: Fixed limits: hundredths that two files must share, characters of a chunk.
 THRESHOLD, CHUNK = 50, 64
@@ -42,7 +42,7 @@ def _first_chunks(rows: DataFrame, fan: DataFrame, threshold: int, name: str, si
     """Of each file the rarest chunks, until what remains of it is too little for a similar pair."""
     whole = Window.partitionBy("path")  # the chunks of one file
     order = whole.orderBy("fan", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.join(fan, "chunk").withColumn("size", F.sum("bytes").over(whole)).withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+    ranked = rows.join(fan, "chunk", "left").withColumn("fan", F.coalesce("fan", F.lit(0))).withColumn("size", F.sum("bytes").over(whole)).withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
     return ranked.where((F.col("size") - F.col("before")) * 100 >= F.col("size") * threshold).where("fan > 0").select(F.col("path").alias(name), "chunk", F.col("size").alias(size))
 
 
@@ -51,16 +51,21 @@ def matched(gone: DataFrame, come: DataFrame, threshold: int = THRESHOLD) -> Dat
 
     Empty files are similar to none; a file keeps its partner of the first round that finds it one.
     """
-    a, b = cut(chunks(gone)), cut(chunks(come))
+    left, right = put(_profile(chunks(gone), "from", "u")), put(_profile(chunks(come), "to", "v"))
+    a, b = (t.select(F.col(name).alias("path"), F.explode(F.arrays_zip(F.col(f"{s}_chunk").alias("chunk"), F.col(f"{s}_bytes").alias("bytes"))).alias("c")).select("path", "c.*") for t, name, s in ((left, "from", "u"), (right, "to", "v")))
     held = a.select("chunk", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select("chunk", F.lit(0), F.lit(1)))
-    fan = cut(held.groupBy("chunk").agg((F.sum("x") * F.sum("y")).alias("fan")))
-    p, q = cut(_first_chunks(a, fan, threshold, "from", "m")), cut(_first_chunks(b, fan, threshold, "to", "n"))
-    left, right = cut(_profile(a, "from", "u")), cut(_profile(b, "to", "v"))
+    fan = put(held.groupBy("chunk").agg((F.sum("x") * F.sum("y")).alias("fan")).where("fan > 0"))
+    p, q = put(_first_chunks(a, fan, threshold, "from", "m")), put(_first_chunks(b, fan, threshold, "to", "n"))
+    drop(fan)
     taken, turn = None, 0
     while True:
         p_open, q_open = (p, q) if taken is None else (p.join(taken.select("from"), "from", "left_anti"), q.join(taken.select("to"), "to", "left_anti"))
-        new = assigned(_scored(_met(p_open, q_open, turn, threshold), left, right, threshold))
+        pairs = _met(p_open, q_open, turn, threshold)
+        scored = put(_scored(pairs, left, right, threshold))
+        new = assigned(scored)
+        drop(pairs, scored)
         if new.isEmpty():
+            drop(left, right, p, q)
             return new if taken is None else taken
         taken = new if taken is None else taken.union(new)
         turn += 1
@@ -69,7 +74,7 @@ def matched(gone: DataFrame, come: DataFrame, threshold: int = THRESHOLD) -> Dat
 def _met(p: DataFrame, q: DataFrame, turn: int, threshold: int) -> DataFrame:
     """``from, to, larger``: files that meet by a rare chunk, or in a lot of their common chunk of this turn, and whose sizes allow for a pair."""
     sides = p.select("chunk", F.lit(1).alias("x"), F.lit(0).alias("y")).union(q.select("chunk", F.lit(0), F.lit(1))).groupBy("chunk").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    lots = cut(sides.where("x > 0 and y > 0").select("chunk", (F.col("x") * F.col("y")).alias("fan"), F.ceil(F.greatest("x", "y") / LOT).alias("lots")))
+    lots = put(sides.where("x > 0 and y > 0").select("chunk", (F.col("x") * F.col("y")).alias("fan"), F.ceil(F.greatest("x", "y") / LOT).alias("lots")))
 
     def deal(rows: DataFrame, name: str) -> DataFrame:
         own = Window.partitionBy(name)  # the first chunks of one file
@@ -79,7 +84,9 @@ def _met(p: DataFrame, q: DataFrame, turn: int, threshold: int) -> DataFrame:
         return taking.withColumn("lot", F.pmod(F.xxhash64(name, F.lit(turn)), F.col("lots"))).drop("lots", "fan", "common", "place", "of")
 
     both = deal(p, "from").join(deal(q, "to"), ["chunk", "lot"])
-    return cut(both.where(F.least("m", "n") * 100 >= F.greatest("m", "n") * threshold).groupBy("from", "to").agg(F.max(F.greatest("m", "n")).alias("larger")))
+    pairs = put(both.where(F.least("m", "n") * 100 >= F.greatest("m", "n") * threshold).groupBy("from", "to").agg(F.max(F.greatest("m", "n")).alias("larger")))
+    drop(lots)
+    return pairs
 
 
 def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
@@ -114,14 +121,16 @@ def assigned(pairs: DataFrame) -> DataFrame:
     pairs at once, and what remains without their files goes on.
     """
     order = F.struct((-F.col("score")).alias("less"), F.col("to").alias("t"), F.col("from").alias("f"))
-    open_ = cut(pairs.select("from", "to", "score"))
+    open_ = put(pairs.select("from", "to", "score"))
     taken = None
     while not open_.isEmpty():
         by_from = open_.groupBy("from").agg(F.min(order).alias("best")).select("best.*")
         by_to = open_.groupBy("to").agg(F.min(order).alias("best")).select("best.*")
-        new = cut(by_from.join(by_to, ["less", "t", "f"]).select(F.col("f").alias("from"), F.col("t").alias("to"), (-F.col("less")).alias("score")))
+        new = put(by_from.join(by_to, ["less", "t", "f"]).select(F.col("f").alias("from"), F.col("t").alias("to"), (-F.col("less")).alias("score")))
         taken = new if taken is None else taken.union(new)
-        open_ = cut(open_.join(new.select("from"), "from", "left_anti").join(new.select("to"), "to", "left_anti").select("from", "to", "score"))
+        rest = put(open_.join(new.select("from"), "from", "left_anti").join(new.select("to"), "to", "left_anti").select("from", "to", "score"))
+        drop(open_)
+        open_ = rest
     return open_ if taken is None else taken
 
 

@@ -28,6 +28,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def put(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: as ``cut``, but compressed, without the shuffle files it was
+    made from, and for ``drop`` to delete; what is left is deleted when the process ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _KEPT[(spark.sparkContext.applicationId, "table", folder)] = folder
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``put`` that nothing reads any more."""
+    for df in tables:
+        if folder := getattr(df, "_folder", None):
+            _delete(df.sparkSession, folder)
+            _KEPT.pop((df.sparkSession.sparkContext.applicationId, "table", folder), None)
+
+
 #: Rows of a few names and numbers each that may be broadcast: some MB.
 FEW = 1 << 17
 
@@ -63,8 +96,7 @@ def release() -> None:
     spark = SparkSession.getActiveSession() if _KEPT else None
     for folder in _KEPT.values() if spark else ():
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, folder)
         except Exception:  # the session is gone; the folder is then the cluster's to clean
             return
     _KEPT.clear()
