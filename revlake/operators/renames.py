@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlake.operators.staging import cut, drop, put
+from revlake.operators.staging import FEW, cut, drop, put
 
 #: Fixed limits: hundredths that two files must share, characters of a chunk.
 THRESHOLD, CHUNK = 50, 64
@@ -117,9 +117,31 @@ def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: int)
 def assigned(pairs: DataFrame) -> DataFrame:
     """``from, to, score``, each file in one pair at most: highest scores first, then the least ``to``, then the least ``from``.
 
-    A pair that is the best of both its files is also the next one in this order of all that touch them; so each round takes all such
-    pairs at once, and what remains without their files goes on.
+    Pairs that are counted to be few are taken in this order in one task.  Of more, a pair that is the best of both its files is also
+    the next one in this order of all that touch them; so each round takes all such pairs at once, and what remains
+    without their files goes on.  The result is the same.
     """
+    return _few_assigned(pairs) if pairs.limit(FEW + 1).count() <= FEW else _many_assigned(pairs)
+
+
+def _few_assigned(pairs: DataFrame) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        gone, come, out = set(), set(), []
+        for f, t, s in sorted(rows, key=lambda r: (-r[2], r[1].encode(), r[0].encode())):
+            if f not in gone and t not in come:
+                gone.add(f)
+                come.add(t)
+                out.append((f, t, s))
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], names=["from", "to", "score"])
+
+    return put(pairs.select("from", "to", F.col("score").cast("int").alias("score")).coalesce(1).mapInArrow(run, "from string, to string, score int"))
+
+
+def _many_assigned(pairs: DataFrame) -> DataFrame:
     order = F.struct((-F.col("score")).alias("less"), F.col("to").alias("t"), F.col("from").alias("f"))
     open_ = put(pairs.select("from", "to", "score"))
     taken = None

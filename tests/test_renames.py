@@ -104,6 +104,13 @@ def test_only_what_is_left_of_exact_renames_is_compared(spark):
     assert got == {("R", "a", "x", 100), ("R", "b", "y", score), ("D", None, "c", None), ("A", None, "z", None), ("D", None, "d", None), ("A", None, "l", None), ("M", None, "e", None)}
 
 
+def test_pairs_are_assigned_the_same_either_way(spark):
+    rng = random.Random(8)
+    pairs = spark.createDataFrame([(f"f{i}", f"t{j}", rng.randrange(50, 60)) for i in range(25) for j in range(25) if rng.random() < 0.3], "from string, to string, score int")
+    one, two = (sorted(map(tuple, f(pairs).collect())) for f in (N._few_assigned, N._many_assigned))
+    assert one == two and one
+
+
 def test_no_files(spark):
     none = spark.createDataFrame([], "path string, content string")
     assert N.matched(none, none).count() == 0
