@@ -17,6 +17,8 @@ from revlake.functions.regex import InvalidPattern  # noqa: F401  (raised here)
 
 #: Fixed limits of the analysis.
 SHORTEST, MOST = 3, 32
+#: Bytes that a task takes apart, and returns, at a time.
+STEP = 4 << 20
 
 
 def tree(pattern: str, literal: bool = False, fold: bool = False) -> tuple:
@@ -86,6 +88,19 @@ def trigram_column(content: Column | str) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.conv(F.hex(F.substring(c, i, F.lit(3))), 16, 10).cast("int")))
 
 
+def parts(batch, column: int):
+    """Slices of an Arrow batch with about ``STEP`` bytes of a column each, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def trigram_rows(blobs: DataFrame, key: str = "blob_key", content: str = "content") -> DataFrame:
     """``trigram, blob_key``: the distinct byte trigrams of every blob, by numpy over Arrow batches."""
 
@@ -94,9 +109,9 @@ def trigram_rows(blobs: DataFrame, key: str = "blob_key", content: str = "conten
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for part in parts(batch, 1):
                 keys, grams = [], []
-                for k, c in zip(batch.column(0)[lo : lo + 256].to_pylist(), batch.column(1)[lo : lo + 256].to_pylist(), strict=True):
+                for k, c in zip(*(x.to_pylist() for x in part.columns), strict=True):
                     b = np.frombuffer(c or b"", np.uint8).astype(np.int32)
                     if len(b) >= 3:
                         g = np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:])
