@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_queries import ordered
+from test_renames import greedy, scores, versions
 
 from revlake.functions import paths as P
 from revlake.functions import patterns as R
 from revlake.operators import index as X
+from revlake.operators import renames as N
 from revlake.operators import search as S
 from revlake.plans import registry
 
@@ -77,3 +81,13 @@ def test_page_takes_only_its_lines_apart(spark, monkeypatch):
     page, _ = S.search(files.select("path", "blob_key"), blobs, None, S.Query("eau", after=("d/007", 20, 1), results=5))
     assert [tuple(r) for r in page.select("path", "line", "column").collect()] == [("d/007", 20, 5), ("d/008", 1, 1), ("d/008", 1, 5), ("d/008", 2, 1), ("d/008", 2, 5)]
     assert seen[0] <= 7
+
+
+@pytest.mark.parametrize(("seed", "rare", "few"), [(1, 1, 1 << 17), (2, 3, 5)])
+def test_renames_of_common_chunks_are_exact(spark, monkeypatch, seed, rare, few):
+    """Whatever the cells, each pair is found once and the best come first."""
+    gone, come = versions(random.Random(seed))
+    a, b = (spark.createDataFrame(list(x.items()), "path string, content string").repartition(3) for x in (gone, come))
+    for name, value in (("LOT", 2), ("RARE", rare), ("FEW", few)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    assert [(r["from"], r["to"]) for r in N.matched(a, b).orderBy(F.desc("score"), "to").collect()] == sorted(greedy(scores(gone, come, 50)), key=lambda k: (-scores(gone, come, 50)[k], k[1]))
