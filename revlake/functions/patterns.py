@@ -18,7 +18,7 @@ from revlake.functions.regex import InvalidPattern  # noqa: F401  (raised here)
 #: Fixed limits of the analysis.
 SHORTEST, MOST = 3, 32
 #: Bytes that a task takes apart, and returns, at a time.
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 def tree(pattern: str, literal: bool = False, fold: bool = False) -> tuple:
@@ -101,23 +101,48 @@ def parts(batch, column: int):
         start = end
 
 
+def _distinct_trigrams(content: bytes):
+    """Arrays of at most ``STEP`` that together hold each trigram of a content once; a long one is read in steps."""
+    import numpy as np
+
+    b = np.frombuffer(content, np.uint8)
+    packed = lambda w: w[:-2] << 16 | w[1:-1] << 8 | w[2:]
+    if len(b) <= STEP:
+        if len(b) >= 3:
+            yield np.unique(packed(b.astype(np.int32)))
+        return
+    seen = np.zeros(1 << 24, bool)  # a flag for each trigram there is
+    for at in range(0, len(b) - 2, STEP):
+        seen[packed(b[at : at + STEP + 2].astype(np.int32))] = True
+    for at in range(0, len(seen), STEP):
+        yield (np.flatnonzero(seen[at : at + STEP]) + at).astype(np.int32)
+
+
 def trigram_rows(blobs: DataFrame, key: str = "blob_key", content: str = "content") -> DataFrame:
-    """``trigram, blob_key``: the distinct byte trigrams of every blob, by numpy over Arrow batches."""
+    """``trigram, blob_key``: the distinct byte trigrams of every blob, by numpy over Arrow batches.
+
+    Beside the batch, which Spark bounds in rows and bytes, a task holds some times ``STEP``, however long a blob is.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        def table(grams, keys):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(keys))], names=["trigram", "blob_key"])
+
         for batch in batches:
             for part in parts(batch, 1):
-                keys, grams = [], []
+                keys, grams, held = [], [], 0
                 for k, c in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                    b = np.frombuffer(c or b"", np.uint8).astype(np.int32)
-                    if len(b) >= 3:
-                        g = np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:])
+                    for g in _distinct_trigrams(c or b""):
+                        if held and held + len(g) > STEP:
+                            yield table(grams, keys)
+                            keys, grams, held = [], [], 0
                         grams.append(g)
                         keys.append(np.full(len(g), k, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(keys))], names=["trigram", "blob_key"])
+                        held += len(g)
+                if held:
+                    yield table(grams, keys)
 
     return blobs.select(F.col(key).cast("long"), F.col(content).cast("binary")).where(f"{key} is not null").mapInArrow(run, "trigram int, blob_key long")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,43 @@ def test_renames_of_common_chunks_are_exact(spark, monkeypatch, seed, rare, few)
     for name, value in (("LOT", 2), ("RARE", rare), ("FEW", few)):
         monkeypatch.setattr(N, name, value, raising=False)
     assert [(r["from"], r["to"]) for r in N.matched(a, b).orderBy(F.desc("score"), "to").collect()] == sorted(greedy(scores(gone, come, 50)), key=lambda k: (-scores(gone, come, 50)[k], k[1]))
+
+
+def test_trigrams_of_long_contents_in_little_memory(spark):
+    class Task:
+        """Hands out what a task runs."""
+
+        select = where = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: E731, N815
+
+    rng = random.Random(9)
+    contents = [rng.randbytes(6 << 20), b"", None, b"ab", b"abc" * (1 << 20)] + [rng.randbytes(4096) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(contents)), pa.int64()), pa.array(contents, pa.binary())], names=["blob_key", "content"])
+    run = R.trigram_rows(Task())
+    want = [np.frombuffer(c or b"", np.uint8).astype(np.int64) for c in contents]
+    want = np.concatenate([np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:]) | k << 24 for k, b in enumerate(want) if len(b) > 2])
+    got = np.concatenate([out.column("trigram").to_numpy() | out.column("blob_key").to_numpy() << 24 for out in run([batch])])
+    assert np.array_equal(np.sort(got), want)
+    tracemalloc.start()
+    most = max(out.num_rows for out in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 1 << 20 and peak < 64 << 20
+
+
+def test_budgets_are_spent_behind_the_position(spark):
+    files = spark.createDataFrame([(k, f"d/{k:03}", "eau\n") for k in range(50)], "blob_key long, path string, content string").withColumn("size", F.octet_length("content").cast("long"))
+    blobs = X.registry(files.select("blob_key", "content", "size"))
+    get = lambda page: [r["path"] for r in page.select("path").collect()]
+    for more in ({"candidates": 4}, {"read_bytes": 16}):
+        page, done = S.search(files.select("path", "blob_key"), blobs, None, S.Query("eau", after=("d/040", 1, 0), results=3, **more))
+        assert get(page) == ["d/040", "d/041", "d/042"] and done.first()["eligible_paths"] == 50
+    page, outcome = S.local_page(files.select("path", "content", "size"), S.Query("eau", after=("d/040", 1, 0), results=3), budget=S.LocalBudget(read_bytes=16))
+    assert get(page) == ["d/040", "d/041", "d/042"] and outcome.first()["truncated"]
+
+
+@pytest.mark.parametrize("name", ["l3_resumed_page", "x8_search", "x8_search_unindexed", "x8_completion", "k6_rendered", "w3_display_budget", "x18_command_line", "a2_completion_stats", "x11_merged_page"])
+def test_no_budget_where_the_sql_has_none(equals_sql, monkeypatch, name):
+    monkeypatch.setattr(S, "READ_BYTES", 50)
+    monkeypatch.setattr(S, "MOST_CANDIDATES", 2)
+    equals_sql(name, [(k, "eauq and quill\ntionth\n", "fr", f"src{k % 20}") for k in range(90)])
