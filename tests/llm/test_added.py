@@ -322,3 +322,21 @@ def test_contexts_that_many_rows_hold(spark, monkeypatch, common):
     got = Counter(map(tuple, suffix_dedup.removed_report(docs).drop("n_kept").collect()))
     want = removed([(i, t.encode()) for i, t in enumerate(texts)], 400)
     assert got == want and sum(n for _, _, n, _, _ in want) > 10_000
+
+
+@pytest.mark.parametrize("words", [3, 60, 150])
+def test_op10_goes_by_bytes_not_words(spark, tmp_path, words):
+    """A passage in two documents stays at 399 bytes, however many words it has, and goes whole from 400 on."""
+    rng = random.Random(words)
+    texts, want = [], {}
+    for size in (399, 400, 401):
+        cuts = sorted(rng.sample(range(1, size // 2), words - 1))  # every word takes one byte or more
+        sizes = [b - a for a, b in zip([0, *cuts], [*cuts, size - words + 1], strict=True)]
+        passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(n)) for n in sizes)
+        assert len(passage) == size and len(passage.split()) == words
+        for before, behind in (("one. ", " Two"), ("Three! ", " four")):  # no byte beside the passage is the same
+            want[len(texts)] = (size if size >= 400 else 0, int(size >= 400))
+            texts.append(before[:-1] + str(len(texts)) + passage + str(len(texts) + 1) + behind)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == want
